@@ -130,7 +130,8 @@ def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[np.ndarray, i
         duals = np.ones(m) @ inverse
         worth, column = knapsack(duals, sizes, room)
         total = level.sum()
-        if worth <= 1 + 1e-9 or total - total / worth <= GAP * total:  # total / worth is a lower bound of the optimum
+        # no plan is below total / worth, nor below the tokens' own room
+        if worth <= 1 + 1e-9 or total - max(total / worth, need @ sizes / room) <= GAP * total:
             break
         direction = inverse @ column
         up = direction > 1e-9

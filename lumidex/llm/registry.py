@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from lumidex.llm import chat_collapse, decontamination, packing, repetition, warc
+from lumidex.llm import chat_collapse, decontamination, minhash, packing, repetition, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         warc.op2_warc,
         decontamination.op3_decontamination,
+        minhash.op4_minhash,
         repetition.op5_quality_rules,
         chat_collapse.op9_chat_collapse,
         packing.op10_packing,
     )
 }
 
-SQL = {"op2_warc": warc.OP2_SQL, "op3_decontamination": decontamination.OP3_SQL, "op9_chat_collapse": chat_collapse.OP9_SQL}
+SQL = {"op2_warc": warc.OP2_SQL, "op3_decontamination": decontamination.OP3_SQL, "op4_minhash": minhash.OP4_SQL, "op9_chat_collapse": chat_collapse.OP9_SQL}
