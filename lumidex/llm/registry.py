@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumidex.llm import chat_collapse, decontamination, minhash, packing, repetition, warc
+from lumidex.llm import chat_collapse, decontamination, longdup, minhash, packing, repetition, warc
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         decontamination.op3_decontamination,
         minhash.op4_minhash,
         repetition.op5_quality_rules,
+        longdup.op8_suffix_dedup,
         chat_collapse.op9_chat_collapse,
         packing.op10_packing,
     )
