@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lumidex.llm import chat_collapse, decontamination, longdup, minhash, packing, repetition, warc
+from lumidex.llm import chat_collapse, decontamination, longdup, minhash, packing, qda, repetition, secrets, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        secrets.op1_secrets,
         warc.op2_warc,
         decontamination.op3_decontamination,
         minhash.op4_minhash,
         repetition.op5_quality_rules,
+        qda.op7_quality_qda,
         longdup.op8_suffix_dedup,
         chat_collapse.op9_chat_collapse,
         packing.op10_packing,
