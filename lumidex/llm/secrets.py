@@ -202,7 +202,7 @@ class Field:
         return [(a, b) for a, b in found]
 
 
-def fit(sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 250, rate: float = 0.15, decay: float = 2e-4) -> Field:
+def fit(sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.15, decay: float = 2e-4) -> Field:
     """Weights for sequences of (shape codes, neighbourhood codes, tags) by Adam on the mean log likelihood of a token."""
     width, n = max(len(t) for _, _, t in sequences), len(sequences)
     x = np.zeros((n, width, SHAPES.shape[1] + AROUNDS.shape[1]))
@@ -323,7 +323,7 @@ def tagged(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndar
     return shape, around, tags
 
 
-TRAINING_LINES, SEED = 1500, 71
+TRAINING_LINES, SEED = 600, 71
 
 
 def trained(count: int = TRAINING_LINES) -> Field:
@@ -349,15 +349,18 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
-def scan_secrets(documents: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = (), field: Field | None = None) -> DataFrame:
-    """id_col, keep, n_assign, n_access, n_hex, n_crf, base_sha256, spans, redacted of each document.
+def scan_secrets(documents: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = (), field: Field | None = None, with_text: bool = False) -> DataFrame:
+    """id_col, keep, n_assign, n_access, n_hex, n_crf, base_sha256, spans of each document.
 
-    redacted is the text with each span, or run of overlapping spans, replaced by [SECRET].
+    with_text adds redacted, the text with each run of overlapping spans replaced by [SECRET].
     """
     shipped = documents.sparkSession.sparkContext.broadcast(field or trained())
     docs = documents.select(id_col, *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("scanned"))
     kept = [f"keep_{i}" for i in range(len(keep))]
 
+    kinds = dict.fromkeys(("n_assign", "n_access", "n_hex", "n_crf"), "long") | {"base_sha256": "string", "spans": "string"} | ({"redacted": "string"} if with_text else {})
+    names = list(kinds)
+
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for at in range(0, len(pdf), 1000):
@@ -367,14 +370,14 @@ def scan_secrets(documents: DataFrame, id_col: str = "doc_id", keep: tuple[str,
                     spans = all_spans(text, shipped.value)
                     base = [s for s in spans if s[2] < 3]
                     counts = [sum(s[2] == k for s in spans) for k in range(4)]
-                    rows.append((*counts, hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(spans), redact(text, spans)))
+                    rows.append((*counts, hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(spans), *([redact(text, spans)] if with_text else [])))
                 out = part[[id_col, *kept]].reset_index(drop=True)
-                for i, name in enumerate(("n_assign", "n_access", "n_hex", "n_crf", "base_sha256", "spans", "redacted")):
+                for i, name in enumerate(names):
                     out[name] = [r[i] for r in rows]
                 yield out
 
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "scanned")
-    found = docs.mapInPandas(scan, f"{head}, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string, redacted string")
+    found = docs.mapInPandas(scan, ", ".join([head, *(f"{n} {k}" for n, k in kinds.items())]))
     return found.withColumnsRenamed(dict(zip(kept, keep, strict=True)))
 
 
