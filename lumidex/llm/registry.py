@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumidex.llm import chat_collapse, decontamination, longdup, minhash, packing, qda, repetition, secrets, warc
+from lumidex.llm import blocks, chat_collapse, decontamination, longdup, minhash, packing, qda, repetition, secrets, warc
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         decontamination.op3_decontamination,
         minhash.op4_minhash,
         repetition.op5_quality_rules,
+        blocks.op6_html_extraction,
         qda.op7_quality_qda,
         longdup.op8_suffix_dedup,
         chat_collapse.op9_chat_collapse,
