@@ -1,12 +1,12 @@
 """Near-duplicate detection by b-bit MinHash (operator 4).
 
-Each text's distinct word shingles give HASHES minima of 32 bits. Bands of ROWS minima
+Each text's distinct word shingles give minima of 32 bits. Bands of ROWS minima
 make bucket keys; of every minimum the low BITS bits are kept, packed into words of 64
 bits. Documents that share a bucket are candidates; the similarity estimated from the
 count of equal packed minima, corrected for chance collisions of the low bits, has to
 come within MARGIN of the threshold (over 5 standard deviations); what passes is
-confirmed on the full shingle sets. At the threshold of 0.85 the bands miss a link with
-probability (1 - 0.85**5)**25, under 1e-6.
+confirmed on the full shingle sets. There are as many bands as it takes to miss a link at
+the threshold with a probability of at most MISS: 24 for 0.85, 35 for 0.8.
 
 Whole result without all pairs. Texts with equal sets are one class from the start,
 whatever the number of copies. In a first round each class is compared with the
@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -40,16 +41,28 @@ from pyspark.sql import functions as F
 from lumidex.llm.common import saved, table
 from lumidex.operators.graph import connected_components
 
-BANDS, ROWS = 25, 5
-HASHES = 128
+ROWS = 5
+MISS = 1e-6
 BITS = 2
+MOST_HASHES = 512
 MARGIN = 0.2
 _RANDOM = np.random.default_rng(20240229)
-MULTIPLY = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64)
+MULTIPLY = _RANDOM.integers(0, 2**63, MOST_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADD = _RANDOM.integers(0, 2**63, MOST_HASHES, dtype=np.uint64)
 PLACE = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def bands_for(percent: int) -> int:
+    """Bands that miss a pair of this similarity with a probability of MISS at most."""
+    return min(ceil(log(MISS) / log(1 - (percent / 100) ** ROWS)), MOST_HASHES // ROWS) if percent < 100 else 1
+
+
+def hashes_for(bands: int) -> int:
+    """Minima for so many bands, as whole words of packed bits."""
+    per = 64 // BITS
+    return ceil(bands * ROWS / per) * per
+
+
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles of size words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -65,19 +78,19 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(total)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """HASHES minima of 32 bits, in blocks so that memory stays bounded."""
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint64)
+def minima(shingles: np.ndarray, count: int) -> np.ndarray:
+    """count minima of 32 bits, in blocks so that memory stays bounded."""
+    least = np.full(count, 0xFFFFFFFF, np.uint64)
     for at in range(0, len(shingles), 2048):
-        mixed = shingles[at : at + 2048, None] * MULTIPLY[None, :]
-        mixed += ADD
+        mixed = shingles[at : at + 2048, None] * MULTIPLY[None, :count]
+        mixed += ADD[:count]
         np.minimum(least, (mixed.min(axis=0)) >> np.uint64(32), out=least)
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS) + np.uint64(1)
-    keys = (rows * PLACE[:ROWS]).sum(axis=1) + np.arange(1, BANDS + 1, dtype=np.uint64) * PLACE[ROWS]
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    rows = least[: bands * ROWS].reshape(bands, ROWS) + np.uint64(1)
+    keys = (rows * PLACE[:ROWS]).sum(axis=1) + np.arange(1, bands + 1, dtype=np.uint64) * PLACE[ROWS]
     keys ^= keys >> np.uint64(31)
     return (keys * PLACE[ROWS + 1]).view(np.int64)
 
@@ -94,7 +107,7 @@ def _sources(documents: DataFrame, id_col: str) -> DataFrame:
     return documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("?")), text).alias("row_key"))
 
 
-def sketches(documents: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
+def sketches(documents: DataFrame, size: int, bands: int, id_col: str = "doc_id") -> DataFrame:
     """doc_id, row_key, cls (digest of the shingle set, null if empty), n_shingles, bands, sig."""
     docs = _sources(documents, id_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -109,8 +122,8 @@ def sketches(documents: DataFrame, size: int, id_col: str = "doc_id") -> DataFra
                     if not len(found):
                         rows.append((None, 0, None, None))
                         continue
-                    least = minima(found)
-                    rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), band_keys(least), packed(least)))
+                    least = minima(found, hashes_for(bands))
+                    rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), band_keys(least, bands), packed(least)))
                 out = pd.DataFrame(rows, columns=["cls", "n_shingles", "bands", "sig"])
                 out.insert(0, "doc_id", part["doc_id"].array)
                 out.insert(1, "row_key", part["row_key"].array)
@@ -119,25 +132,25 @@ def sketches(documents: DataFrame, size: int, id_col: str = "doc_id") -> DataFra
     return docs.mapInPandas(sketch, f"doc_id {kind}, row_key long, cls binary, n_shingles long, bands array<long>, sig array<long>")
 
 
-def estimate(a: str, b: str) -> F.Column:
+def estimate(a: str, b: str, hashes: int) -> F.Column:
     """Similarity from two packed signatures: the share of equal minima, without those equal by chance."""
     fives = F.lit(0x5555555555555555)
     words = []
-    for i in range(HASHES * BITS // 64):
+    for i in range(hashes * BITS // 64):
         differ = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         words.append(F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(fives)))
-    equal = 1 - reduce(lambda x, y: x + y, words) / F.lit(float(HASHES))
+    equal = 1 - reduce(lambda x, y: x + y, words) / F.lit(float(hashes))
     by_chance = 2.0**-BITS
     return (equal - by_chance) / (1 - by_chance)
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int, hashes: int) -> DataFrame:
     """The pairs (a, b) of classes that sizes and signatures allow to be linked; with pick_a, pick_b, n_a, n_b, est."""
     for end in ("a", "b"):
         side = classes.select(F.col("cls").alias(f"cls_{end}"), F.col("sig").alias(f"sig_{end}"), F.col("n_shingles").alias(f"n_{end}"), F.col("pick").alias(f"pick_{end}"))
         pairs = pairs.join(side, pairs[end] == side[f"cls_{end}"])
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    pairs = pairs.where(fits).withColumn("est", estimate("sig_a", "sig_b"))
+    pairs = pairs.where(fits).withColumn("est", estimate("sig_a", "sig_b", hashes))
     return pairs.where(F.col("est") >= percent / 100 - MARGIN).select("a", "b", "n_a", "n_b", "pick_a", "pick_b", "est")
 
 
@@ -161,8 +174,10 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int,
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents linked from percent / 100 similarity of their sets of size-word shingles."""
-    docs = saved(sketches(documents, size, id_col), "sketches")
+    """doc_id, row_key, n_shingles, component_id, kept: documents linked from percent / 100 similarity of their sets of size-word shingles."""
+    bands = bands_for(percent)
+    hashes = hashes_for(bands)
+    docs = saved(sketches(documents, size, bands, id_col), "sketches")
     classes = saved(
         docs.where("cls is not null")
         .groupBy("cls")
@@ -175,7 +190,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, id_c
     signed = classes.select("cls", "sig", "n_shingles", "pick")
 
     first = members.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    best = _likely(first, signed, percent).groupBy("b").agg(F.max(F.struct("est", "a", "n_a", "n_b", "pick_a", "pick_b")).alias("x")).select("b", "x.*")
+    best = _likely(first, signed, percent, hashes).groupBy("b").agg(F.max(F.struct("est", "a", "n_a", "n_b", "pick_a", "pick_b")).alias("x")).select("b", "x.*")
     links = saved(_confirmed(saved(best, "first"), documents, size, percent, id_col), "links")
     labels = connected_components(links, saved)
 
@@ -189,7 +204,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, id_c
     out = inside.where("outside").select(F.col("bucket").alias("o_bucket"), F.col("cls").alias("o_cls"), F.col("label").alias("o_label"))
     second = inside.join(out, (F.col("bucket") == F.col("o_bucket")) & (F.col("label") != F.col("o_label")) & (~F.col("outside") | (F.col("cls") < F.col("o_cls"))))
     second = second.select(F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b")).distinct()
-    more = _confirmed(saved(_likely(second, signed, percent), "second"), documents, size, percent, id_col)
+    more = _confirmed(saved(_likely(second, signed, percent, hashes), "second"), documents, size, percent, id_col)
     # components of components: the links found first, as labels, and the new ones
     found = connected_components(links.union(more), saved)
 
@@ -199,11 +214,19 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, id_c
     least = named.join(least, F.col("component") == F.col("l_component")).select(F.col("cls").alias("l_cls"), "component_id")
     joined = docs.join(least, docs["cls"] == F.col("l_cls"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return joined.select("doc_id", "row_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).drop("row_key")
+
+
+def without_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose kept is true, all columns; of rows with equal id and text one."""
+    kept = near_duplicates(documents, size, percent, id_col).where("kept").select(F.col("row_key").alias("kept_key")).distinct()
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("?")), F.col("text").cast("string"))
+    keyed = documents.select(key.alias("document_key"), F.struct("*").alias("document"))
+    return keyed.join(kept, F.col("document_key") == F.col("kept_key")).dropDuplicates(["document_key"]).select("document.*")
 
 
 OP4_SQL = r"""
