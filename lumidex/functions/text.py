@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Annotations that name an edition of a title, not the work.
 EDITIONS = (
@@ -22,7 +23,7 @@ ARTICLES = ("the", "a", "an", "le", "la", "les", "il", "lo", "der", "die", "das"
 LENGTH_EXPONENT = 0.35
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def folded(texts: pd.Series) -> pd.Series:
     """Case-folded, decomposed, without combining marks."""
 
@@ -100,7 +101,7 @@ def same_director(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), enough)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def similarity(queries: pd.Series, names: pd.Series) -> pd.Series:
     """The best ratio of matching blocks of a query with the whole name, or with one of its words, lowered where lengths differ."""
 
@@ -126,7 +127,7 @@ def length_bound(query: Column, name: Column) -> Column:
     return F.greatest(ratio(F.length(name)), F.array_max(F.filter(per_word, lambda x: x.isNotNull())))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two normalised titles."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
