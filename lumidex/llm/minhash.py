@@ -9,13 +9,17 @@ confirmed on the full shingle sets. There are as many bands as it takes to miss
 the threshold with a probability of at most MISS: 24 for 0.85, 35 for 0.8.
 
 Whole result without all pairs. Texts with equal sets are one class from the start,
-whatever the number of copies. In a first round each class is compared with the
-smallest member of its buckets only, and the links found make components. In a second
-round, within each bucket, every two members of different components are compared: one
-side of such a pair is outside the bucket's largest component, so a bucket of thousands
-of copies of one text costs its outsiders times its members, and nothing when all are
-linked already. No bucket is capped. Joins are on bucket or class keys, with nothing
-after them that needs one key's rows together, so adaptive execution may split them.
+whatever the number of copies. In a first round each class is compared with one centre
+of its buckets only, that with the most common shingles, and the links found make
+components. The second round looks for links between different components only. It
+goes by the rarest shingles of the classes that share a bucket: two similar sets share
+one among the first few of each, early enough for what is left to suffice (prefix and
+position filters, which lose no pair), so of thousands of copies of one text those with
+too many changes of their own meet no one. No bucket is capped. Rarity is taken from
+counts in SKETCH cells, a broadcast of fixed size; it orders the shingles, so how exact
+the counts are changes the work and not the result. Joins are on bucket, shingle or
+class keys, with nothing after them that needs one key's rows together, so adaptive
+execution may split them.
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing
 and stay, with component_id their own doc_id; texts with fewer words than a shingle
@@ -45,6 +49,7 @@ ROWS = 5
 MISS = 1e-6
 BITS = 2
 MOST_HASHES = 512
+SKETCH = 1 << 17
 MARGIN = 0.2
 _RANDOM = np.random.default_rng(20240229)
 MULTIPLY = _RANDOM.integers(0, 2**63, MOST_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,19 +150,19 @@ def estimate(a: str, b: str, hashes: int) -> F.Column:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int, hashes: int) -> DataFrame:
-    """The pairs (a, b) of classes that sizes and signatures allow to be linked; with pick_a, pick_b, n_a, n_b, est."""
+    """The pairs (a, b) of classes that sizes and signatures allow to be linked; with n_a, n_b, est."""
     for end in ("a", "b"):
-        side = classes.select(F.col("cls").alias(f"cls_{end}"), F.col("sig").alias(f"sig_{end}"), F.col("n_shingles").alias(f"n_{end}"), F.col("pick").alias(f"pick_{end}"))
+        side = classes.select(F.col("cls").alias(f"cls_{end}"), F.col("sig").alias(f"sig_{end}"), F.col("n_shingles").alias(f"n_{end}"))
         pairs = pairs.join(side, pairs[end] == side[f"cls_{end}"])
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = pairs.where(fits).withColumn("est", estimate("sig_a", "sig_b", hashes))
-    return pairs.where(F.col("est") >= percent / 100 - MARGIN).select("a", "b", "n_a", "n_b", "pick_a", "pick_b", "est")
+    return pairs.where(F.col("est") >= percent / 100 - MARGIN).select("a", "b", "n_a", "n_b", "est")
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int, id_col: str) -> DataFrame:
-    """Those of pairs whose full shingle sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("cls"), F.col("pick_a").alias("pick")).union(pairs.select("b", "pick_b")).distinct()
-    texts = _sources(documents, id_col).join(needed, F.col("row_key") == F.col("pick")).dropDuplicates(["row_key"])
+def _sets(classes: DataFrame, documents: DataFrame, size: int, id_col: str) -> DataFrame:
+    """(set_cls, shingles) of classes, from one text of each."""
+    picked = classes.select("cls", "pick")
+    texts = _sources(documents, id_col).join(picked, F.col("row_key") == F.col("pick")).dropDuplicates(["row_key"])
 
     def shingle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -165,7 +170,45 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int,
                 part = pdf.iloc[at : at + 200]
                 yield pd.DataFrame({"set_cls": part["cls"].array, "shingles": [shingle_hashes(t, size).view(np.int64) for t in part["text"]]})
 
-    sets = saved(texts.select("cls", "text").mapInPandas(shingle, "set_cls binary, shingles array<long>"), "sets")
+    return texts.select("cls", "text").mapInPandas(shingle, "set_cls binary, shingles array<long>")
+
+
+def _cell_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of SKETCH cells."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SKETCH, np.int64)
+        for pdf in frames:
+            for s in pdf["shingles"]:
+                total += np.bincount(np.asarray(s, np.int64) & (SKETCH - 1), minlength=SKETCH)
+        cell = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": cell.astype(np.int32), "n": total[cell]})
+
+    out = np.zeros(SKETCH, np.int64)
+    for r in sets.select("shingles").mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # SKETCH rows at most
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(cls, n, common, rarest): how common a set's shingles are, and those of which a similar set holds one, rarest first."""
+    cells = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets))
+
+    def order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for cls, found in pdf[["set_cls", "shingles"]].itertuples(index=False):
+                s = np.asarray(found, np.int64)
+                seen = cells.value[s & (SKETCH - 1)]
+                first = np.lexsort((s, seen))[: len(s) + (-percent * len(s) // 100) + 1]
+                rows.append((cls, len(s), float(np.log(seen).mean()), s[first]))
+            yield pd.DataFrame(rows, columns=["cls", "n", "common", "rarest"])
+
+    return sets.mapInPandas(order, "cls binary, n long, common double, rarest array<long>")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs whose full shingle sets are similar enough."""
     for end in ("a", "b"):
         side = sets.select(F.col("set_cls").alias(f"set_{end}"), F.col("shingles").alias(f"shingles_{end}"))
         pairs = pairs.join(side, pairs[end] == side[f"set_{end}"])
@@ -173,6 +216,27 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int,
     return pairs.withColumn("shared", shared.cast("long")).where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
+def _across(rarest: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different labels that may be similar, by their rarest shingles.
+
+    Of a shingle's classes those outside the most frequent label meet all others: every
+    pair of different labels has one such side.
+    """
+    spread = rarest.select("cls", "n", F.posexplode("rarest").alias("at", "token"))
+    named = spread.join(labels, spread["cls"] == labels["node"], "left").select("token", "cls", "n", "at", F.coalesce("component", "cls").alias("label"))
+    named = saved(named, "named")
+    sizes = named.groupBy("token", "label").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label"))["label"].alias("largest")).where("labels > 1")
+    mixed = mixed.select(F.col("token").alias("m_token"), "largest")
+    inside = saved(named.join(mixed, F.col("token") == F.col("m_token")).select("token", "cls", "n", "at", "label", (F.col("label") != F.col("largest")).alias("outside")), "inside")
+    out = inside.where("outside").select(*[F.col(c).alias(f"o_{c}") for c in ("token", "cls", "n", "at", "label")])
+    once = ~F.col("outside") | (F.col("cls") < F.col("o_cls"))
+    # what two sets can still share from these places on has to reach what similarity asks for
+    room = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at")) >= percent * (F.col("n") + F.col("o_n"))
+    pairs = inside.join(out, (F.col("token") == F.col("o_token")) & (F.col("label") != F.col("o_label")) & once & room)
+    return pairs.select(F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """doc_id, row_key, n_shingles, component_id, kept: documents linked from percent / 100 similarity of their sets of size-word shingles."""
     bands = bands_for(percent)
@@ -185,34 +249,25 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, id_c
         "classes",
     )
     in_bands = classes.select("cls", F.explode("bands").alias("bucket"))
-    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).where("n > 1").select(F.col("bucket").alias("s_bucket"), "centre")
-    members = saved(in_bands.join(shared, F.col("bucket") == F.col("s_bucket")).select("bucket", "cls", "centre"), "members")
-    signed = classes.select("cls", "sig", "n_shingles", "pick")
-
-    first = members.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    best = _likely(first, signed, percent, hashes).groupBy("b").agg(F.max(F.struct("est", "a", "n_a", "n_b", "pick_a", "pick_b")).alias("x")).select("b", "x.*")
-    links = saved(_confirmed(saved(best, "first"), documents, size, percent, id_col), "links")
+    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("s_bucket"))
+    members = saved(in_bands.join(shared, F.col("bucket") == F.col("s_bucket")).select("bucket", "cls"), "members")
+    candidates = saved(members.select("cls").distinct().join(classes, "cls").select("cls", "sig", "n_shingles", "pick"), "candidates")
+    sets = saved(_sets(candidates, documents, size, id_col), "sets")
+    rarest = saved(_rarest(sets, percent), "rarest")
+
+    weighed = members.join(rarest.select(F.col("cls").alias("r_cls"), "common"), F.col("cls") == F.col("r_cls")).select("bucket", "cls", "common")
+    centres = weighed.groupBy("bucket").agg(F.max(F.struct("common", "cls"))["cls"].alias("centre")).select(F.col("bucket").alias("c_bucket"), "centre")
+    first = weighed.join(centres, F.col("bucket") == F.col("c_bucket")).where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
+    links = saved(_confirmed(_likely(first, candidates, percent, hashes), sets, percent), "links")
     labels = connected_components(links, saved)
-
-    labels = labels.select(F.col("node"), F.col("component"))
-    named = members.join(labels, members["cls"] == labels["node"], "left").select("bucket", "cls", F.coalesce("component", "cls").alias("label"))
-    named = saved(named, "named")
-    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("largest")).where("labels > 1")
-    mixed = saved(mixed.select(F.col("bucket").alias("m_bucket"), "largest"), "mixed")
-    inside = saved(named.join(mixed, F.col("bucket") == F.col("m_bucket")).select("bucket", "cls", "label", (F.col("label") != F.col("largest")).alias("outside")), "inside")
-    out = inside.where("outside").select(F.col("bucket").alias("o_bucket"), F.col("cls").alias("o_cls"), F.col("label").alias("o_label"))
-    second = inside.join(out, (F.col("bucket") == F.col("o_bucket")) & (F.col("label") != F.col("o_label")) & (~F.col("outside") | (F.col("cls") < F.col("o_cls"))))
-    second = second.select(F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b")).distinct()
-    more = _confirmed(saved(_likely(second, signed, percent, hashes), "second"), documents, size, percent, id_col)
-    # components of components: the links found first, as labels, and the new ones
+    more = saved(_confirmed(_likely(_across(rarest, labels, percent), candidates, percent, hashes), sets, percent), "more")
     found = connected_components(links.union(more), saved)
 
     named = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     named = saved(named, "components")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id")).select(F.col("component").alias("l_component"), "component_id")
     least = named.join(least, F.col("component") == F.col("l_component")).select(F.col("cls").alias("l_cls"), "component_id")
-    joined = docs.join(least, docs["cls"] == F.col("l_cls"), "left")
+    joined = docs.select("doc_id", "row_key", "cls", "n_shingles").join(least, F.col("cls") == F.col("l_cls"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "row_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
