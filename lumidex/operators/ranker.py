@@ -60,9 +60,14 @@ def queue(pool: DataFrame, seed: int, deferred: DataFrame, *excluded: DataFrame)
         left = left.join(gone.select("film_id"), "film_id", "left_anti")
     late = deferred.groupBy("film_id").agg(F.max("deferred_on").alias("deferred_on"))
     key = F.when(F.col("deferred_on").isNull(), queue_key(seed, F.col("film_id")))
-    placed = left.join(late, "film_id", "left").withColumn("key", key)
-    order = [F.col("deferred_on").asc_nulls_first(), F.col("key").asc_nulls_last(), F.col("film_id")]
-    return placed.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("film_id", "place")
+    # places are counted within slices of the shuffle (a hash, so slices are even) and of the days, and slices by prefix sums
+    placed = left.join(late, "film_id", "left").withColumn("key", key).withColumn("slice", F.shiftright("key", 20).cast("int"))
+    slices = placed.groupBy("deferred_on", "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.col("deferred_on").asc_nulls_first(), F.col("slice").asc_nulls_last())) - F.col("n")
+    slices = slices.select(F.col("deferred_on").alias("s_day"), F.col("slice").alias("s_slice"), before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("deferred_on", "slice").orderBy(F.col("key").asc_nulls_last(), "film_id"))
+    joined = placed.withColumn("own", own).join(slices, F.col("deferred_on").eqNullSafe(F.col("s_day")) & F.col("slice").eqNullSafe(F.col("s_slice")))
+    return joined.select("film_id", (F.col("before") + F.col("own")).alias("place"))
 
 
 def rank_pool(owned: DataFrame, marked: DataFrame, ratings: DataFrame, dispositions: DataFrame, unseen: DataFrame) -> DataFrame:

@@ -157,18 +157,19 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 
 def tie_labels(placed: DataFrame) -> DataFrame:
-    """Lines of a tiered list from (tier, film_id, title, position): ordered titles first, then the others by title.
+    """Lines of tiered lists from (session_id, tier, film_id, title, position): ordered titles first, then the others by title.
 
-    line numbers run over all tiers; unordered titles of a tier share a label =N of their
-    first line if they are two or more. Tiers are counted first, so that each tier's lines
-    are numbered by itself.
+    Line numbers run over a session's tiers; unordered titles of a tier share a label =N of
+    their first line if they are two or more. Tiers are counted first, so that each is
+    numbered by itself.
     """
     key = [F.col("position").asc_nulls_last(), F.lower("title"), F.col("film_id")]
-    tier = Window.partitionBy("tier")
-    sizes = placed.groupBy("tier").agg(F.count("*").alias("n"))
-    before = sizes.select(F.col("tier").alias("b_tier"), (F.sum("n").over(Window.orderBy("tier")) - F.col("n")).alias("before"))
-    numbered = placed.join(F.broadcast(before), F.col("tier") == F.col("b_tier")).withColumn("line", F.col("before") + F.row_number().over(Window.partitionBy("tier").orderBy(*key)))
+    tier = Window.partitionBy("session_id", "tier")
+    sizes = placed.groupBy("session_id", "tier").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("session_id").orderBy("tier")) - F.col("n")
+    before = sizes.select("session_id", "tier", before.alias("before"))
+    numbered = placed.join(before, ["session_id", "tier"]).withColumn("line", F.col("before") + F.row_number().over(tier.orderBy(*key)))
     loose = F.col("position").isNull()
     numbered = numbered.withColumns({"n_loose": F.count_if(loose).over(tier), "first_loose": F.min(F.when(loose, F.col("line"))).over(tier)})
     label = F.when(loose & (F.col("n_loose") > 1), F.concat(F.lit("="), F.col("first_loose").cast("string")))
-    return numbered.select("line", "tier", "film_id", "title", label.alias("rank_label"))
+    return numbered.select("session_id", "line", "tier", "film_id", "title", label.alias("rank_label"))

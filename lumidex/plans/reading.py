@@ -110,12 +110,13 @@ def first_per_group(spark: SparkSession, d: str) -> DataFrame:
     return views.first_per_group(seen, ["film_id"], ["first_seen", "supplier", "l_orderkey", "l_linenumber"]).select("film_id", "first_seen", "supplier")
 
 
-_PLACED = "placed AS (SELECT CAST(p_size % 5 + 1 AS INT) AS tier, p_partkey AS film_id, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS INT) END AS position FROM part)"
+_PLACED = "placed AS (SELECT p_partkey // 100 AS session_id, CAST(p_size % 5 + 1 AS INT) AS tier, p_partkey AS film_id, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS INT) END AS position FROM part)"
 
 
-@query(f"WITH {_PLACED}, n AS (SELECT *, row_number() OVER (ORDER BY tier, position NULLS LAST, lower(title), film_id) AS line FROM placed) SELECT line, tier, film_id, title, CASE WHEN position IS NULL AND count(*) FILTER (WHERE position IS NULL) OVER (PARTITION BY tier) > 1 THEN '=' || min(CASE WHEN position IS NULL THEN line END) OVER (PARTITION BY tier) END AS rank_label FROM n")
+@query(f"WITH {_PLACED}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY tier, position NULLS LAST, lower(title), film_id) AS line FROM placed) SELECT session_id, line, tier, film_id, title, CASE WHEN position IS NULL AND count(*) FILTER (WHERE position IS NULL) OVER (PARTITION BY session_id, tier) > 1 THEN '=' || min(CASE WHEN position IS NULL THEN line END) OVER (PARTITION BY session_id, tier) END AS rank_label FROM n")
 def tie_labels(spark: SparkSession, d: str) -> DataFrame:
-    placed = A.table(spark, d, "part").select((F.col("p_size") % 5 + 1).cast("int").alias("tier"), F.col("p_partkey").alias("film_id"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("int")).alias("position"))
+    k = F.col("p_partkey")
+    placed = A.table(spark, d, "part").select(F.floor(k / 100).alias("session_id"), (F.col("p_size") % 5 + 1).cast("int").alias("tier"), k.alias("film_id"), F.col("p_name").alias("title"), F.when(k % 3 == 0, k.cast("int")).alias("position"))
     return views.tie_labels(placed)
 
 
@@ -190,7 +191,7 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
     return v.agg(F.count("*").alias("films"), F.count("my_rating").alias("rated"), F.count_if(F.col("leaving_date").isNotNull()).alias("leaving"), F.count_if(F.col("my_rating") >= 1).alias("mine"), F.count_if("owned").alias("owned"), F.count_if((F.size("services") == 0) & ~F.col("on_stream")).alias("nowhere"))
 
 
-@query("SELECT row_number() OVER (ORDER BY p_size DESC, p_partkey) AS position, p_partkey AS film_id FROM part")
+@query("SELECT o_custkey AS list, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS position, o_orderkey AS film_id FROM orders")
 def watchlist_order(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.table(spark, d, "part").select(F.col("p_partkey").alias("film_id"), "p_size", F.lit(1).alias("list"))
-    return writes.renumbered(rows, ["list"], [F.desc("p_size"), F.col("film_id")]).select(F.col("position").cast("long").alias("position"), "film_id")
+    rows = A.table(spark, d, "orders").select(F.col("o_custkey").alias("list"), F.col("o_orderkey").alias("film_id"), "o_orderdate")
+    return writes.renumbered(rows, ["list"], [F.desc("o_orderdate"), F.col("film_id")]).select("list", F.col("position").cast("long").alias("position"), "film_id")

@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import random
 import uuid
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,15 @@ def test_ranker(spark):
     assert {(r["film_id"], r["low"], r["high"], r["probe"]) for r in ranker.insertion_bounds(order, verdicts).collect()} == {(99, 1, 3, 12), (98, 2, 2, None)}
 
 
+def test_queue_order(spark):
+    late = {3: dt.date(2026, 1, 2), 9: dt.date(2026, 1, 1), 4: dt.date(2026, 1, 2)}
+    pool = spark.range(300).withColumnRenamed("id", "film_id")
+    deferred = spark.createDataFrame(list(late.items()), "film_id long, deferred_on date")
+    got = [r["film_id"] for r in ranker.queue(pool, 7, deferred, pool.where("film_id % 50 = 1")).orderBy("place").collect()]
+    fresh = sorted((i for i in range(300) if i not in late and i % 50 != 1), key=lambda i: (zlib.crc32(f"7:{i}".encode()), i))
+    assert got == [*fresh, 9, 3, 4]
+
+
 PAIR = "q_id string, q_title string, q_forms array<string>, q_year int, q_class string, q_director string, q_editions array<string>, c_id string, c_titles array<string>, c_year int, c_directors string, c_votes int, c_kind string, c_in_tmdb boolean, c_in_omdb boolean, c_omdb_title string"
 
 
