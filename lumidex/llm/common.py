@@ -40,3 +40,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that operators left in the shared folder; how many. For when no lazy result of theirs is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [x.getPath() for x in files.listStatus(folder) if x.getPath().getName().startswith("lumidex-")] if files.exists(folder) else []
+    for path in gone:
+        files.delete(path, True)
+    return len(gone)
