@@ -133,3 +133,14 @@ def redirect_kind(status: Column, location: Column) -> Column:
         F.when(moved & path.rlike("^/(films|movies)/"), "film").when(moved & (path != ""), "supplement")
         .when(status.isin(404, 410), "gone").otherwise("retry")
     )
+
+
+def embedding_text(overview: Column, plot: Column, tagline: Column) -> Column:
+    """What a title's vector is made from; null if there is nothing."""
+    parts = F.filter(F.transform(F.array(overview, plot, tagline), lambda t: F.trim(t)), lambda t: t != "")
+    return F.nullif(F.array_join(parts, " "), F.lit(""))
+
+
+def app_url(store_id: Column) -> Column:
+    """A link that opens a title in the television app."""
+    return F.when(store_id.isNotNull(), F.concat(F.lit("com.apple.tv://tv.apple.com/movie/"), store_id))

@@ -33,7 +33,7 @@ def candidates(queries: DataFrame, films: DataFrame) -> DataFrame:
 
 
 def _names(c: Column) -> Column:
-    return F.transform(F.split(F.lower(c), ","), F.trim)
+    return F.transform(F.split(F.lower(c), ","), lambda n: F.trim(n))
 
 
 def scored(pairs: DataFrame) -> DataFrame:

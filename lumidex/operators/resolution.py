@@ -116,7 +116,7 @@ def row_filter(view: DataFrame, *, title: str = "", director: str = "", language
         if text:
             tests.append(F.coalesce(F.lower(column).contains(text.lower()), F.lit(False)))
     if languages:
-        spoken = F.transform(F.split(F.coalesce("language", F.lit("")), ","), F.trim)
+        spoken = F.transform(F.split(F.coalesce("language", F.lit("")), ","), lambda t: F.trim(t))
         tests.append(F.arrays_overlap(spoken, F.array(*map(F.lit, languages))))
     for column, (low, high) in (ranges or {}).items():
         tests += [F.coalesce(F.col(column) >= low, F.lit(False))] * (low is not None) + [F.coalesce(F.col(column) <= high, F.lit(False))] * (high is not None)

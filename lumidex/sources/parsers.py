@@ -144,3 +144,31 @@ def export_csv(view: DataFrame, path: str) -> None:
     """The catalogue as one CSV with a header, by scores, nulls last."""
     order = [F.col(c).desc_nulls_last() for c in ("metacritic", "rt", "imdb")]
     view.orderBy(*order, F.lower("title")).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="")
+
+
+def legacy_import(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """films, omdb and ratings of an older catalogue: catalog.json, cache.json and annotations.json; keys that match no film are unmatched."""
+    from lumidex.functions.expressions import film_key
+
+    whole = lambda name, kind: spark.read.text(f"{folder}/{name}.json", wholetext=True).select(F.from_json("value", kind).alias("x"))
+    catalog = whole("catalog", "films_fetched_at string, films array<struct<title:string,year:int,director:string,url:string>>")
+    films = catalog.select(F.col("x.films_fetched_at").try_cast("date").alias("seen"), F.explode("x.films").alias("f")).select("f.*", "seen").withColumn("key", film_key(F.col("title"), F.col("year"))).dropDuplicates(["key"])
+    cache = whole("cache", "map<string,struct<found:boolean,imdb:double,rt:int,language:string,looked_up:string>>").select(F.explode("x").alias("key", "r")).select("key", "r.found", "r.imdb", "r.rt", "r.language", F.col("r.looked_up").try_cast("date").alias("looked_up"))
+    scores = whole("annotations", "map<string,int>").select(F.explode("x").alias("key", "score"))
+    have = films.select("key")
+    return {"films": films, "omdb": cache.join(have, "key", "left_semi"), "ratings": scores.join(have, "key", "left_semi"), "unmatched": cache.select("key").union(scores.select("key")).distinct().join(have, "key", "left_anti")}
+
+
+def store_products(raw: DataFrame) -> DataFrame:
+    """Movies of a store's answers (pos, payload) in their order, digit ids only; a mark before a title says that it was removed."""
+    item = F.explode(F.from_json("payload", "results array<struct<id:string,title:string,year:int,kind:string,imdb_id:string,director:string>>")["results"])
+    p = raw.select("pos", item.alias("p")).where("p.kind = 'movie' and p.id rlike '^[0-9]+$'")
+    gone = F.startswith(F.col("p.title"), F.lit("[removed] "))
+    return p.select("pos", F.col("p.id").alias("itunes_id"), F.regexp_replace("p.title", r"^\[removed\] ", "").alias("title"), "p.year", "p.imdb_id", "p.director", gone.alias("removed"))
+
+
+def confirmed_product(targets: DataFrame, products: DataFrame) -> DataFrame:
+    """(film_id, itunes_id, outcome): the one product of a title's imdb id, else unmatched or ambiguous."""
+    found = targets.join(products.where("not removed").select("imdb_id", "itunes_id"), "imdb_id", "left").groupBy("film_id").agg(F.count_distinct("itunes_id").alias("n"), F.min("itunes_id").alias("itunes_id"))
+    outcome = F.when(F.col("n") == 0, "unmatched").when(F.col("n") > 1, "ambiguous").otherwise("matched")
+    return found.select("film_id", F.when(F.col("n") == 1, F.col("itunes_id")).alias("itunes_id"), outcome.alias("outcome"))

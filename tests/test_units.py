@@ -174,7 +174,7 @@ def test_resolver_rules(spark):
 def test_match_verdicts(spark):
     films = spark.createDataFrame([(1, "Alpha", 1946, "A B", 100, None), (2, "Beta", 1950, None, None, 3.0), (3, "Beta", 1950, None, None, 1.0), (4, "Gamma Ray: One", 1960, None, None, None)], "id long, title string, year int, director string, runtime_min int, popularity double")
     queries = spark.createDataFrame(
-        [(1, "Álpha (Restored)", 1947, "database", None, None, True), (2, "Beta", 1950, "database", None, None, False), (3, "Gamma Ray", None, "commerce", None, None, False), (4, "Nothing", 1950, "database", None, None, False), (5, "Alpha", 1990, "database", None, None, False), (6, "Alpha", 1990, "commerce", None, None, False), (7, "Alpha", 1990, "commerce", "a b", None, False)],
+        [(1, "Álpha (Restored)", 1947, "database", None, None, True), (2, "Beta", 1950, "database", None, None, False), (3, "Gamma Ray", None, "commerce", None, None, False), (4, "Nothing", 1950, "database", None, None, False), (5, "Alpha", 1990, "database", None, None, False), (6, "Alpha", 1990, "commerce", None, None, False), (7, "Alpha", 1990, "commerce", "x, a b", None, False)],
         "id long, title string, year int, year_kind string, director string, runtime_min int, edition_hint boolean",
     )
     got = {r["id"]: (r["kind"], r["film_id"], r["reason"]) for r in matching.verdicts(queries, films).collect()}
@@ -197,6 +197,13 @@ def test_worklists(spark):
     assert {r["film_id"] for r in worklists.needing_lookup(films, omdb, DAY + dt.timedelta(30)).collect()} == {2, 3, 4, 5}
 
 
+def test_row_filter(spark):
+    rows = [(1, "Alpha", "Jane B", "English, French", 1946), (2, "Beta", None, None, None), (3, "alphabet", "Al", "French", 1990)]
+    view = spark.createDataFrame(rows, "film_id long, title string, director string, language string, year int")
+    ids = lambda **k: [r["film_id"] for r in resolution.row_filter(view, **k).collect()]
+    assert ids(title="ALPHA") == [1, 3] and ids(languages=("French",)) == [1, 3] and ids(languages=("English",)) == [1] and ids(ranges={"year": (1950, None)}) == [3] and ids(director="jane") == [1] and ids() == [1, 2, 3]
+
+
 def test_nearest_titles(spark):
     films = corpus(spark)["films"].union(spark.createDataFrame([(4, "Alpha", 1990), (5, "The Blue Alpha", 1970)], "film_id long, title string, year int"))
     asked = spark.createDataFrame([(1, "alpha", 1946), (2, "Alpha (1990)", None), (3, "alpha blue", None), (4, "the", None)], "query_id long, title string, year int")
@@ -240,6 +247,22 @@ def test_payloads(spark):
     assert [tuple(r) for r in parsers.library_export(lines).collect()] == [("Alpha", 1946, 90), ("Beta", None, None)]
 
 
+def test_legacy_import(spark, tmp_path):
+    (tmp_path / "catalog.json").write_text(json.dumps({"films_fetched_at": "2026-01-01", "films": [{"title": "Alpha", "year": 1946, "director": "J", "url": "u"}]}))
+    (tmp_path / "cache.json").write_text(json.dumps({"alpha (1946)": {"found": True, "imdb": 7.5}, "beta (None)": {"found": False}}))
+    (tmp_path / "annotations.json").write_text(json.dumps({"alpha (1946)": 8}))
+    out = parsers.legacy_import(spark, str(tmp_path))
+    assert out["films"].count() == 1 and out["omdb"].first()["imdb"] == 7.5 and out["ratings"].first()["score"] == 8 and [r["key"] for r in out["unmatched"].collect()] == ["beta (None)"]
+
+
+def test_store_products(spark):
+    items = [{"id": "1", "title": "A", "kind": "movie", "imdb_id": "t1"}, {"id": "2", "title": "[removed] A", "kind": "movie", "imdb_id": "t1"}, {"id": "x", "title": "B", "kind": "movie"}, {"id": "3", "title": "C", "kind": "movie", "imdb_id": "t2"}, {"id": "4", "title": "C", "kind": "movie", "imdb_id": "t2"}]
+    products = parsers.store_products(spark.createDataFrame([(0, json.dumps({"results": items}))], "pos int, payload string"))
+    targets = spark.createDataFrame([(1, "t1"), (2, "t2"), (3, "t3")], "film_id long, imdb_id string")
+    assert {tuple(r) for r in parsers.confirmed_product(targets, products).collect()} == {(1, "1", "matched"), (2, None, "ambiguous"), (3, None, "unmatched")}
+    assert one(spark, X.embedding_text(F.lit(" a "), F.lit(None), F.lit("b")), X.embedding_text(F.lit(""), F.lit(None), F.lit(None)), X.app_url(F.lit("5"))) == ("a b", None, "com.apple.tv://tv.apple.com/movie/5")
+
+
 def test_observations(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"url":"u","film_id":1,"status":301}\n{"url":"u","film_id":2,"status":404}\n{"url":"v","fil')
     assert [(r["url"], r["film_id"]) for r in parsers.observations(spark, str(tmp_path)).collect()] == [("u", 2)]
