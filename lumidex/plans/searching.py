@@ -60,17 +60,17 @@ _Q = "list_transform(range(0, 64), lambda i: CAST(((i * 7) % 13) - 6 AS DOUBLE)
 QUERY_VECTOR = [((i * 7) % 13 - 6) / 30.0 for i in range(64)]
 
 
-@query(f"WITH x AS (SELECT vec_id, 1 - list_dot_product(CAST(embedding AS DOUBLE[]), {_Q}) AS distance FROM embeddings), r AS (SELECT vec_id, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, vec_id) AS n FROM x WHERE distance <= 0.8) SELECT vec_id, distance FROM r WHERE n <= 10")
+@query(f"WITH x AS (SELECT vec_id, 1 - list_dot_product(CAST(embedding AS DOUBLE[]), {_Q}) AS distance FROM embeddings), r AS (SELECT vec_id, round(distance, 6) + 0.0 AS distance, row_number() OVER (ORDER BY distance, vec_id) AS n FROM x WHERE distance <= 0.8) SELECT vec_id, distance FROM r WHERE n <= 10")
 def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     e = A.table(spark, d, "embeddings")
-    return vectors.nearest(e, QUERY_VECTOR, key="vec_id", column="embedding").withColumn("distance", F.round("distance", 6))
+    return vectors.nearest(e, QUERY_VECTOR, key="vec_id", column="embedding").withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT query_id, vec_id, 1 - list_dot_product(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS dist FROM embeddings, q), r AS (SELECT query_id, vec_id, round(dist, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS place FROM x) SELECT query_id, vec_id, distance, CAST(place AS INT) AS place FROM r WHERE place <= 10")
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT query_id, vec_id, 1 - list_dot_product(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS dist FROM embeddings, q), r AS (SELECT query_id, vec_id, round(dist, 6) + 0.0 AS distance, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS place FROM x) SELECT query_id, vec_id, distance, CAST(place AS INT) AS place FROM r WHERE place <= 10")
 def knn_of_each(spark: SparkSession, d: str) -> DataFrame:
     e = A.table(spark, d, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vectors.nearest_of_each(e, asked).withColumn("distance", F.round("distance", 6))
+    return vectors.nearest_of_each(e, asked).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
 @query(f"WITH x AS (SELECT vec_id, 1 - list_dot_product(CAST(embedding AS DOUBLE[]), {_Q}) AS distance FROM embeddings), near AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY distance, vec_id) AS n FROM x WHERE distance <= 0.8) WHERE n <= 10), hits AS (SELECT vec_id, CAST(label AS DOUBLE) AS score FROM embeddings WHERE label >= 5) SELECT h.vec_id AS film_id, round(h.score + coalesce(5.0 * (1 - n.distance), 0), 6) AS score, CAST(0 AS INT) AS stage FROM hits h LEFT JOIN near n USING (vec_id) UNION ALL SELECT vec_id, round(-distance, 6), 1 FROM near WHERE vec_id NOT IN (SELECT vec_id FROM hits)")

@@ -25,7 +25,7 @@ def plain(x):
     if isinstance(x, bool):
         return x
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 5)
+        return None if math.isnan(x) else round(x, 5) + 0.0
     if hasattr(x, "isoformat"):
         return x.isoformat()
     if isinstance(x, (list, tuple)):
