@@ -219,7 +219,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", length: int = L
     )
     # rank of the first length, at anchors
     at = classes.select("id", F.explode(F.arrays_zip("spots", "hashes")).alias("x")).select("id", F.col("x.spots").alias("spot"), F.col("x.hashes").alias("hash"))
-    again = at.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("r_hash"))
+    # counts are written before rows join them: a join right above its two exchanges may be split where a hash is hot
+    again = saved(at.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("r_hash")), "again")
     seeds = at.join(again, F.col("hash") == F.col("r_hash")).groupBy("id").agg(F.collect_list("spot").alias("spots"))
     seeds = seeds.withColumnRenamed("id", "s_id").join(classes.select("id", "digest", "pick"), F.col("id") == F.col("s_id")).select("id", "digest", "pick", "spots")
     here = _sources(documents, id_col).join(saved(seeds, "seeds"), F.col("row_key") == F.col("pick")).where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
@@ -236,7 +237,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", length: int = L
     wholes = saved(parts.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "low", "high")).alias("one")), "wholes")
     twice = wholes.where("n > 1").select(F.col("core").alias("t_core"), F.col("whole").alias("t_whole"))
     all_of = parts.join(twice, (F.col("core") == F.col("t_core")) & (F.col("whole") == F.col("t_whole"))).select("id", "low", "high")
-    edges = wholes.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("core").alias("e_core"))
+    edges = saved(wholes.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("core").alias("e_core")), "edges")
     edges = wholes.join(edges, F.col("core") == F.col("e_core")).select("one.*", (F.col("n") == 1).alias("alone"))
 
     # rank of the last: strings of the full length at the starts of edges
@@ -253,6 +254,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", length: int = L
     at_edges = texts.join(by_text, F.col("id") == F.col("e_id")).select("id", "text", "edges")
     ranked = saved(at_edges.mapInPandas(rank, "id long, start int, name long, alone boolean"), "ranked")
     named = ranked.groupBy("name").agg(F.count("*").alias("n"), F.max("alone").alias("any")).where("n > 1 and any").select(F.col("name").alias("n_name"))
+    named = saved(named, "named")
     some_of = ranked.where("alone").join(named, F.col("name") == F.col("n_name")).select("id", F.col("start").alias("low"), F.col("start").alias("high"))
 
     # what is found, on the texts
