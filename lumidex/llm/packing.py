@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,14 @@ SPECIAL = "<|endoftext|>"
 #: Columns that the linear program generates at most; it stops sooner when no pattern prices in or within GAP of the dual bound.
 MAX_COLUMNS = 4000
 GAP = 1e-3
+#: The faster tokenizer's pattern matcher overflows its stack on a run of about 1,000,000 blanks; runs from here on go to the other one.
+SAFE_BLANKS = 100_000
+BLANKS = re.compile(r"\s+")
+
+
+def blank_run(text: str) -> bool:
+    """Whether text holds a run of SAFE_BLANKS blanks or more."""
+    return len(text) >= SAFE_BLANKS and any(m.end() - m.start() >= SAFE_BLANKS for m in BLANKS.finditer(text))
 
 
 @functools.cache
@@ -50,7 +59,8 @@ def tokenizer(folder: str | None = None):
     """text -> array of ids of the byte-level BPE vocabulary of about 50,000; folder: where its two files are.
 
     Both files hold one vocabulary. The faster library takes the texts without a
-    special token's string, the other one those with it.
+    special token's string and without a very long run of blanks, the other one those
+    with either.
     """
     import public_tokenizers
     import tiktoken
@@ -65,7 +75,7 @@ def tokenizer(folder: str | None = None):
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
-        found = slow.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+        found = slow.encode(text, add_special_tokens=False).ids if SPECIAL in text or blank_run(text) else fast.encode_ordinary(text)
         return np.array([*found, END_ID], "<u4")
 
     return ids

@@ -378,3 +378,19 @@ def test_packing(spark):
             at += length
         assert at <= 2048
     assert packing.pack(documents(spark, [])).count() == 0
+
+
+def test_packing_of_very_long_blank_runs(spark):
+    """A run of a million blanks is more than the faster tokenizer takes."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000), (3, "　" * 999_999 + "c"), (4, "a " * 60_000), (5, " " * packing.SAFE_BLANKS), (6, " " * (packing.SAFE_BLANKS - 1) + "x")]
+    assert [packing.blank_run(t) for _, t in docs] == [True, True, True, False, True, False]
+    got: dict = {}
+    for r in packing.pack(documents(spark, docs)).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    for i, t in docs:
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        assert sorted(got[i]) == [(at, len(ids[at : at + packing.WIDTH]), zlib.crc32(ids[at : at + packing.WIDTH].tobytes())) for at in range(0, len(ids), packing.WIDTH)]
