@@ -11,7 +11,9 @@ pages whose blocks are known; no rows of the data are used. Its weights, some te
 thousand numbers, are broadcast.
 
 Scale: one pass over the pages, no shuffle. Pages are labelled in batches of similar
-block counts. Memory is that of a batch of pages.
+block counts, bounded by pages times the block count of the longest; a page beyond that
+bound goes alone and is read in pieces that hand on their units. Memory is that of such
+a batch, and of the blocks of the longest page.
 
 Defined results: null and empty html, and pages without main text, have empty text; very
 long pages are read whole; repeated rows each give a row; a null page_id or url is
@@ -36,6 +38,8 @@ from lumidex.llm.common import table
 PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 1024, 64, 7
 UNITS = 16
 BATCH = 256
+#: Pages times blocks of the longest page that are labelled at a time, and blocks held encoded; a page with more goes alone.
+MAX_BLOCKS = 65536
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'][^>]*+)*+)>?|<[!?][^>]*+>?""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -149,6 +153,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def batches(order: list[int], widths: list[int]) -> Iterator[list[int]]:
+    """order, by growing width, in runs of at most BATCH and at most MAX_BLOCKS places, padding included; a wider one alone."""
+    some: list[int] = []
+    for i in order:
+        if some and (len(some) == BATCH or (len(some) + 1) * widths[i] > MAX_BLOCKS):
+            yield some
+            some = []
+        some.append(i)
+    if some:
+        yield some
+
+
 class Labeller:
     """Weights: for both directions input to gates and units to gates; units to the label."""
 
@@ -162,28 +178,28 @@ class Labeller:
             self.w["h" + d] = rng.normal(0, 0.2, (UNITS, 4 * UNITS))
         self.w["o"] = rng.normal(0, 0.3, (2 * UNITS + 1,))
 
-    def inputs(self, pages: list[Encoded], direction: str) -> tuple[np.ndarray, np.ndarray]:
-        """(gate inputs by page and block, whether the block is there)."""
-        width = max(len(p.paths) for p in pages)
+    def inputs(self, pages: list[Encoded], direction: str, first: int, past: int) -> tuple[np.ndarray, np.ndarray]:
+        """(gate inputs by page and block, whether the block is there) of the blocks from first to before past."""
+        width = past - first
         x, real = np.zeros((len(pages), width, 4 * UNITS)), np.zeros((len(pages), width), bool)
         known: dict[tuple[int, ...], np.ndarray] = {}
         for i, p in enumerate(pages):
-            if not p.paths:
+            if len(p.paths) <= first:
                 continue
             rows = []
-            for path in p.paths:
+            for path in p.paths[first:past]:
                 if path not in known:
                     known[path] = self.w["p" + direction][list(path)].sum(axis=0)
                 rows.append(known[path])
-            total = np.array(rows) + p.rest @ self.w["x" + direction]
+            total = np.array(rows) + p.rest[first:past] @ self.w["x" + direction]
             at = slice(0, len(rows))
             x[i, at], real[i, at] = total, True
         return x, real
 
-    def run(self, x: np.ndarray, real: np.ndarray, direction: str) -> tuple[np.ndarray, list]:
-        """Units of every block, and what training needs; the backward direction reads from the end."""
+    def run(self, x: np.ndarray, real: np.ndarray, direction: str, state: tuple[np.ndarray, np.ndarray] | None = None, training: bool = False) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """Units of every block, for training the states of every step, and the last state; the backward direction reads from the end."""
         n, width, _ = x.shape
-        h, c = np.zeros((n, UNITS)), np.zeros((n, UNITS))
+        h, c = state or (np.zeros((n, UNITS)), np.zeros((n, UNITS)))
         out, steps = np.zeros((n, width, UNITS)), []
         for t in range(width) if direction == "f" else range(width - 1, -1, -1):
             gates = x[:, t] + h @ self.w["h" + direction]
@@ -191,21 +207,26 @@ class Labeller:
             g = np.tanh(gates[:, 3 * UNITS :])
             now = f * c + i * g
             on = real[:, t, None]
-            steps.append((t, h, c, i, f, o, g, np.tanh(now)))
+            if training:
+                steps.append((t, h, c, i, f, o, g, np.tanh(now)))
             h, c = np.where(on, o * np.tanh(now), h), np.where(on, now, c)
             out[:, t] = h
-        return out, steps
+        return out, steps, (h, c)
 
     def label(self, pages: list[Encoded]) -> list[np.ndarray]:
         """The probability of main text for each block of each page."""
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p.paths), key=lambda i: len(pages[i].paths))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            logit = self.w["o"][-1]
+        for some in batches(order, [len(p.paths) for p in pages]):
+            width = len(pages[some[-1]].paths)
+            logit = np.full((len(some), width), self.w["o"][-1])
+            pieces = [(at, min(at + MAX_BLOCKS, width)) for at in range(0, width, MAX_BLOCKS)]
             for k, d in enumerate("fb"):
-                x, real = self.inputs([pages[i] for i in some], d)
-                logit = logit + self.run(x, real, d)[0] @ self.w["o"][k * UNITS : (k + 1) * UNITS]
+                state = None
+                for first, past in pieces if d == "f" else reversed(pieces):
+                    x, real = self.inputs([pages[i] for i in some], d, first, past)
+                    units, _, state = self.run(x, real, d, state)
+                    logit[:, first:past] += units @ self.w["o"][k * UNITS : (k + 1) * UNITS]
             for row, i in enumerate(some):
                 out[i] = _sigmoid(logit[row, : len(pages[i].paths)])
         return out
@@ -230,12 +251,12 @@ class Labeller:
             slope, runs, logit = {k: np.zeros_like(v) for k, v in self.w.items()}, {}, self.w["o"][-1]
             for k, d in enumerate("fb"):
                 x = multi @ self.w["p" + d][used].astype(np.float32) + rest @ self.w["x" + d].astype(np.float32)
-                runs[d] = self.run(x.reshape(len(pages), width, -1), real, d)
+                runs[d] = self.run(x.reshape(len(pages), width, -1), real, d, training=True)
                 logit = logit + runs[d][0] @ self.w["o"][k * UNITS : (k + 1) * UNITS]
             error = (_sigmoid(logit) - y) * real / real.sum()
             slope["o"][-1] = error.sum()
             for k, d in enumerate("fb"):
-                out, steps = runs[d]
+                out, steps, _ = runs[d]
                 own = self.w["o"][k * UNITS : (k + 1) * UNITS]
                 slope["o"][k * UNITS : (k + 1) * UNITS] = np.einsum("nt,ntu->u", error, out)
                 dx = np.zeros((*out.shape[:2], 4 * UNITS))
@@ -374,9 +395,15 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for at in range(0, len(pdf), 2 * BATCH):
-                part = pdf.iloc[at : at + 2 * BATCH]
-                blocks = [page_blocks(x or "") for x in part["html"]]
+            at = 0
+            while at < len(pdf):
+                blocks: list = []
+                held = 0
+                while at + len(blocks) < len(pdf) and len(blocks) < 2 * BATCH and held < MAX_BLOCKS:
+                    blocks.append(page_blocks(pdf["html"].iat[at + len(blocks)] or ""))
+                    held += len(blocks[-1])
+                part = pdf.iloc[at : at + len(blocks)]
+                at += len(blocks)
                 chosen = shipped.value.label([Encoded(b) for b in blocks])
                 texts = [" ".join(text for (_, text, _), p in zip(b, ps, strict=True) if p >= 0.5) for b, ps in zip(blocks, chosen, strict=True)]
                 yield pd.DataFrame({

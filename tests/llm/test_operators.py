@@ -239,6 +239,35 @@ def test_extraction(spark, labeller):
     assert all(r["n_chars"] == len(r["text"]) for r in got) and next(r["text"] for r in got if r["page_id"] == 2) == ""
 
 
+def test_batches_are_bounded():
+    widths = [3] * 300 + [1000] * 100 + [40_000, 200_000]
+    found = list(blocks.batches(list(range(len(widths))), widths))
+    assert [i for some in found for i in some] == list(range(len(widths)))
+    assert all(len(some) <= blocks.BATCH and (len(some) == 1 or len(some) * max(widths[i] for i in some) <= blocks.MAX_BLOCKS) for some in found)
+
+
+def test_long_page_among_ordinary_ones(labeller):
+    """Memory of labelling does not grow with padding to the longest page, nor with its steps."""
+    import tracemalloc
+
+    ordinary = [blocks.Encoded(blocks.page_blocks(p)) for p, _ in blocks.generated_pages(255, 77)]
+    long = blocks.Encoded(blocks.page_blocks("<body><nav><a href=/>Home</a></nav><article>" + "<p>Some words of a cell.</p>" * 5000 + "</article></body>"))
+    alone = labeller.label([long])[0]
+    tracemalloc.start()
+    found = labeller.label([*ordinary, long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and np.allclose(found[-1], alone)
+    assert all(np.allclose(a, b) for a, b in zip(found, labeller.label(ordinary), strict=False))
+
+
+def test_long_page_in_pieces(labeller, monkeypatch):
+    pages = [blocks.Encoded(blocks.page_blocks(p)) for p, _ in blocks.generated_pages(20, 78)]
+    whole = labeller.label(pages)
+    monkeypatch.setattr(blocks, "MAX_BLOCKS", 7)
+    assert all(np.allclose(a, b) for a, b in zip(labeller.label(pages), whole, strict=True))
+
+
 # 7 classifier
 
 
