@@ -61,26 +61,42 @@ def nearest_titles(films: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, film_id, stage) of queries (query_id, title, year): the one title, all of an ambiguous title, or up to NEAREST near ones.
 
     Stages: 0 the same normalised title and year; 1 all words in the title; 2 the normalised
-    query inside the title's. Only a query's first stage with hits counts. Words meet by an
-    equi-join on the query's rarest word, so titles are not paired with queries.
+    query inside the title's, whatever the year. Only a query's first stage with hits counts,
+    and a query without words has stage 0 alone. Words meet by an equi-join on the query's
+    rarest word and substrings on its rarest window of three characters (the whole of a
+    shorter query), so titles are not paired with queries. Equal queries are answered once.
     """
     def parts(title: Column) -> Column:
         return F.array_distinct(F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda w: ~w.isin("", "the", "a", "an", "of", "and")))
 
-    q = queries.withColumns({"q_norm": norm_title(without_editions(F.col("title"))), "q_words": parts(F.col("title")), "q_year": F.coalesce("year", embedded_year(F.col("title")))}).select("query_id", "q_norm", "q_words", "q_year")
+    def windows(text: Column, n: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n))
+        return F.when((n > 0) & (F.length(text) >= n), F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    def rarest(asked: DataFrame, held: DataFrame, piece: str) -> DataFrame:
+        """asked (a row for each piece) narrowed to each query's piece that the fewest titles hold."""
+        counts = held.groupBy(piece).agg(F.count("*").alias("df"))
+        return asked.join(counts, piece, "left").groupBy("q_key").agg(F.min_by(piece, F.struct(F.coalesce("df", F.lit(0)), piece)).alias("r_piece"), *[F.any_value(c).alias(c) for c in ("q_norm", "q_words", "q_year")])
+
+    asked = queries.withColumns({"q_norm": norm_title(without_editions(F.col("title"))), "q_words": parts(F.col("title")), "q_year": F.coalesce("year", embedded_year(F.col("title")))}).withColumn("q_key", F.to_json(F.struct("q_norm", "q_words", "q_year"))).select("query_id", "q_key", "q_norm", "q_words", "q_year")
+    q = asked.groupBy("q_key").agg(*[F.any_value(c).alias(c) for c in ("q_norm", "q_words", "q_year")])
     f = films.withColumns({"f_norm": norm_title(without_editions(F.col("title"))), "f_words": parts(F.col("title"))}).select("film_id", F.col("year").alias("f_year"), "f_norm", "f_words")
     fits = F.col("q_year").isNull() | F.coalesce(F.col("q_year") == F.col("f_year"), F.lit(False))
-    same = q.join(f, F.col("q_norm") == F.col("f_norm")).where(fits & (F.col("q_norm") != "")).select("query_id", "film_id", "f_year", F.lit(0).alias("stage"))
-    counts = f.select(F.explode("f_words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    asked = q.select("query_id", "q_words", "q_year", F.explode("q_words").alias("word")).join(counts, "word", "left")
-    rare = asked.groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("r_word"), F.any_value("q_words").alias("q_words"), F.any_value("q_year").alias("q_year"))
-    spread = f.select("film_id", "f_year", "f_words", F.explode("f_words").alias("f_word"))
-    near = rare.join(spread, F.col("r_word") == F.col("f_word")).where(fits & (F.size(F.array_except("q_words", "f_words")) == 0)).select("query_id", "film_id", "f_year", F.lit(1).alias("stage"))
+    same = q.join(f, F.col("q_norm") == F.col("f_norm")).where(fits & (F.col("q_norm") != "")).select("q_key", "film_id", "f_year", F.lit(0).alias("stage"))
+    by_word = f.select("film_id", "f_year", "f_words", F.explode("f_words").alias("word"))
+    rare = rarest(q.select("*", F.explode("q_words").alias("word")), by_word, "word")
+    near = rare.join(by_word, F.col("r_piece") == F.col("word")).where(fits & (F.size(F.array_except("q_words", "f_words")) == 0)).select("q_key", "film_id", "f_year", F.lit(1).alias("stage"))
     found = same.unionByName(near)
-    best = found.groupBy(F.col("query_id").alias("b_id")).agg(F.min("stage").alias("b_stage"))
-    found = found.join(best, (F.col("query_id") == F.col("b_id")) & (F.col("stage") == F.col("b_stage")))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("f_year", F.lit(0)), "film_id"))
-    return found.withColumn("place", place).where((F.col("stage") == 0) | (F.col("place") <= NEAREST)).select("query_id", "film_id", "stage")
+    left = q.where((F.size("q_words") > 0) & (F.col("q_norm") != "")).join(found.select("q_key").distinct(), "q_key", "left_anti")
+    by_window = f.select("film_id", "f_year", "f_norm", F.explode(F.concat(*[windows(F.col("f_norm"), F.lit(n)) for n in (1, 2, 3)])).alias("window"))
+    rare = rarest(left.select("*", F.explode(windows(F.col("q_norm"), F.least(F.lit(3), F.length("q_norm")))).alias("window")), by_window, "window")
+    inside = rare.join(by_window, F.col("r_piece") == F.col("window")).where(F.col("f_norm").contains(F.col("q_norm"))).select("q_key", "film_id", "f_year", F.lit(2).alias("stage"))
+    found = found.unionByName(inside)
+    best = found.groupBy(F.col("q_key").alias("b_key")).agg(F.min("stage").alias("b_stage"))
+    found = found.join(best, (F.col("q_key") == F.col("b_key")) & (F.col("stage") == F.col("b_stage")))
+    place = F.row_number().over(Window.partitionBy("q_key").orderBy(F.coalesce("f_year", F.lit(0)), "film_id"))
+    found = found.withColumn("place", place).where((F.col("stage") == 0) | (F.col("place") <= NEAREST))
+    return asked.select("query_id", "q_key").join(found, "q_key").select("query_id", "film_id", "stage")
 
 
 def survivors(groups: DataFrame) -> DataFrame:

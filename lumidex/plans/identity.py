@@ -120,7 +120,7 @@ def blocking_match(spark: SparkSession, d: str) -> DataFrame:
 def resolver(spark: SparkSession, d: str) -> DataFrame:
     """Each customer's title resolved among the parts of that title."""
     queries, films = _match_tables(spark, d)
-    q = queries.where("id % 2 = 0").select(F.col("id").alias("q_id"), T.without_editions(F.col("title")).alias("q_title"), F.array(T.without_editions(F.col("title"))).alias("q_forms"), F.col("year").alias("q_year"), F.when(F.col("id") % 3 == 0, "mc").otherwise("database").alias("q_class"), F.when(F.col("id") % 4 == 0, "Brand#3").alias("q_director"), F.array().cast("array<string>").alias("q_editions"))
+    q = queries.select(F.col("id").alias("q_id"), T.without_editions(F.col("title")).alias("q_title"), F.array(T.without_editions(F.col("title"))).alias("q_forms"), F.col("year").alias("q_year"), F.when(F.col("id") % 3 == 0, "mc").otherwise("database").alias("q_class"), F.when(F.col("id") % 4 == 0, "Brand#3").alias("q_director"), F.array().cast("array<string>").alias("q_editions"))
     c = films.select(F.col("id").alias("c_id"), F.col("title").alias("c_title"), F.array("title").alias("c_titles"), F.col("year").alias("c_year"), F.col("director").alias("c_directors"), (F.col("id") % 3000).cast("int").alias("c_votes"), F.lit("movie").alias("c_kind"), (F.col("id") % 2 == 0).alias("c_in_tmdb"), (F.col("id") % 4 == 0).alias("c_in_omdb"), F.col("title").alias("c_omdb_title"))
     return matching.resolve(q.join(c, F.col("q_title") == F.col("c_title")).drop("c_title"))
 

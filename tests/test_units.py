@@ -211,6 +211,27 @@ def test_nearest_titles(spark):
     assert {x for x in got if x[0] != 2} == {(1, 1, 0), (3, 5, 1)}
 
 
+def test_nearest_titles_inside_others(spark):
+    """A query that no title's words hold is found inside normalised titles, in any year; equal queries each get their rows."""
+    films = spark.createDataFrame([(1, "The Blue Angel", 1930), (2, "Blue", 1993), (3, "Bluebeard", 1972), (4, None, None), (5, "!", 1950), *[(10 + i, f"Xylo{i}phone", 2000 - i) for i in range(7)]], "film_id long, title string, year int")
+    asked = spark.createDataFrame([(1, "blueang", None), (2, "blueang", 1950), (3, "blueang", None), (4, "u", None), (5, "th", None), (6, "blue", None), (7, "the", None), (8, None, None), (9, "xylo", None), (10, "zzz", None), (11, "bluean gelx", None)], "query_id long, title string, year int")
+    got: dict = {}
+    for r in resolution.nearest_titles(films, asked).collect():
+        got.setdefault(r["query_id"], []).append((r["film_id"], r["stage"]))
+    assert {k: sorted(v) for k, v in got.items()} == {1: [(1, 2)], 2: [(1, 2)], 3: [(1, 2)], 4: [(1, 2), (2, 2), (3, 2)], 5: [(1, 2)], 6: [(2, 0)], 9: [(12 + i, 2) for i in range(5)]}
+
+
+def test_registered_queries_ask_all(spark):
+    """Each part's title and each customer's title is asked, whatever its number."""
+    from lumidex.plans import catalogue
+
+    data = "/root/testdata/sf0.001"
+    ids = lambda name, key: {r[0] for r in catalogue.QUERIES[name](spark, data).select(key).distinct().collect()}
+    assert ids("nearest_titles", "query_id") == {r[0] for r in spark.read.parquet(f"{data}/part.parquet").select("p_partkey").collect()}
+    asked = {r[0] for r in spark.read.parquet(f"{data}/customer.parquet").select("c_custkey").collect()}
+    assert ids("resolver", "q_id") == asked
+
+
 def test_components(spark):
     rng = random.Random(11)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(300 + i, 301 + i) for i in range(40)]
