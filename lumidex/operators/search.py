@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumidex.functions.expressions import trigrams, words
 from lumidex.functions.stemming import stem, stems
 from lumidex.functions.text import length_bound, similarity
+from lumidex.operators import vectors
 
 #: Okapi's constants and the weights of columns and of signals.
 K1, B = 1.2, 0.75
@@ -75,7 +76,11 @@ def freeform_scores(query: str, *, texts: DataFrame, credits: DataFrame, persons
     signals.append(cast.groupBy("film_id").agg(F.when(F.min("ord") < LEAD_BILLING, LEAD_CAST).otherwise(BILLED_CAST).alias("w")))
     signals.append(credits.where(F.lower("character").contains(text)).select("film_id").distinct().withColumn("w", F.lit(CHARACTER)))
     signals.append(genres.where(F.regexp_replace(F.lower("genre"), "[^a-z0-9]", "") == re.sub("[^a-z0-9]", "", text)).select("film_id").distinct().withColumn("w", F.lit(GENRE)))
-    signals.append(keywords_matching(keywords, text).select("film_id").distinct().withColumn("w", F.lit(KEYWORD)))
+    tagged = keywords_matching(keywords, text)
+    if re.search("[a-z0-9]", text) and tagged.isEmpty():  # what stems cannot join; never beside a hit by stems
+        used = resolved(named(keywords, "keyword"), text, KEYWORD_FLOOR)
+        tagged = keywords.where(F.col("keyword") == F.lit(used))
+    signals.append(tagged.select("film_id").distinct().withColumn("w", F.lit(KEYWORD)))
     return reduce(lambda a, b: a.unionByName(b), signals).groupBy("film_id").agg(F.sum("w").alias("score"))
 
 
@@ -113,13 +118,26 @@ def corrected(names: DataFrame, query: str) -> tuple[str | None, list[str]]:
     return None, [r["name"] for r in best]
 
 
+def named(rows: DataFrame, column: str, key: str | None = None) -> DataFrame:
+    """(key, name, weight): the names in a column, or a key's name, and how many rows carry them."""
+    rows = rows.where(F.col(column) != "")
+    return rows.groupBy(F.col(key or column).alias("key")).agg(F.min(column).alias("name"), F.count("*").alias("weight"))
+
+
+def resolved(names: DataFrame, query: str, floor: float = CORRECTION_FLOOR):
+    """The key of the name that query is taken for, or None: one row reaches the driver."""
+    best = ranked(names, query, floor).orderBy(F.desc("score"), F.desc("weight"), "name", "key").limit(1).collect()
+    return best[0]["key"] if best else None
+
+
 @dataclass(frozen=True)
 class Query:
-    """What a query line says: free text, values by field, and hints for the writer."""
+    """What a query line says: free text, values by field, hints for the writer, and the (field, value) that are quoted, so never corrected."""
 
     free: str = ""
     fields: dict[str, list[str]] = field(default_factory=dict)
     hints: tuple[str, ...] = ()
+    exact: frozenset[tuple[str, str]] = frozenset()
 
 
 _PIECE = re.compile(r'"((?:[^"]|"")*)"|(?<!\S)([A-Za-z_]+):|(\S+)')
@@ -130,12 +148,15 @@ def read_query(line: str) -> Query:
     fields: dict[str, list[str]] = {}
     free: list[str] = []
     hints: list[str] = []
-    current, held = None, free
+    exact: set[tuple[str, str]] = set()
+    current, held, begins_quoted = None, free, False
 
     def close() -> None:
         if current is not None:
             if held:
                 fields.setdefault(current, []).append(" ".join(held))
+                if begins_quoted:
+                    exact.add((current, " ".join(held)))
             else:
                 hints.append(f"{current}: has no value")
 
@@ -144,13 +165,14 @@ def read_query(line: str) -> Query:
             known = ALIASES.get(name.lower(), name.lower())
             if known in FIELDS:
                 close()
-                current, held = known, []
+                current, held, begins_quoted = known, [], False
                 continue
             hints.append(f"no field is named {name}")
             bare = f"{name}:"
+        begins_quoted = begins_quoted or bool(quoted and not held)
         held.append(quoted.replace('""', '"') if quoted else bare)
     close()
-    return Query(" ".join(x for x in free if x), fields, tuple(hints))
+    return Query(" ".join(x for x in free if x), fields, tuple(hints), frozenset(exact))
 
 
 def year_range(text: str) -> tuple[int | None, int | None] | None:
@@ -170,8 +192,12 @@ def in_years(year: Column, text: str) -> Column:
     return F.coalesce((F.lit(True) if span[0] is None else year >= span[0]) & (F.lit(True) if span[1] is None else year <= span[1]), F.lit(False))
 
 
-def field_filter(name: str, value: str, *, films: DataFrame, credits: DataFrame, persons: DataFrame, genres: DataFrame, keywords: DataFrame, texts: DataFrame, options: DataFrame) -> DataFrame:
-    """film_id of the titles that one field's value holds for."""
+def field_filter(name: str, value: str, *, films: DataFrame, credits: DataFrame, persons: DataFrame, genres: DataFrame, keywords: DataFrame, texts: DataFrame, options: DataFrame, exact: bool = False) -> DataFrame:
+    """film_id of the titles that one field's value holds for.
+
+    A person, character, keyword or service that nothing is named by is taken for the most
+    similar name, unless exact. options may have the slug of a service beside its name.
+    """
     text = value.strip().lower()
     if name == "title":
         found = films.where(F.lower("title").contains(text))
@@ -181,29 +207,73 @@ def field_filter(name: str, value: str, *, films: DataFrame, credits: DataFrame,
         found = genres.where(F.regexp_replace(F.lower("genre"), "[^a-z0-9]", "") == re.sub("[^a-z0-9]", "", text))
     elif name == "keyword":
         found = keywords_matching(keywords, text)
+        if not exact and found.isEmpty() and (used := resolved(named(keywords, "keyword"), text)) is not None:
+            found = keywords_matching(keywords, used)
     elif name == "plot":
         found = texts.where(F.lower(F.concat_ws(" ", "overview", "plot")).contains(text))
     elif name == "service":
-        found = options.where(F.lower("name") == text)
+        slug = F.col("slug") if "slug" in options.columns else F.lower("name")
+        found = options.where((F.lower("name") == text) | (slug == text))
+        if not exact and found.isEmpty() and (used := resolved(named(options.withColumn("slug", slug), "name", "slug"), text)) is not None:
+            found = options.where(slug == used)
     elif name == "character":
         found = credits.where(F.lower("character").contains(text))
+        if not exact and found.isEmpty() and (used := resolved(trigram_candidates(named(credits, "character"), text), text)) is not None:
+            found = credits.where(F.col("character") == used)
     else:
         kind = F.lit(True) if name == "person" else F.col("kind") == ("cast" if name == "actor" else "crew")
         jobs = F.col("job").isin(*JOBS[name]) if name in JOBS else F.lit(True)
-        found = credits.where(kind & jobs).join(persons.where(F.lower("name") == text).select(F.col("id").alias("person_id")), "person_id", "left_semi")
+        held = credits.where(kind & jobs)
+        found = held.join(persons.where(F.lower("name") == text).select(F.col("id").alias("person_id")), "person_id", "left_semi")
+        if not exact and found.isEmpty():
+            counts = held.groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("weight"))
+            names = counts.join(persons, "id").select(F.col("id").alias("key"), "name", "weight")
+            if (used := resolved(trigram_candidates(names, text), text)) is not None:
+                found = held.where(F.col("person_id") == used)
     return found.select("film_id").distinct()
 
 
-def search(line: str, **tables: DataFrame) -> DataFrame:
-    """(film_id, score) of a query line, best first: values of one field are alternatives, fields all have to hold."""
-    query = read_query(line)
+def fielded(query: Query, tables: dict[str, DataFrame]) -> DataFrame:
+    """(film_id, title) of the titles that all fields of a query hold for; values of one field are alternatives."""
     found = tables["films"].select("film_id", "title")
     for name, values in query.fields.items():
-        group = reduce(lambda a, b: a.unionByName(b), [field_filter(name, v, **tables) for v in values])
+        group = reduce(lambda a, b: a.unionByName(b), [field_filter(name, v, exact=(name, v) in query.exact, **tables) for v in values])
         found = found.join(group, "film_id", "left_semi")
+    return found
+
+
+def scored(query: Query, found: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(film_id, score) of those found that the free text, if any, gives a score, best first."""
     if query.free:
         scores = freeform_scores(query.free, **{k: tables[k] for k in ("texts", "credits", "persons", "genres", "keywords")})
         found = found.join(scores, "film_id")
     else:
         found = found.withColumn("score", F.lit(0.0))
     return found.orderBy(F.desc("score"), F.lower("title"), "film_id").select("film_id", "score")
+
+
+def search(line: str, **tables: DataFrame) -> DataFrame:
+    """(film_id, score) of a query line, best first: values of one field are alternatives, fields all have to hold."""
+    query = read_query(line)
+    return scored(query, fielded(query, tables), tables)
+
+
+def title_hits(free: str, *, films: DataFrame, texts: DataFrame) -> DataFrame:
+    """film_id of the titles that hold each word of a free text; of a title without texts, the text anywhere in it."""
+    text = free.strip().lower()
+    terms = re.findall(r"[^\W_]+", text)
+    if not terms:
+        return films.select("film_id").limit(0)
+    whole = texts.where(F.size(F.array_except(F.array(*map(F.lit, terms)), words(F.coalesce("title", F.lit(""))))) == 0)
+    bare = films.join(texts.select("film_id"), "film_id", "left_anti").where(F.lower("title").contains(text))
+    return whole.select("film_id").unionByName(bare.select("film_id")).distinct()
+
+
+def hybrid_search(line: str, near: DataFrame, **tables: DataFrame) -> DataFrame:
+    """(film_id, score, stage) of a query line with near (film_id, distance) of its free text: meaning adds titles that all fields hold for, and none beside a title hit."""
+    query = read_query(line)
+    found = fielded(query, tables)
+    hits = scored(query, found, tables)
+    if not query.free:
+        return hits.withColumn("stage", F.lit(0))
+    return vectors.hybrid(hits, near, title_hits(query.free, films=tables["films"], texts=tables["texts"]), found if query.fields else None)

@@ -77,11 +77,18 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, ke
     return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("i", "x")).select("query_id", f"x.{key}", "x.distance", (F.col("i") + 1).alias("place"))
 
 
-def hybrid(word_hits: DataFrame, near: DataFrame) -> DataFrame:
-    """(film_id, score, stage): word hits with a bonus for closeness, then those that only meaning found, by distance."""
+def hybrid(word_hits: DataFrame, near: DataFrame, title_hits: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(film_id, score, stage): word hits with a bonus for closeness, then those that only meaning found, by distance.
+
+    Meaning adds none if a word hit is among title_hits, and only what is in allowed, if given.
+    """
     n = near.select(F.col("film_id").alias("n_film"), "distance")
     hits = word_hits.join(n, F.col("film_id") == F.col("n_film"), "left").select("film_id", (F.col("score") + F.coalesce(BONUS * (1 - F.col("distance")), F.lit(0.0))).alias("score"), F.lit(0).alias("stage"))
     only = near.join(word_hits.select("film_id"), "film_id", "left_anti").select("film_id", (-F.col("distance")).alias("score"), F.lit(1).alias("stage"))
+    if allowed is not None:
+        only = only.join(allowed.select("film_id"), "film_id", "left_semi")
+    if title_hits is not None and not word_hits.join(title_hits, "film_id", "left_semi").isEmpty():
+        only = only.limit(0)
     return hits.unionByName(only).orderBy("stage", F.desc("score"), "film_id")
 
 

@@ -101,7 +101,7 @@ def search_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     credits = lines.select(F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("person_id"), kind.alias("kind"), F.when(kind == "crew", "Director").otherwise("").alias("job"), F.col("l_shipdate").cast("string").alias("character"), F.col("l_linenumber").alias("ord"))
     persons = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     texts = films.select("film_id", "title", F.col("director").alias("overview"), F.col("genre").alias("plot"))
-    return {"films": films, "credits": credits, "persons": persons, "genres": films.select("film_id", "genre"), "keywords": films.select("film_id", F.col("title").alias("keyword")), "texts": texts, "options": A.services(spark, d).select(F.lit(0).cast("long").alias("film_id"), "name")}
+    return {"films": films, "credits": credits, "persons": persons, "genres": films.select("film_id", "genre"), "keywords": films.select("film_id", F.col("title").alias("keyword")), "texts": texts, "options": A.services(spark, d).select(F.lit(0).cast("long").alias("film_id"), "slug", "name")}
 
 
 @query("WITH k AS (SELECT DISTINCT l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE lower(s_name) = 'supplier#000000003' AND l_linenumber % 2 = 1) SELECT p_partkey AS film_id, CAST(0.0 AS DOUBLE) AS score FROM part WHERE p_partkey IN (SELECT l_partkey FROM k) AND 1950 + p_size BETWEEN 1960 AND 1985")

@@ -93,6 +93,27 @@ def test_search(spark):
     assert {tuple(r) for r in credits} == {(1, "Howard Hawks"), (2, "Howard Hawks")}
 
 
+def test_search_corrects_names(spark):
+    t = corpus(spark)
+    t["options"] = spark.createDataFrame([(1, "kino", "Kino Film Collection"), (3, "mu", "Stream")], "film_id long, slug string, name string")
+    t["keywords"] = t["keywords"].union(spark.createDataFrame([(3, "dystopia"), (1, "distant future")], "film_id long, keyword string"))
+    ids = lambda q: [r["film_id"] for r in search.search(q, **t).collect()]
+    assert ids("actor:Humphry Bogart") == [1] and ids("director:Howard Hwaks year:1950") == [2] and ids("director:Jane Bogart") == []
+    assert ids('actor:"Humphry Bogart"') == [] and ids("actor:zz") == []
+    assert ids("character:Phillip Marlowe") == [1] and ids("keyword:hospitl") == [2] and ids('keyword:"hospitl"') == []
+    assert ids("service:kino") == [1] and ids("service:MU") == [3] and ids("service:Streem") == [3] and ids("service:kino film colection") == [1] and ids('service:"Streem"') == []
+    assert ids("dystopian") == [3] and ids("dystopian future") == []
+    assert search.search("service:Streem", **corpus(spark)).first()["film_id"] == 1
+
+
+def test_hybrid_search(spark):
+    t = corpus(spark)
+    near = spark.createDataFrame([(2, 0.2), (3, 0.4)], "film_id long, distance double")
+    got = lambda q: [(r["film_id"], r["stage"]) for r in search.hybrid_search(q, near, **t).collect()]
+    assert got("ward") == [(2, 0), (3, 1)] and got("ward year:1950") == [(2, 0)] and got("nothing year:1960") == [(3, 1)]
+    assert {x[1] for x in got("alpha")} == {0} and {x[0] for x in got("alpha")} == {1, 2} and got("year:1946") == [(1, 0)]
+
+
 def test_currency(spark):
     listings = spark.createDataFrame([(1, "a", "u", dt.date(2026, 1, 1), dt.date(2026, 8, 1)), (2, "a", "u", dt.date(2026, 1, 1), dt.date(2026, 7, 1)), (3, "b", "u", dt.date(2026, 1, 1), dt.date(2026, 2, 1))], "film_id long, source string, url string, first_seen date, last_seen date")
     assert {r["film_id"] for r in currency.departed(listings).collect()} == {2}
