@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lumidex.llm.common import saved, table
 
-#: Turn numbers per block; also the largest span of turn numbers rendered into one row.
+#: Turn numbers per block; also the most turns rendered into one row.
 BLOCK_TURNS = 256
 BEFORE_ALL = -(2**62)
 
@@ -47,7 +47,7 @@ def _turns(conversations: DataFrame, block_turns: int) -> DataFrame:
 
 
 def prefix_hashes(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """conv_id, block, piece, pos (from 1), h1, h2 (rolling prefix hash), is_last; one row a distinct turn."""
+    """conv_id, block, pos (from 1), h1, h2 (rolling prefix hash), is_last; one row a distinct turn."""
     in_block = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "key")
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks_before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,13 +66,12 @@ def prefix_hashes(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> D
             F.col("conv_id").alias("c_conv"),
             F.col("block").alias("c_block"),
             F.coalesce(F.sum("n").over(blocks_before), F.lit(0)).alias("before"),
-            F.row_number().over(blocks).cast("long").alias("piece"),
             F.lead("block").over(blocks).isNull().alias("final_block"),
         )
     )
     placed = numbered.join(counts, numbered["conv_id"].eqNullSafe(counts["c_conv"]) & (F.col("block") == F.col("c_block")))
     placed = placed.select(
-        "conv_id", "turn", "block", "key", "piece",
+        "conv_id", "turn", "block", "key",
         (F.col("before") + F.col("n_in")).alias("pos"),
         (F.col("ends_block") & F.col("final_block")).alias("is_last"),
     )
@@ -89,7 +88,7 @@ def prefix_hashes(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> D
     )
     out = rolling.join(xors, rolling["conv_id"].eqNullSafe(xors["x_conv"]) & (F.col("block") == F.col("x_block")))
     return out.select(
-        "conv_id", "block", "piece", "pos", F.col("r1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("b2")).alias("h2"), "is_last"
+        "conv_id", "block", "pos", F.col("r1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("b2")).alias("h2"), "is_last"
     )
 
 
@@ -104,24 +103,30 @@ def maximal(prefixes: DataFrame) -> DataFrame:
 def collapse(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """conv_id, piece, n_turns, n_copies, text: the maximal conversations, rendered.
 
-    A piece holds one block of turns; nearly all conversations have one piece, and
-    pieces in order join to the whole conversation.
+    A piece holds block_turns turns by position, whatever their numbers; nearly all
+    conversations have one piece, and pieces in order join to the whole conversation.
     """
     prefixes = saved(prefix_hashes(conversations, block_turns), "prefixes")
     stay = saved(maximal(prefixes), "maximal")
-    pieces = prefixes.groupBy("conv_id", "block", "piece").agg(F.count("*").alias("n_in_piece"))
-    places = pieces.join(stay, pieces["conv_id"].eqNullSafe(stay["conv_id"])).select(
-        pieces["conv_id"].alias("p_conv"), F.col("block").alias("p_block"), "piece", "n_turns", "n_copies"
+    starts = prefixes.groupBy("conv_id", "block").agg((F.min("pos") - 1).alias("before"))
+    places = starts.join(stay, starts["conv_id"].eqNullSafe(stay["conv_id"])).select(
+        starts["conv_id"].alias("p_conv"), F.col("block").alias("p_block"), "before", "n_turns", "n_copies"
     )
     rows = _turns(conversations, block_turns)
     kept = rows.join(places, rows["conv_id"].eqNullSafe(places["p_conv"]) & (rows["block"] == places["p_block"]))
     said = F.sort_array(F.collect_set(F.struct("turn", "key", "role", "text")))
     turn_text = lambda t: F.concat(F.lit("<|"), F.coalesce(t["role"], F.lit("unknown")), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")), F.lit("<|end|>\n"))
-    return (
-        kept.groupBy("conv_id", "piece", "n_turns", "n_copies")
-        .agg(said.alias("said"))
-        .select("conv_id", "piece", "n_turns", "n_copies", F.array_join(F.transform("said", turn_text), "").alias("text"))
-    )
+    whole = ["conv_id", "n_turns", "n_copies"]
+    blocks = kept.groupBy(*whole, "block", "before").agg(said.alias("said"))
+    # a block's turns go to one piece, or to a few where a multiple of block_turns falls among them
+    last = F.col("before") + F.size("said") - 1
+    cut = blocks.select("*", F.explode(F.sequence(F.floor(F.col("before") / block_turns), F.floor(last / block_turns))).alias("nth"))
+    first = F.greatest(F.col("nth") * block_turns - F.col("before"), F.lit(0))
+    past = F.least((F.col("nth") + 1) * block_turns - F.col("before"), F.size("said"))
+    part = F.slice("said", (first + 1).cast("int"), (past - first).cast("int"))
+    parts = cut.select(*whole, (F.col("nth") + 1).alias("piece"), "block", F.array_join(F.transform(part, turn_text), "").alias("text"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "")
+    return parts.groupBy("conv_id", "piece", "n_turns", "n_copies").agg(joined.alias("text")).select("conv_id", "piece", "n_turns", "n_copies", "text")
 
 
 def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,6 +357,18 @@ def test_collapse_of_odd_rows(spark):
     assert chat_collapse.collapse(df.limit(0)).count() == 0
 
 
+def test_pieces_go_by_position(spark):
+    """Turn numbers do not tell how a conversation is cut: only each 256th turn begins a new piece."""
+    rows = [(1, t, "u", f"a{t}") for t in range(250, 261)] + [(2, 1_700_000_000 + 977 * t, "u", f"b{t}") for t in range(20)]
+    rows += [(3, 100 + t, "u", f"c{t}") for t in range(600)] + [(4, None, "u", "z"), (4, -5, "u", "y"), (4, 700, "u", "x")]
+    got: dict = {}
+    for r in sorted(chat_collapse.collapse(spark.createDataFrame([(*r, "c", "c") for r in rows], TURNS)).collect(), key=lambda r: (r["conv_id"], r["piece"])):
+        got.setdefault(r["conv_id"], []).append((r["piece"], r["text"].count("<|end|>"), r["text"]))
+    assert {i: [x[:2] for x in v] for i, v in got.items()} == {1: [(1, 11)], 2: [(1, 20)], 3: [(1, 256), (2, 256), (3, 88)], 4: [(1, 3)]}
+    for i in got:
+        assert "".join(x[2] for x in got[i]) == "".join(f"<|u|>\n{x}<|end|>\n" for c, _, _, x in rows if c == i)
+
+
 # 10 packing
 
 
