@@ -1,9 +1,10 @@
-"""Exact removal of repeated byte strings by distributed prefix doubling (operator 8).
+"""Exact removal of repeated byte strings by fingerprints at anchors (operator 8).
 
 Each byte inside a LENGTH-byte string that also starts somewhere else goes. Starts are
-ranked by ever longer strings around them, and what is unique at one length is not
-looked at again; Spark groups equal (rank, extension) pairs over all documents, with
-hashes of 64 bits as names of ranks. The lengths are:
+told apart by ever longer strings around them, and what is unique at one length is not
+looked at again; Spark groups equal hashes over all documents. The hashes have 64 bits and
+are taken from the bytes at each length, not from earlier ranks as in prefix doubling.
+The lengths are:
 
 1. SEED bytes at an anchor. A start's anchor is the leftmost smallest SEED-byte hash in
    the LENGTH bytes from it, so equal strings have equal anchors at equal distances, and
