@@ -1,32 +1,38 @@
-"""Exact removal of repeated byte strings by fingerprints at anchors (operator 8).
-
-Each byte inside a LENGTH-byte string that also starts somewhere else goes. Starts are
-told apart by ever longer strings around them, and what is unique at one length is not
-looked at again; Spark groups equal hashes over all documents. The hashes have 64 bits and
-are taken from the bytes at each length, not from earlier ranks as in prefix doubling.
-The lengths are:
-
-1. SEED bytes at an anchor. A start's anchor is the leftmost smallest SEED-byte hash in
-   the LENGTH bytes from it, so equal strings have equal anchors at equal distances, and
-   only anchors, one in about a hundred bytes, need a rank.
-2. An anchor's starts are dealt by distance into CHUNKS. All strings of a chunk share a
-   core of nearly LENGTH bytes, and lie in one string of little more. Chunks with a
-   unique core are done: nothing in them repeats. Chunks whose whole string occurs twice
-   are done as well: all of it repeats.
-3. In the rest, the edges of repeats, the LENGTH-byte strings at all starts are ranked;
-   of chunks with equal whole strings one stands for all.
+"""Exact removal of repeated byte strings by distributed prefix doubling (operator 8).
+
+Each byte inside a LENGTH-byte string that also starts somewhere else goes. Positions get
+a rank by the string that starts there; a position whose rank is unique is dropped, and
+ranks of longer strings are made of pairs: the rank here and the rank some bytes on.
+Spark sorts the pairs and numbers them anew, over all documents.
+
+1. Sparse positions. A start's anchor is the leftmost smallest SEED-byte hash in the
+   LENGTH bytes from it, so equal strings have equal anchors at equal distances. Only
+   anchors, one in about a hundred bytes, are counted; unique ones are dropped, and
+   with them all starts that they stand for.
+2. The starts of an anchor are dealt by distance into CHUNKS. All strings of a chunk share
+   a core of nearly LENGTH bytes, and lie in one string of little more. Chunks with equal
+   whole strings are one class; if there are two of them, all of it repeats. Of each class
+   one goes on: cores are ranked by doubling (below), and chunks of a unique core are done.
+3. What is left are the edges of repeats: all starts of their chunks are ranked by doubling.
+
+Doubling: names of LENGTH / 4 bytes at a position and LENGTH / 4 bytes on are the first
+pairs; their ranks, of LENGTH / 2 bytes, are paired again at an offset of up to
+LENGTH / 2. A position that has no partner any more is unique itself. First names are
+hashes of 64 bits, so results are exact but for hash collisions; ranks are numbers in the
+order of the sorted pairs, which is not the order of the bytes, as only equality counts.
 
 Scale: texts that are equal as a whole are one class from the start, whatever their
-number, and removed if there are two. Texts move in one shuffle, to where their
-candidate anchors are; the texts that have any are written to the shared folder, and
-only these are read after. Counts are aggregated on the map side, and joins back to
-counts are equi-joins that adaptive execution may split where a passage is very common.
+number, and removed if there are two. The texts that have candidate anchors are written to
+the shared folder, and only these are read between. Counts are aggregated on the map
+side, and joins back to counts are equi-joins that adaptive execution may split where a
+passage is very common.
 
 Defined results: null and empty texts have no bytes and nothing is removed; texts below
 LENGTH bytes stay; very long texts are hashed in blocks of BLOCK starts; a row that
 repeats is a copy like any other; null ids are ordinary; an empty table gives no rows.
 Strings do not cross documents, overlapping occurrences count, and all strings are
-judged on the input.
+judged on the input. Where a cut leaves part of a character, the text that is kept has
+U+FFFD; hash and counts are of the bytes.
 """
 
 from __future__ import annotations
@@ -36,12 +42,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumidex.llm.common import saved, table
 
-#: Bytes of the strings whose repeats go; bytes of the first rank; chunks of offsets of the second.
+#: Bytes of the strings whose repeats go; bytes at an anchor; chunks of an anchor's starts.
 LENGTH = 400
 SEED = 160
 CHUNKS = 8
@@ -156,41 +162,87 @@ def _sources(documents: DataFrame, id_col: str) -> DataFrame:
     return documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("?")), text).alias("row_key"))
 
 
+def chunk_step(length: int, seed: int, chunks: int) -> int:
+    """Starts in a chunk. Its core, length - step + 1 bytes, has to be half of length at least."""
+    step = -(-(length - seed + 1) // chunks)
+    if length - step + 1 < -(-length // 2):
+        raise ValueError("too few chunks")
+    return step
+
+
 def chunked_starts(data: bytes, spots: np.ndarray, length: int, seed: int, chunks: int) -> tuple[np.ndarray, ...]:
-    """(first start, last start, core hash, whole hash) of the chunks of data's anchors at spots."""
+    """(first start, last start, start of the core, hash of the whole) of the chunks of data's anchors at spots."""
     place, _, first, last = anchors(data, length, seed)
     wanted = np.isin(place, spots)
     place, first, last = place[wanted], first[wanted], last[wanted]
-    step = -(-(length - seed + 1) // chunks)
+    step = chunk_step(length, seed, chunks)
     parts = []
     for c in range(chunks):
         near, far = c * step, min(c * step + step - 1, length - seed)  # distances from start to anchor
         low, high = np.maximum(first, place - far), np.minimum(last, place - near)
         some = low <= high
-        parts.append((low[some], high[some], place[some], np.full(some.sum(), near), np.full(some.sum(), far)))
-    low, high, place, near, far = (np.concatenate(x) for x in zip(*parts, strict=True))
-    core, whole = np.empty(len(low), np.uint64), np.empty(len(low), np.uint64)
+        parts.append((low[some], high[some], place[some], (place - near)[some]))
+    low, high, place, core = (np.concatenate(x) for x in zip(*parts, strict=True))
+    whole = np.empty(len(low), np.uint64)
     for at in range(0, len(data), BLOCK):  # a chunk is hashed in the block that its first start is in
         mine = np.flatnonzero((low >= at) & (low < at + BLOCK))
         if len(mine):
-            found = Hashes(data[at : at + BLOCK + 2 * length])
             a, b, p = low[mine] - at, high[mine] - at, place[mine] - at
-            core[mine] = found.of(p - near[mine], p - far[mine] + length) + (near[mine] + 1).astype(np.uint64) * np.uint64(BASE)
-            whole[mine] = found.of(a, b + length) + ((p - a) * 4096 + (p - b)).astype(np.uint64) * np.uint64(BASE)
-    return low, high, core.view(np.int64), whole.view(np.int64)
+            whole[mine] = Hashes(data[at : at + BLOCK + 2 * length]).of(a, b + length) + ((p - a) * 4096 + (p - b)).astype(np.uint64) * np.uint64(BASE)
+    return low, high, core, whole.view(np.int64)
 
 
-def window_hashes(data: bytes, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash of length bytes) for all starts of the ranges low..high, in their order."""
-    counts = high - low + 1
-    starts = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    out = np.empty(len(starts), np.uint64)
+def named(data: bytes, places: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the size bytes at places, in their order; places are sorted."""
+    out = np.empty(len(places), np.uint64)
     for at in range(0, len(data), BLOCK):
-        mine = np.flatnonzero((starts >= at) & (starts < at + BLOCK))
-        if len(mine):
-            found = Hashes(data[at : at + BLOCK + length])
-            out[mine] = found.of(starts[mine] - at, starts[mine] - at + length)
-    return starts, out.view(np.int64)
+        mine = slice(*np.searchsorted(places, (at, at + BLOCK)))
+        if mine.start < mine.stop:
+            found = places[mine] - at
+            out[mine] = Hashes(data[at : at + BLOCK + size]).of(found, found + size)
+    return out.view(np.int64)
+
+
+def first_pairs(texts: DataFrame, ranges: DataFrame, half: int, offset: int) -> DataFrame:
+    """(id, pos, rank, ahead) of the positions of ranges (id, low, high), and offset bytes on from each.
+
+    rank and ahead are names of a half's halves: of the bytes at pos and of those that end
+    half bytes from there.
+    """
+    size = -(-half // 2)
+
+    def name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i, text, found in pdf.itertuples(index=False):
+                low, high = _ranges(found)
+                counts = high - low + 1
+                starts = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+                places, data = np.unique(np.concatenate((starts, starts + offset))), _bytes(text)
+                yield pd.DataFrame({"id": np.full(len(places), i), "pos": places.astype(np.int32), "rank": named(data, places, size), "ahead": named(data, places + (half - size), size)})
+
+    by_text = ranges.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("found")).withColumnRenamed("id", "r_id")
+    return texts.join(by_text, F.col("id") == F.col("r_id")).select("id", "text", "found").mapInPandas(name, "id long, pos int, rank long, ahead long")
+
+
+def reranked(pairs: DataFrame) -> DataFrame:
+    """(id, pos, rank) of the pairs (id, pos, rank, ahead) that are not unique; a pair's rank is its number among the sorted pairs."""
+    again = pairs.groupBy("rank", "ahead").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rank").alias("r_rank"), F.col("ahead").alias("r_ahead"))
+    # numbers are written before rows join them: they stay as they are if a task runs again, and a hot pair may be split
+    ranks = saved(again.orderBy("r_rank", "r_ahead").withColumn("place", F.monotonically_increasing_id()), "ranks")
+    return pairs.join(ranks, (F.col("rank") == F.col("r_rank")) & (F.col("ahead") == F.col("r_ahead"))).select("id", "pos", F.col("place").alias("rank"))
+
+
+def paired(ranks: DataFrame, offset: int) -> DataFrame:
+    """(id, pos, rank, ahead): each rank with that of the position offset bytes on; a position without one is dropped."""
+    ahead = F.max("rank").over(Window.partitionBy("id").orderBy("pos").rangeBetween(offset, offset))
+    return ranks.withColumn("ahead", ahead).where("ahead is not null")
+
+
+def doubled(texts: DataFrame, ranges: DataFrame, length: int, half: int) -> DataFrame:
+    """(id, pos, rank) of the strings of length bytes, half to twice half, that start in ranges (id, low, high) and are not unique."""
+    offset = length - half
+    halves = reranked(saved(first_pairs(texts, ranges, half, offset), "pairs"))
+    return reranked(saved(paired(halves, offset), "pairs"))
 
 
 def removed_spans(low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -209,16 +261,10 @@ def _ranges(found) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x["low"] for x in found], np.int64), np.array([x["high"] for x in found], np.int64)
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", length: int = LENGTH, seed: int = SEED, chunks: int = CHUNKS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    docs = saved(anchored(documents, id_col, length, seed).withColumn("id", F.monotonically_increasing_id()), "anchored")
-    classes = saved(
-        docs.where(F.col("n_bytes") >= length)
-        .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("row_key").alias("pick"), *[F.any_value(c).alias(c) for c in ("n_bytes", "spots", "hashes")]),
-        "classes",
-    )
-    # rank of the first length, at anchors
+def repeated_starts(documents: DataFrame, id_col: str, length: int, seed: int, chunks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, texts, starts): classes (id, digest, copies) of equal texts, texts (id, text) of those with repeated anchors, and the starts (id, low, high) of repeated strings in them."""
+    docs = anchored(documents, id_col, length, seed).where(F.col("n_bytes") >= length).withColumn("id", F.monotonically_increasing_id())
+    classes = saved(saved(docs, "anchored").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("row_key").alias("pick"), *[F.any_value(c).alias(c) for c in ("spots", "hashes")]), "classes")
     at = classes.select("id", F.explode(F.arrays_zip("spots", "hashes")).alias("x")).select("id", F.col("x.spots").alias("spot"), F.col("x.hashes").alias("hash"))
     # counts are written before rows join them: a join right above its two exchanges may be split where a hash is hot
     again = saved(at.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("r_hash")), "again")
@@ -227,61 +273,53 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", length: int = L
     here = _sources(documents, id_col).join(saved(seeds, "seeds"), F.col("row_key") == F.col("pick")).where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
     texts = saved(here.dropDuplicates(["row_key"]).select("id", "text", "spots"), "texts")
 
-    # rank of the second: cores and whole strings of chunks
     def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for i, text, spots in pdf.itertuples(index=False):
                 low, high, core, whole = chunked_starts(_bytes(text), np.asarray(spots), length, seed, chunks)
-                yield pd.DataFrame({"id": np.full(len(low), i), "low": low.astype(np.int32), "high": high.astype(np.int32), "core": core, "whole": whole})
-
-    parts = saved(texts.mapInPandas(chunk, "id long, low int, high int, core long, whole long"), "chunks")
-    wholes = saved(parts.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "low", "high")).alias("one")), "wholes")
-    twice = wholes.where("n > 1").select(F.col("core").alias("t_core"), F.col("whole").alias("t_whole"))
-    all_of = parts.join(twice, (F.col("core") == F.col("t_core")) & (F.col("whole") == F.col("t_whole"))).select("id", "low", "high")
-    edges = saved(wholes.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("core").alias("e_core")), "edges")
-    edges = wholes.join(edges, F.col("core") == F.col("e_core")).select("one.*", (F.col("n") == 1).alias("alone"))
+                yield pd.DataFrame({"id": np.full(len(low), i), "low": low.astype(np.int32), "high": high.astype(np.int32), "core": core.astype(np.int32), "whole": whole})
 
-    # rank of the last: strings of the full length at the starts of edges
-    by_text = edges.groupBy("id").agg(F.collect_list(F.struct("low", "high", "alone")).alias("edges")).withColumnRenamed("id", "e_id")
+    parts = saved(texts.mapInPandas(chunk, "id long, low int, high int, core int, whole long"), "chunks")
+    wholes = saved(parts.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "low", "high", "core")).alias("one")), "wholes")
+    twice = parts.join(wholes.where("n > 1").select(F.col("whole").alias("t_whole")), F.col("whole") == F.col("t_whole")).select("id", "low", "high")
 
-    def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for i, text, found in pdf.itertuples(index=False):
-                low, high = _ranges(found)
-                start, name = window_hashes(_bytes(text), low, high, length)
-                alone = np.repeat(np.array([x["alone"] for x in found], bool), high - low + 1)
-                yield pd.DataFrame({"id": np.full(len(start), i), "start": start.astype(np.int32), "name": name, "alone": alone})
+    texts, ones, half = texts.select("id", "text"), wholes.select("one.*"), -(-length // 2)
+    cores = doubled(texts, ones.select("id", F.col("core").alias("low"), F.col("core").alias("high")), length - chunk_step(length, seed, chunks) + 1, half)
+    edges = saved(ones.join(cores.select(F.col("id").alias("c_id"), F.col("pos").alias("c_pos")), (F.col("id") == F.col("c_id")) & (F.col("core") == F.col("c_pos")), "left_semi"), "edges")
+    starts = doubled(texts, edges.select("id", "low", "high"), length, half)
+    return classes.select("id", "digest", "copies"), texts, twice.unionByName(starts.select("id", F.col("pos").alias("low"), F.col("pos").alias("high")))
 
-    at_edges = texts.join(by_text, F.col("id") == F.col("e_id")).select("id", "text", "edges")
-    ranked = saved(at_edges.mapInPandas(rank, "id long, start int, name long, alone boolean"), "ranked")
-    named = ranked.groupBy("name").agg(F.count("*").alias("n"), F.max("alone").alias("any")).where("n > 1 and any").select(F.col("name").alias("n_name"))
-    named = saved(named, "named")
-    some_of = ranked.where("alone").join(named, F.col("name") == F.col("n_name")).select("id", F.col("start").alias("low"), F.col("start").alias("high"))
 
-    # what is found, on the texts
-    spans = all_of.unionByName(some_of).groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("found")).withColumnRenamed("id", "f_id")
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", length: int = LENGTH, seed: int = SEED, chunks: int = CHUNKS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text, what is left, of each document."""
+    classes, texts, starts = repeated_starts(documents, id_col, length, seed, chunks)
+    spans = starts.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("found")).withColumnRenamed("id", "f_id")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for i, text, found in pdf.itertuples(index=False):
-                data, sha, at = _bytes(text), hashlib.sha256(), 0
+                data, kept, at = _bytes(text), [], 0
                 gone = removed_spans(*_ranges(found), length)
                 for a, b in gone:
-                    sha.update(data[at:a])
+                    kept.append(data[at:a])
                     at = b
-                sha.update(data[at:])
-                rows.append((i, sum(b - a for a, b in gone), len(gone), sha.hexdigest()))
-            yield pd.DataFrame(rows, columns=["c_id", "cut_bytes", "cut_spans", "cut_sha"])
-
-    cuts = texts.join(spans, F.col("id") == F.col("f_id")).select("id", "text", "found").mapInPandas(cut, "c_id long, cut_bytes long, cut_spans long, cut_sha string")
-    single = classes.where("copies = 1").join(saved(cuts, "cuts"), F.col("id") == F.col("c_id")).select(F.col("digest").alias("d"), "cut_bytes", "cut_spans", "cut_sha")
-    copies = classes.where("copies > 1").select(F.col("digest").alias("d"), F.col("n_bytes").alias("cut_bytes"), F.lit(1).cast("long").alias("cut_spans"), F.lit(hashlib.sha256().hexdigest()).alias("cut_sha"))
-    joined = docs.select("doc_id", "digest", "n_bytes").join(single.unionByName(copies), F.col("digest") == F.col("d"), "left")
-    none = F.lit(0).cast("long")
+                rest = b"".join([*kept, data[at:]])
+                rows.append((i, sum(b - a for a, b in gone), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["c_id", "cut_bytes", "cut_spans", "cut_sha", "cut_text"])
+
+    cuts = texts.join(spans, F.col("id") == F.col("f_id")).select("id", "text", "found").mapInPandas(cut, "c_id long, cut_bytes long, cut_spans long, cut_sha string, cut_text string")
+    cuts = saved(cuts, "cuts")
+    single = classes.where("copies = 1").join(cuts, F.col("id") == F.col("c_id")).select("digest", "cut_bytes", "cut_spans", "cut_sha", "cut_text")
+    size, none = F.octet_length("text").cast("long"), F.lit(0).cast("long")
+    nothing = hashlib.sha256().hexdigest()
+    copies = classes.where("copies > 1").select("digest", F.lit(None).cast("long").alias("cut_bytes"), F.lit(1).cast("long").alias("cut_spans"), F.lit(nothing).alias("cut_sha"), F.lit("").alias("cut_text"))
+    verdicts = saved(single.unionByName(copies).withColumnRenamed("digest", "v_digest"), "verdicts")
+    docs = _sources(documents, id_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    joined = docs.join(verdicts, F.col("digest") == F.col("v_digest"), "left")
     return joined.select(
-        "doc_id", "n_bytes", F.coalesce("cut_bytes", none).alias("n_removed"), F.coalesce("cut_spans", none).alias("n_spans"),
-        F.coalesce("cut_sha", F.lower(F.hex("digest"))).alias("kept_sha256"),
+        "doc_id", size.alias("n_bytes"), F.when(F.col("cut_spans").isNull(), none).otherwise(F.coalesce("cut_bytes", size)).alias("n_removed"), F.coalesce("cut_spans", none).alias("n_spans"),
+        F.coalesce("cut_sha", F.lower(F.hex("digest"))).alias("kept_sha256"), F.coalesce("cut_text", "text").alias("text"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import zlib
@@ -300,7 +301,39 @@ def test_remove_repeats(spark, length, seed, chunks):
     texts += [texts[0], texts[0], "ab" * 100, "a" * 150, "é" * 60, words(rng, 9) + "b" * 90, None, "", texts[1][:-1], shared[0] + shared[0]]
     got = longdup.remove_repeats(documents(spark, list(enumerate(texts))), length=length, seed=seed, chunks=chunks).collect()
     want = brute.remove_repeats(texts, length)
-    assert {r["doc_id"]: tuple(r)[1:] for r in got} == dict(enumerate(want))
+    assert {r["doc_id"]: tuple(r)[1:5] for r in got} == dict(enumerate(want))
+    for r in got:
+        whole = texts[r["doc_id"]] or ""
+        assert r["text"] == whole if not r["n_removed"] else r["text"].isascii() is False or hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
+
+
+def test_ranks_are_made_of_pairs(spark):
+    """Ranks of longer strings come from the ranks of two shorter ones, whatever the bytes are."""
+    rows = [(1, 0, 7), (1, 4, 9), (1, 8, 3), (2, 10, 7), (2, 14, 9), (3, 5, 9), (3, 9, 7), (3, 13, 9), (4, 0, 9)]
+    pairs = longdup.paired(spark.createDataFrame(rows, "id long, pos int, rank long"), 4)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 0, 7, 9), (1, 4, 9, 3), (2, 10, 7, 9), (3, 5, 9, 7), (3, 9, 7, 9)]
+    got = longdup.reranked(pairs).collect()
+    assert sorted((r["id"], r["pos"]) for r in got) == [(1, 0), (2, 10), (3, 9)] and len({r["rank"] for r in got}) == 1
+    more = spark.createDataFrame([(1, 0, 5, 1), (1, 1, 5, 1), (1, 2, 2, 8), (2, 0, 2, 8), (2, 3, 2, 9), (3, 0, 2, 9), (4, 0, 1, 1)], "id long, pos int, rank long, ahead long")
+    ranks = {(r["id"], r["pos"]): r["rank"] for r in longdup.reranked(more).collect()}
+    assert ranks[1, 2] == ranks[2, 0] < ranks[2, 3] == ranks[3, 0] < ranks[1, 0] == ranks[1, 1] and (4, 0) not in ranks
+
+
+def test_doubling_against_all_strings(spark):
+    rng = random.Random(80)
+    texts = {i: "".join(rng.choice("ab") for _ in range(60)) for i in range(12)}
+    ranges = [(i, a, a + rng.randrange(6)) for i in texts for a in rng.sample(range(40), 3)]
+    frame = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for length, half in ((10, 5), (8, 5), (5, 3)):
+        got = longdup.doubled(frame, spark.createDataFrame(ranges, "id long, low int, high int"), length, half).collect()
+        strings = {(i, p): texts[i][p : p + length] for i, a, b in ranges for p in range(a, b + 1)}
+        counts = collections.Counter(strings.values())
+        found = {(r["id"], r["pos"]): r["rank"] for r in got}
+        assert {k for k, s in strings.items() if counts[s] > 1} <= set(found)
+        named = {}
+        for (i, p), rank in found.items():
+            assert named.setdefault(rank, texts[i][p : p + length]) == texts[i][p : p + length]
+        assert len(set(named.values())) == len(named)
 
 
 def test_remove_repeats_in_blocks(spark, monkeypatch):
@@ -311,11 +344,10 @@ def test_remove_repeats_in_blocks(spark, monkeypatch):
     for t in pieces:
         found = longdup.anchors(t.encode(), 40, 12)
         assert np.array_equal(found[2][1:], found[3][:-1] + 1) and (found[0] >= found[2]).all() or len(found[0])
-    low, high = np.array([5]), np.array([1200])
-    start, name = longdup.window_hashes(text.encode(), low, high, 40)
+    places = np.arange(5, 1201, 3)
+    name = longdup.named(text.encode(), places, 40)
     monkeypatch.setattr(longdup, "BLOCK", 1 << 20)
-    again = longdup.window_hashes(text.encode(), low, high, 40)
-    assert np.array_equal(start, again[0]) and np.array_equal(name, again[1])
+    assert np.array_equal(name, longdup.named(text.encode(), places, 40))
 
 
 def test_remove_repeats_of_odd_rows(spark):
