@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumidex.functions.expressions import known, minutes_of_seconds, sane_year, string_list
+from lumidex.functions.expressions import film_key, known, minutes_of_seconds, sane_year, string_list
 
 
 def _checked(ok: Column, value: Column, message: str) -> Column:
@@ -18,7 +20,12 @@ def list_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     A line's place is its rank; its printed label is kept where it says otherwise. A file is
     a small document and read as one row; each is parsed on its own.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.tsv$", 1).alias("file"), F.split("value", "\r?\n").alias("lines"))
+    return parsed_lists(spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.tsv$", 1).alias("file"), "value"))
+
+
+def parsed_lists(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """list_files of files (file, value) that were read already."""
+    files = files.select("file", F.split("value", "\r?\n").alias("lines"))
     heads = files.select("file", F.map_from_entries(F.transform(F.filter("lines", lambda x: x.rlike(r"^#\s*\w+\s*:")), lambda x: F.struct(F.lower(F.regexp_extract(x, r"^#\s*(\w+)\s*:", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^#\s*\w+\s*:(.*)$", 1)).alias("v")))).alias("h"))
     flag = F.lower(F.trim(F.coalesce(F.col("h")["ordered"], F.lit(""))))
     ordered = F.when(flag.isin("true", "1", "yes"), True).when(flag.isin("false", "0", "no"), False).otherwise(F.raise_error(F.concat(F.lit("ordered is neither yes nor no: "), flag)).cast("boolean"))
@@ -41,15 +48,31 @@ def list_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return lists, entries
 
 
+#: The most columns of a ratings file that are read.
+CSV_COLUMNS = 16
+
+
 def ratings_csv(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Ratings of 1 to 5 from files with the columns rating, title, year, rented; line is the data row, from 1."""
-    text = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("lines"))
-    rows = text.select(F.element_at("lines", 1).alias("head"), F.posexplode(F.slice("lines", 2, 1 << 30)).alias("at", "row")).where(F.trim("row") != "")
-    # a row is read under its own file's header: quoted commas are the CSV reader's affair
-    fields = F.from_csv(F.col("row"), F.lit("rating string, title string, year string, rented string"), {"mode": "PERMISSIVE"})
-    parsed = rows.select((F.col("at") + 1).alias("line"), fields.alias("f"))
-    stars = F.when(F.col("f.rating").try_cast("int").between(1, 5), F.col("f.rating").try_cast("int")).otherwise(F.raise_error(F.lit("a rating is not from 1 to 5")).cast("int"))
-    return parsed.select(F.lit(source).alias("source"), "line", F.trim("f.title").alias("title"), F.when(F.trim("f.year").rlike("^[0-9]{4}$"), F.trim("f.year").cast("int")).alias("year"), stars.alias("stars"), F.col("f.rented").try_cast("date").alias("rented_on"))
+    """Ratings of 1 to 5 from CSV files; see parsed_ratings."""
+    return parsed_ratings(spark.read.text(path, wholetext=True).select(F.lit(source).alias("source"), "value"))
+
+
+def parsed_ratings(files: DataFrame) -> DataFrame:
+    """(source, line, title, year, stars, rented_on) of files (source, value) with a header and one rating a line.
+
+    The columns rating, title, year and rented are found by the file's own header, in any
+    order and among others; line is the data row, from 1. Quotes are the CSV reader's affair.
+    """
+    names = [f"c{i}" for i in range(CSV_COLUMNS)]
+    cells = lambda line: F.array(*[F.from_csv(line, F.lit(", ".join(f"{n} string" for n in names)), {"mode": "PERMISSIVE"})[n] for n in names])
+    lines = files.select("source", F.split("value", "\r?\n").alias("lines"))
+    head = F.transform(cells(F.element_at("lines", 1)), lambda c: F.lower(F.trim(c)))
+    rows = lines.select("source", head.alias("head"), F.posexplode(F.slice("lines", 2, 1 << 30)).alias("at", "row")).where(F.trim("row") != "")
+    rows = rows.select("source", "head", (F.col("at") + 1).alias("line"), cells(F.col("row")).alias("cells"))
+    at = lambda name: F.trim(F.try_element_at("cells", F.nullif(F.array_position("head", name), F.lit(0)).cast("int")))
+    stars = F.when(at("rating").try_cast("int").between(1, 5), at("rating").try_cast("int")).otherwise(F.raise_error(F.lit("a rating is not from 1 to 5")).cast("int"))
+    year = F.when(at("year").rlike("^[0-9]{4}$"), at("year").cast("int"))
+    return rows.select("source", "line", at("title").alias("title"), year.alias("year"), stars.alias("stars"), at("rented").try_cast("date").alias("rented_on"))
 
 
 def library_export(lines: DataFrame) -> DataFrame:
@@ -127,7 +150,11 @@ def provider_payloads(raw: DataFrame, region: str = "US") -> DataFrame:
 
 def observations(spark: SparkSession, path: str) -> DataFrame:
     """The last line of each url of an append-only log of JSON lines; half-written lines are dropped."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    return parsed_observations(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")))
+
+
+def parsed_observations(lines: DataFrame) -> DataFrame:
+    """observations of lines (value, line) that were read already."""
     parsed = lines.withColumn("o", F.from_json("value", "url string, film_id long, status int, location string, asked_at string, applied boolean")).where("o.url is not null")
     return parsed.groupBy("o.url").agg(F.max_by("o", "line").alias("o")).select("o.*")
 
@@ -148,13 +175,16 @@ def export_csv(view: DataFrame, path: str) -> None:
 
 def legacy_import(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """films, omdb and ratings of an older catalogue: catalog.json, cache.json and annotations.json; keys that match no film are unmatched."""
-    from lumidex.functions.expressions import film_key
+    return parsed_legacy(*[spark.read.text(f"{folder}/{name}.json", wholetext=True) for name in ("catalog", "cache", "annotations")])
+
 
-    whole = lambda name, kind: spark.read.text(f"{folder}/{name}.json", wholetext=True).select(F.from_json("value", kind).alias("x"))
-    catalog = whole("catalog", "films_fetched_at string, films array<struct<title:string,year:int,director:string,url:string>>")
+def parsed_legacy(catalog: DataFrame, cache: DataFrame, annotations: DataFrame) -> dict[str, DataFrame]:
+    """legacy_import of documents (value) that were read already."""
+    whole = lambda df, kind: df.select(F.from_json("value", kind).alias("x"))
+    catalog = whole(catalog, "films_fetched_at string, films array<struct<title:string,year:int,director:string,url:string>>")
     films = catalog.select(F.col("x.films_fetched_at").try_cast("date").alias("seen"), F.explode("x.films").alias("f")).select("f.*", "seen").withColumn("key", film_key(F.col("title"), F.col("year"))).dropDuplicates(["key"])
-    cache = whole("cache", "map<string,struct<found:boolean,imdb:double,rt:int,language:string,looked_up:string>>").select(F.explode("x").alias("key", "r")).select("key", "r.found", "r.imdb", "r.rt", "r.language", F.col("r.looked_up").try_cast("date").alias("looked_up"))
-    scores = whole("annotations", "map<string,int>").select(F.explode("x").alias("key", "score"))
+    cache = whole(cache, "map<string,struct<found:boolean,imdb:double,rt:int,language:string,looked_up:string>>").select(F.explode("x").alias("key", "r")).select("key", "r.found", "r.imdb", "r.rt", "r.language", F.col("r.looked_up").try_cast("date").alias("looked_up"))
+    scores = whole(annotations, "map<string,int>").select(F.explode("x").alias("key", "score"))
     have = films.select("key")
     return {"films": films, "omdb": cache.join(have, "key", "left_semi"), "ratings": scores.join(have, "key", "left_semi"), "unmatched": cache.select("key").union(scores.select("key")).distinct().join(have, "key", "left_anti")}
 
@@ -172,3 +202,73 @@ def confirmed_product(targets: DataFrame, products: DataFrame) -> DataFrame:
     found = targets.join(products.where("not removed").select("imdb_id", "itunes_id"), "imdb_id", "left").groupBy("film_id").agg(F.count_distinct("itunes_id").alias("n"), F.min("itunes_id").alias("itunes_id"))
     outcome = F.when(F.col("n") == 0, "unmatched").when(F.col("n") > 1, "ambiguous").otherwise("matched")
     return found.select("film_id", F.when(F.col("n") == 1, F.col("itunes_id")).alias("itunes_id"), outcome.alias("outcome"))
+
+
+def archived_pages(paths: DataFrame) -> DataFrame:
+    """(page) of the archived files page-N.html among paths (path), as binaryFile lists them."""
+    number = F.regexp_extract("path", r"page-([0-9]+)\.html$", 1)
+    return paths.select(number.try_cast("int").alias("page")).where("page is not null").distinct()
+
+
+def movie_facts(raw: DataFrame) -> DataFrame:
+    """(film_id, title, original_title, imdb_id, release_year, runtime_min, director) of raw (film_id, payload) for an audit; a runtime is above 0."""
+    p = F.from_json("payload", "title string, original_title string, imdb_id string, release_date string, runtime int, credits struct<crew:array<struct<name:string,job:string>>>")
+    names = F.transform(F.filter("p.credits.crew", lambda x: x["job"] == "Director"), lambda x: x["name"])
+    return raw.select("film_id", p.alias("p")).select(
+        "film_id", "p.title", "p.original_title", F.nullif("p.imdb_id", F.lit("")).alias("imdb_id"), sane_year(F.col("p.release_date"), 2100).alias("release_year"),
+        F.when(F.col("p.runtime") > 0, F.col("p.runtime")).alias("runtime_min"), F.nullif(F.array_join(names, ", "), F.lit("")).alias("director"),
+    )
+
+
+def video_payloads(raw: DataFrame) -> DataFrame:
+    """(film_id, pos, site, type, key, name, language, official, size) of raw (film_id, payload)."""
+    one = "site:string,type:string,key:string,name:string,iso_639_1:string,official:boolean,size:int"
+    found = raw.select("film_id", F.posexplode(F.from_json("payload", f"results array<struct<{one}>>")["results"]).alias("pos", "v"))
+    return found.select("film_id", "pos", "v.site", "v.type", "v.key", "v.name", F.col("v.iso_639_1").alias("language"), "v.official", "v.size")
+
+
+def search_results(raw: DataFrame, keep: int = 10) -> DataFrame:
+    """(query_id, pos, tmdb_id, title, original_title, year, popularity) of raw (query_id, payload): the first keep of an answer."""
+    one = "id:long,title:string,original_title:string,release_date:string,popularity:double"
+    found = raw.select("query_id", F.posexplode(F.slice(F.from_json("payload", f"results array<struct<{one}>>")["results"], 1, keep)).alias("pos", "r"))
+    return found.select("query_id", "pos", F.col("r.id").alias("tmdb_id"), "r.title", "r.original_title", sane_year(F.col("r.release_date"), 2100).alias("year"), "r.popularity")
+
+
+def reduced_search(queries: DataFrame, first: DataFrame, by_year: DataFrame) -> DataFrame:
+    """The results of queries (query_id, year): of those with a year that nothing of first is within one of, by_year's are added; an id counts once.
+
+    first and by_year have search_results' columns. Both are partitioned by query, and an
+    answer holds a few rows.
+    """
+    asked = queries.where("year is not null").select("query_id", F.col("year").alias("q_year"))
+    near = first.join(asked, "query_id").where(F.abs(F.col("year") - F.col("q_year")) <= 1).select("query_id").distinct()
+    again = by_year.join(asked.select("query_id").join(near, "query_id", "left_anti"), "query_id", "left_semi")
+    both = first.withColumn("turn", F.lit(0)).unionByName(again.withColumn("turn", F.lit(1)))
+    rest = [c for c in first.columns if c not in ("query_id", "tmdb_id")]
+    return both.groupBy("query_id", "tmdb_id").agg(F.min(F.struct("turn", "pos", *[c for c in rest if c != "pos"])).alias("r")).select("query_id", "tmdb_id", *[f"r.{c}" for c in rest], "r.turn")
+
+
+def previews(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """(itunes_id, url) of asked (itunes_id) among a store's answers (payload): https addresses of its own hosts."""
+    found = answers.select(F.explode(F.from_json("payload", "results array<struct<trackId:long,previewUrl:string>>")["results"]).alias("r")).select(F.col("r.trackId").cast("string").alias("itunes_id"), F.col("r.previewUrl").alias("url"))
+    host = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
+    ours = found.where(F.startswith("url", F.lit("https://")) & ((host == "apple.com") | F.endswith(host, F.lit(".apple.com"))))
+    return ours.join(asked.select("itunes_id").distinct(), "itunes_id", "left_semi").groupBy("itunes_id").agg(F.min("url").alias("url"))
+
+
+def candidate_pool(sources: dict[str, DataFrame], keep: int = 6) -> DataFrame:
+    """(query_id, tt, title, titles, year, director, votes, in_tmdb, in_omdb) of what several searches found for a query.
+
+    sources: rows (query_id, pos, tt, tmdb_id, title, year, director, votes) by search, in
+    order of precedence. Rows of one id are one candidate: of each field the first known
+    value, all titles, the most votes. The first keep of a query stay, by precedence and place.
+    """
+    tagged = [df.select("*", F.lit(turn).alias("turn"), F.lit(name.startswith("omdb")).alias("omdb")) for turn, (name, df) in enumerate(sources.items())]
+    rows = reduce(DataFrame.unionByName, tagged).where("tt is not null").withColumn("at", F.struct("turn", "pos"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
+    one = rows.groupBy("query_id", "tt").agg(
+        F.min("at").alias("at"), *map(first, ("tmdb_id", "title", "year", "director")), F.array_sort(F.collect_set("title")).alias("titles"),
+        F.max("votes").alias("votes"), F.max(~F.col("omdb")).alias("in_tmdb"), F.max("omdb").alias("in_omdb"),
+    )
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "tt"))
+    return one.withColumn("place", place).where(F.col("place") <= keep).drop("at")
