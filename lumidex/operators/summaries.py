@@ -83,9 +83,9 @@ def audit_fold(flags: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def verdicts_added(ledger: DataFrame, new: DataFrame, dispositions: DataFrame) -> DataFrame:
-    """The ledger (film_id, verdict, reasons) with new verdicts (film_id, verdict, reasons array) of titles that are not disposed; reasons are sorted."""
+    """The ledger (film_id, verdict, reasons and more) with new verdicts, whose reasons are arrays, of titles that are not disposed; reasons are sorted."""
     rows = new.join(dispositions.select("film_id"), "film_id", "left_anti")
-    return ledger.unionByName(rows.select("film_id", "verdict", F.array_join(F.array_sort("reasons"), ",").alias("reasons")))
+    return ledger.unionByName(rows.withColumn("reasons", F.array_join(F.array_sort("reasons"), ",")).select(*ledger.columns))
 
 
 def repair_corpus(films: DataFrame, dispositions: DataFrame, ids: DataFrame, listings: DataFrame, ratings: DataFrame, owned: DataFrame, watchlist: DataFrame, omdb: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,21 @@ def query(sql: str | None = None):
     return add
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a session without one gets a temporary one in one process alone, as in tests, and is refused on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="lumidex-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df by way of the shared folder that the session names for checkpoints."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="lumidex-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/catalogue-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/catalogue-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

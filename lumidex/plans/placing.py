@@ -305,7 +305,7 @@ def edition_audit(spark: SparkSession, d: str) -> DataFrame:
     work, part = F.floor(k / 4), k % 4
     title = F.when(part == 0, _text("Work ", work)).when((part == 3) & (work % 5 == 0), _text("Unlike ", k)).otherwise(_text("Work ", work, F.when(part == 1, " (Final Cut)").when(part == 2, " (Uncut)").otherwise(" (Restored)")))
     films = _films(spark, d).withColumn("title", title).withColumn("year", F.when(part == 0, 1980).otherwise((1990 + k % 4).cast("int")))
-    films = films.withColumn("key", _text(X.film_key(F.col("title"), F.col("year")), F.when(part == 0, "").otherwise("")))
+    films = films.withColumn("key", X.film_key(F.col("title"), F.col("year")))
     named = films.where((part > 0) & (k % 3 != 2)).select("film_id", _text("Work ", work).alias("work_title"), F.lit(1980).alias("work_year"), _text("tt", work * 4).alias("tt"), _text("w", work).alias("tmdb_id"))
     ids = films.where((part == 0) & (work > 0)).select("film_id", F.lit("tmdb").alias("authority"), _text("w", work).alias("value"))
     third = films.where((part == 0) & (work % 7 == 0)).select((k + 1000000).alias("film_id"), F.lit("imdb").alias("authority"), _text("tt", k).alias("value"))
