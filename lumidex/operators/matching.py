@@ -99,6 +99,10 @@ def verdicts(queries: DataFrame, films: DataFrame, popularity: bool = False) ->
 JUNK = r"(?i)\bmaking\b|bande-annonce|trailer|q&a|\bpanel\b|behind the scenes|a look at|featurette|sing-along|timelapse|\bw/\b|on pov|\breviews?\b|the journey to|podcast"
 
 
+#: Fixed value: from which ratio two titles are alike.
+ALIKE = 0.85
+
+
 def title_levels(pairs: DataFrame) -> DataFrame:
     """pairs (q_title, q_forms, c_titles) with title_level: 3 a same form, 2 a longer title, 1 a similar one, 0 none.
 
@@ -108,7 +112,11 @@ def title_levels(pairs: DataFrame) -> DataFrame:
     norm, own, query = norm_title(F.col("c_one")), norm_title(F.col("q_form")), norm_title(F.col("q_title"))
     spread = each.withColumn("q_form", F.explode("q_forms")).withColumns({"n_c": norm, "n_f": own, "n_q": query, "a_c": article_norm(F.col("c_one")), "a_f": article_norm(F.col("q_form"))})
     prefix = F.startswith(F.col("n_c"), F.col("n_q")) & (F.length("n_q") >= 8)
-    alike = title_ratio(F.col("n_q"), F.col("n_c")) >= 0.85
+    # equal forms, and what lengths alone keep below the ratio, reach the UDF as nulls, which it passes by
+    size = lambda c: F.length(c).cast("double")
+    near = 2 * F.least(size("n_q"), size("n_c")) >= ALIKE * (size("n_q") + size("n_c"))
+    asked = (F.col("n_c") != F.col("n_f")) & ~prefix & near
+    alike = F.coalesce(title_ratio(F.when(asked, F.col("n_q")), F.when(asked, F.col("n_c"))) >= ALIKE, F.lit(False))
     level = F.when(F.col("n_c") == F.col("n_f"), 3).when(prefix, 2).when(alike, 1).otherwise(0)
     found = spread.withColumns({"l": level, "l_article": F.col("a_c") == F.col("a_f")}).groupBy("q_id", "c_id").agg(F.max("l").alias("l"), F.max("l_article").alias("l_article"))
     exact = found.groupBy(F.col("q_id").alias("e_id")).agg(F.max(F.col("l") == 3).alias("any_exact"))

@@ -96,7 +96,8 @@ def row_filter(spark: SparkSession, d: str) -> DataFrame:
     return resolution.row_filter(A.films(spark, d), title="Bolt", director="brand#1", ranges={"year": (1955, 1990), "metacritic": (40, None)}).select("film_id", "title", "year")
 
 
-@query()
+@query("""WITH f AS (SELECT p_partkey AS film_id, CAST(1950 + p_size AS INT) AS year, list_filter(string_split(lower(p_name), ' '), lambda w: w NOT IN ('', 'the', 'a', 'an', 'of', 'and')) AS w FROM part),
+p AS (SELECT q.film_id AS query_id, f.film_id, row_number() OVER (PARTITION BY q.film_id ORDER BY f.year, f.film_id) AS n FROM f q JOIN f ON list_has_all(f.w, q.w) WHERE len(q.w) > 0) SELECT query_id, film_id, CAST(1 AS INT) AS stage FROM p WHERE n <= 5""")
 def nearest_titles(spark: SparkSession, d: str) -> DataFrame:
     asked = A.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("The "), F.col("p_name")).alias("title"), F.lit(None).cast("int").alias("year"))
     return resolution.nearest_titles(A.films(spark, d), asked)

@@ -120,7 +120,13 @@ def tie_labels(spark: SparkSession, d: str) -> DataFrame:
     return views.tie_labels(placed)
 
 
-@query()
+#: The checksum that shuffles a session, as SQL: a table of 256 values from its polynomial, folded over a text's bytes.
+_CRC = """crc AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(n))),
+keyed AS (SELECT p_partkey AS film_id, '20010819:' || p_partkey AS s, CASE WHEN p_partkey % 10 = 0 THEN DATE '2001-01-01' + CAST(p_partkey % 30 AS INT) END AS day FROM part WHERE p_partkey % 101 <> 0),
+q AS (SELECT film_id, day, list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])) AS c FROM keyed, crc)"""
+
+
+@query(f"WITH {_CRC} SELECT film_id, row_number() OVER (ORDER BY day NULLS FIRST, CASE WHEN day IS NULL THEN xor(c, 4294967295) END, film_id) AS place FROM q")
 def seeded_queue(spark: SparkSession, d: str) -> DataFrame:
     deferred = A.every(spark, d, 10, F.date_add(F.lit("2001-01-01").cast("date"), (F.col("p_partkey") % 30).cast("int")).alias("deferred_on"))
     return ranker.queue(A.films(spark, d), 20010819, deferred, A.every(spark, d, 101))

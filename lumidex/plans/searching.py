@@ -35,8 +35,7 @@ def bm25_freeform(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term")
 def keyword_vocab(spark: SparkSession, d: str) -> DataFrame:
-    found = search.postings(A.table(spark, d, "documents"), "doc_id", ["text"])
-    return found.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
+    return search.vocabulary(A.table(spark, d, "documents"), ["text"])
 
 
 @query("SELECT p_partkey AS film_id FROM part WHERE contains(lower(p_name), 'ring')")
@@ -126,7 +125,7 @@ def trigram_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"WITH t AS (SELECT doc_id, {_WORDS} AS w, source FROM documents), r AS (SELECT source, doc_id, len(w) AS n, row_number() OVER (PARTITION BY source ORDER BY len(w) DESC, doc_id) AS place FROM t) SELECT source, doc_id, n, CAST(place AS INT) AS place FROM r WHERE place <= 3")
 def longest_by_source(spark: SparkSession, d: str) -> DataFrame:
-    """The top three of each group: an aggregation that keeps three rows, so a hot group stays small."""
+    """The top three of each group: Spark limits each partition to three rows of a group before it shuffles them, so a hot group stays small."""
     counted = A.table(spark, d, "documents").select("source", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n"))
     best = counted.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "doc_id")))
     return best.where("place <= 3")

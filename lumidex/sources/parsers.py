@@ -167,10 +167,27 @@ def catalog_items(raw: DataFrame) -> DataFrame:
     return first.select("mediaid", "x.title", sane_year(F.col("x.release_date"), 2100).alias("year"), F.array_join(string_list(F.col("x.director")), ", ").alias("director"))
 
 
+def media_records(raw: DataFrame) -> DataFrame:
+    """(mediaid, title, title_original, release_date, directors, license_start, license_end, content_type) of raw (mediaid, payload): the first of a record's playlist; an empty one raises."""
+    item = "mediaid:string,title:string,title_original:string,release_date:string,director:string,license_start_date_time:string,license_end_date_time:string,contentType:string"
+    p = F.try_element_at(F.from_json("payload", f"playlist array<struct<{item}>>")["playlist"], F.lit(1))
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    x = F.when(p.isNotNull(), p).otherwise(F.raise_error(F.concat(F.lit("no playlist: "), F.col("mediaid"))).cast(f"struct<{item}>"))
+    return raw.select("mediaid", x.alias("x")).select(
+        F.coalesce("x.mediaid", "mediaid").alias("mediaid"), F.coalesce("x.title", F.lit("")).alias("title"), blank(F.col("x.title_original")).alias("title_original"), blank(F.col("x.release_date")).alias("release_date"),
+        string_list(F.col("x.director")).alias("directors"), blank(F.col("x.license_start_date_time")).alias("license_start"), blank(F.col("x.license_end_date_time")).alias("license_end"), F.coalesce("x.contentType", F.lit("")).alias("content_type"),
+    )
+
+
+#: The columns of an export, in order.
+EXPORT = ("title", "year", "director", "metacritic", "rt", "imdb", "status")
+
+
 def export_csv(view: DataFrame, path: str) -> None:
-    """The catalogue as one CSV with a header, by scores, nulls last."""
+    """The catalogue as one CSV with a header, by scores, nulls last, then title. An export is a file for people, and one task writes it."""
     order = [F.col(c).desc_nulls_last() for c in ("metacritic", "rt", "imdb")]
-    view.orderBy(*order, F.lower("title")).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="")
+    columns = [c for c in EXPORT if c in view.columns] or view.columns
+    view.orderBy(*order, F.lower("title"), *columns).select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="")
 
 
 def legacy_import(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -319,21 +319,47 @@ def test_view_of_nothing(spark):
         views.matching(view, ["no such chip"], DAY)
 
 
+def test_vocabulary(spark):
+    texts = spark.createDataFrame([("b a b", None), ("B c", "a a"), (None, None)], "x string, y string")
+    assert sorted(map(tuple, search.vocabulary(texts, ["x", "y"]).collect())) == [("a", 2, 3), ("b", 2, 3), ("c", 1, 1)]
+
+
 def test_sync_stream(spark, tmp_path):
     batches = [[(1, "a", "u", DAY)], [(1, "a", "v", DAY + dt.timedelta(1)), (2, "a", "u", DAY + dt.timedelta(1)), (3, "b", "u", DAY)]]
     write = sync.writer(str(tmp_path / "out"))
     for i, rows in enumerate(batches):
         for _ in range(2):  # a batch that runs again changes nothing
             write(spark.createDataFrame(rows, "film_id long, source string, url string, seen date"), i)
-    assert {(r["film_id"], r["url"]) for r in spark.read.parquet(str(tmp_path / "out/listings/1")).collect()} == {(1, "v"), (2, "u"), (3, "u")}
+    assert {(r["film_id"], r["url"]) for r in sync.listings(spark, str(tmp_path / "out"), 1).collect()} == {(1, "v"), (2, "u"), (3, "u")}
     moved = [spark.read.parquet(str(tmp_path / f"out/transitions/{i}")).collect() for i in (0, 1)]
     assert not moved[0] and [(r["film_id"], r["source"]) for r in moved[1]] == [(2, "a")]
 
 
+def test_sync_leaves_other_sources_where_they_are(spark, tmp_path):
+    write, path = sync.writer(str(tmp_path / "out")), tmp_path / "out"
+    for i in range(5):
+        rows = [(i, "a", f"u{i}", DAY + dt.timedelta(i))] + [(9, "b/c", "w", DAY)] * (i == 0)
+        write(spark.createDataFrame(rows, "film_id long, source string, url string, seen date"), i)
+    assert {(r["film_id"], r["source"]) for r in sync.listings(spark, str(path), 4).collect()} == {(9, "b/c"), *[(i, "a") for i in range(5)]}
+    assert sorted(p.name for p in (path / "listings").iterdir()) == ["0", "3", "4"]
+
+
 def test_reappearances_stream(spark, tmp_path):
-    seen = [dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 5), dt.datetime(2026, 3, 1)]
+    seen = [dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 5), dt.datetime(2026, 3, 1), dt.datetime(2027, 9, 1)]
     spark.createDataFrame([(1, "a", t) for t in seen] + [(2, "a", seen[0])], "film_id long, source string, seen timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("film_id long, source string, seen timestamp").parquet(str(tmp_path / "in"))
     query = sync.reappearances(stream).writeStream.format("memory").queryName("returns").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination()
-    assert [(r["film_id"], r["seen"], r["kind"]) for r in spark.sql("SELECT * FROM returns").collect()] == [(1, seen[2], "return")]
+    assert [(r["film_id"], r["seen"], r["kind"]) for r in spark.sql("SELECT * FROM returns ORDER BY seen").collect()] == [(1, seen[2], "return"), (1, seen[3], "return")]
+
+
+def test_late_return_in_a_later_batch(spark, tmp_path):
+    """A title that comes back after many times the gap, when the watermark has long passed it, still gives an event."""
+    days = [dt.datetime(2026, 1, 1), dt.datetime(2026, 6, 1), dt.datetime(2027, 1, 1), dt.datetime(2027, 1, 2)]
+    schema, films = "film_id long, source string, seen timestamp", (1, 2, 2, 1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for day, film in zip(days, films, strict=True):
+        spark.createDataFrame([(film, "a", day)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = sync.reappearances(stream).writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o")).start()
+        query.awaitTermination()
+    assert sorted((r["film_id"], r["seen"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(1, days[3]), (2, days[2])]
