@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a temporary one is set.
+    A session without one gets a temporary one if all of it runs in one process, as in
+    tests. On a cluster it is refused: a folder of the driver's own machine would lose
+    what executors on other machines write.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lumidex-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -42,10 +47,23 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of saved() tables, once all that was made from them is written too."""
+    for df in tables:
+        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            folder, files = _folder(df.sparkSession, path)
+            if folder.getName().startswith("lumidex-"):
+                files.delete(folder, True)
+
+
 def clean(spark: SparkSession) -> int:
     """Deletes the tables that operators left in the shared folder; how many. For when no lazy result of theirs is needed any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder, files = _folder(spark, shared_dir(spark))
     gone = [x.getPath() for x in files.listStatus(folder) if x.getPath().getName().startswith("lumidex-")] if files.exists(folder) else []
     for path in gone:
         files.delete(path, True)

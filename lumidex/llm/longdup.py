@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import saved, table
+from lumidex.llm.common import forget, saved, table
 
 #: Bytes of the strings whose repeats go; bytes at an anchor; chunks of an anchor's starts.
 LENGTH = 400
@@ -224,11 +224,18 @@ def first_pairs(texts: DataFrame, ranges: DataFrame, half: int, offset: int) ->
     return texts.join(by_text, F.col("id") == F.col("r_id")).select("id", "text", "found").mapInPandas(name, "id long, pos int, rank long, ahead long")
 
 
-def reranked(pairs: DataFrame) -> DataFrame:
-    """(id, pos, rank) of the pairs (id, pos, rank, ahead) that are not unique; a pair's rank is its number among the sorted pairs."""
+def ranked_pairs(pairs: DataFrame) -> DataFrame:
+    """(r_rank, r_ahead, place) of the pairs (rank, ahead) that are not unique: their number in sorted order.
+
+    The numbers are written before rows join them: they stay as they are if a task runs
+    again, and the rows of a hot pair may be split.
+    """
     again = pairs.groupBy("rank", "ahead").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rank").alias("r_rank"), F.col("ahead").alias("r_ahead"))
-    # numbers are written before rows join them: they stay as they are if a task runs again, and a hot pair may be split
-    ranks = saved(again.orderBy("r_rank", "r_ahead").withColumn("place", F.monotonically_increasing_id()), "ranks")
+    return saved(again.orderBy("r_rank", "r_ahead").withColumn("place", F.monotonically_increasing_id()), "ranks")
+
+
+def reranked(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(id, pos, rank) of the pairs (id, pos, rank, ahead) that ranks has; others are unique and go."""
     return pairs.join(ranks, (F.col("rank") == F.col("r_rank")) & (F.col("ahead") == F.col("r_ahead"))).select("id", "pos", F.col("place").alias("rank"))
 
 
@@ -241,8 +248,14 @@ def paired(ranks: DataFrame, offset: int) -> DataFrame:
 def doubled(texts: DataFrame, ranges: DataFrame, length: int, half: int) -> DataFrame:
     """(id, pos, rank) of the strings of length bytes, half to twice half, that start in ranges (id, low, high) and are not unique."""
     offset = length - half
-    halves = reranked(saved(first_pairs(texts, ranges, half, offset), "pairs"))
-    return reranked(saved(paired(halves, offset), "pairs"))
+    first = saved(first_pairs(texts, ranges, half, offset), "pairs")
+    ranks = ranked_pairs(first)
+    second = saved(paired(reranked(first, ranks), offset), "pairs")
+    forget(first, ranks)
+    ranks = ranked_pairs(second)
+    done = saved(reranked(second, ranks), "ranked")
+    forget(second, ranks)
+    return done
 
 
 def removed_spans(low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -263,15 +276,18 @@ def _ranges(found) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_starts(documents: DataFrame, id_col: str, length: int, seed: int, chunks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, texts, starts): classes (id, digest, copies) of equal texts, texts (id, text) of those with repeated anchors, and the starts (id, low, high) of repeated strings in them."""
-    docs = anchored(documents, id_col, length, seed).where(F.col("n_bytes") >= length).withColumn("id", F.monotonically_increasing_id())
-    classes = saved(saved(docs, "anchored").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("row_key").alias("pick"), *[F.any_value(c).alias(c) for c in ("spots", "hashes")]), "classes")
-    at = classes.select("id", F.explode(F.arrays_zip("spots", "hashes")).alias("x")).select("id", F.col("x.spots").alias("spot"), F.col("x.hashes").alias("hash"))
+    docs = saved(anchored(documents, id_col, length, seed).where(F.col("n_bytes") >= length).withColumn("id", F.monotonically_increasing_id()), "anchored")
+    whole = saved(docs.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("row_key").alias("pick"), *[F.any_value(c).alias(c) for c in ("spots", "hashes")]), "classes")
+    classes = saved(whole.select("id", "digest", "copies"), "digests")
+    at = whole.select("id", F.explode(F.arrays_zip("spots", "hashes")).alias("x")).select("id", F.col("x.spots").alias("spot"), F.col("x.hashes").alias("hash"))
     # counts are written before rows join them: a join right above its two exchanges may be split where a hash is hot
     again = saved(at.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("r_hash")), "again")
     seeds = at.join(again, F.col("hash") == F.col("r_hash")).groupBy("id").agg(F.collect_list("spot").alias("spots"))
-    seeds = seeds.withColumnRenamed("id", "s_id").join(classes.select("id", "digest", "pick"), F.col("id") == F.col("s_id")).select("id", "digest", "pick", "spots")
-    here = _sources(documents, id_col).join(saved(seeds, "seeds"), F.col("row_key") == F.col("pick")).where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
+    seeds = saved(seeds.withColumnRenamed("id", "s_id").join(whole.select("id", "digest", "pick"), F.col("id") == F.col("s_id")).select("id", "digest", "pick", "spots"), "seeds")
+    forget(docs, whole, again)
+    here = _sources(documents, id_col).join(seeds, F.col("row_key") == F.col("pick")).where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
     texts = saved(here.dropDuplicates(["row_key"]).select("id", "text", "spots"), "texts")
+    forget(seeds)
 
     def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -281,13 +297,15 @@ def repeated_starts(documents: DataFrame, id_col: str, length: int, seed: int, c
 
     parts = saved(texts.mapInPandas(chunk, "id long, low int, high int, core int, whole long"), "chunks")
     wholes = saved(parts.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "low", "high", "core")).alias("one")), "wholes")
-    twice = parts.join(wholes.where("n > 1").select(F.col("whole").alias("t_whole")), F.col("whole") == F.col("t_whole")).select("id", "low", "high")
+    twice = saved(parts.join(wholes.where("n > 1").select(F.col("whole").alias("t_whole")), F.col("whole") == F.col("t_whole")).select("id", "low", "high"), "twice")
+    forget(parts)
 
     texts, ones, half = texts.select("id", "text"), wholes.select("one.*"), -(-length // 2)
     cores = doubled(texts, ones.select("id", F.col("core").alias("low"), F.col("core").alias("high")), length - chunk_step(length, seed, chunks) + 1, half)
     edges = saved(ones.join(cores.select(F.col("id").alias("c_id"), F.col("pos").alias("c_pos")), (F.col("id") == F.col("c_id")) & (F.col("core") == F.col("c_pos")), "left_semi"), "edges")
+    forget(wholes, cores)
     starts = doubled(texts, edges.select("id", "low", "high"), length, half)
-    return classes.select("id", "digest", "copies"), texts, twice.unionByName(starts.select("id", F.col("pos").alias("low"), F.col("pos").alias("high")))
+    return classes, texts, twice.unionByName(starts.select("id", F.col("pos").alias("low"), F.col("pos").alias("high")))
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", length: int = LENGTH, seed: int = SEED, chunks: int = CHUNKS) -> DataFrame:
@@ -310,11 +328,13 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", length: int = L
 
     cuts = texts.join(spans, F.col("id") == F.col("f_id")).select("id", "text", "found").mapInPandas(cut, "c_id long, cut_bytes long, cut_spans long, cut_sha string, cut_text string")
     cuts = saved(cuts, "cuts")
+    forget(texts, starts)
     single = classes.where("copies = 1").join(cuts, F.col("id") == F.col("c_id")).select("digest", "cut_bytes", "cut_spans", "cut_sha", "cut_text")
     size, none = F.octet_length("text").cast("long"), F.lit(0).cast("long")
     nothing = hashlib.sha256().hexdigest()
     copies = classes.where("copies > 1").select("digest", F.lit(None).cast("long").alias("cut_bytes"), F.lit(1).cast("long").alias("cut_spans"), F.lit(nothing).alias("cut_sha"), F.lit("").alias("cut_text"))
     verdicts = saved(single.unionByName(copies).withColumnRenamed("digest", "v_digest"), "verdicts")
+    forget(classes, cuts)
     docs = _sources(documents, id_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.sha2("text", 256)))
     joined = docs.join(verdicts, F.col("digest") == F.col("v_digest"), "left")
     return joined.select(
