@@ -5,15 +5,17 @@ framing and is cut into segments of at most SEGMENT_BYTES: a response record wit
 WARC-Segment-Number 1 and continuation records that name it in
 WARC-Segment-Origin-ID, the last with WARC-Segment-Total-Length. Among pages with
 equal payloads of at least REVISIT_BYTES the smallest page_id is the response and the
-others are revisit records (identical-payload-digest profile) without a body.
+others are revisit records (identical-payload-digest profile) without a body that name its
+address, date and page_id. Each record is a gzip member of its own, so that a reader can
+begin at any of them.
 
 Reading: archives are read as files, records parsed by their Content-Length,
 continuation records grouped by origin identifier, ordered by segment number, checked
 for gaps and against the total length, joined, and the chunked framing decoded.
 
 Scale: nothing is gathered but the segments of one record. The smallest page of a
-payload comes from an aggregation with map-side combine; the join back to pages is an
-ordinary shuffled join that adaptive execution may split where one payload is hot.
+payload comes from an aggregation with map-side combine, which is written before pages
+join it: right above its two exchanges adaptive execution may split a hot payload.
 Records without continuation never shuffle on the way back. Archive files roll over
 at RECORDS_PER_FILE records, so a file has at most about RECORDS_PER_FILE *
 SEGMENT_BYTES. Lost executors: the writer is Spark's own committed file output.
@@ -38,12 +40,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import shared_path, table
+from lumidex.llm.common import saved, shared_path, table
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 16 << 10
 RECORDS_PER_FILE = 1000
+MEMBER_BYTES = 1 << 24
+STEP_BYTES = 1 << 12
 CRLF = b"\r\n"
 
 
@@ -74,18 +78,46 @@ def unchunked(framed: bytes) -> bytes:
 
 
 def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
-    """A record without the blank lines after it, which the file writer puts there."""
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {len(block)}\r\n\r\n"
-    return head.encode() + block
+    return head.encode() + block + CRLF + CRLF
 
 
-def page_records(page_id: int | None, url: str | None, html: str | None, digest: str, refers_to: int | None, run: str, serial: str) -> Iterator[bytes]:
-    """The WARC records of one page."""
+def members(record: bytes) -> Iterator[bytes]:
+    """record as gzip members, one below MEMBER_BYTES, each without its last byte.
+
+    That byte, the highest of the member's length, is zero: the file writer puts it there as
+    the separator of its lines.
+    """
+    for at in range(0, len(record), MEMBER_BYTES):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        yield (packer.compress(record[at : at + MEMBER_BYTES]) + packer.flush())[:-1]
+
+
+def inflated(content: bytes) -> bytes:
+    """All members of a gzip file; what follows a member is looked at in small steps, so that time stays linear."""
+    out, at, left, view = [], 0, b"", memoryview(content)
+    reader = zlib.decompressobj(31)
+    while at < len(view) or left:
+        piece = left or view[at : at + STEP_BYTES]
+        at += 0 if left else len(piece)
+        out.append(reader.decompress(piece))
+        left = reader.unused_data
+        if reader.eof:
+            reader = zlib.decompressobj(31)
+    return b"".join(out)
+
+
+def _target(url: str | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
+
+
+def page_records(page_id: int | None, url: str | None, html: str | None, digest: str, refers_to: int | None, first_url: str | None, run: str, serial: str) -> Iterator[bytes]:
+    """The WARC records of one page; of a revisit with the page_id and address that it refers to."""
     ident = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{run}/{serial}')}>"
     body = (html or "").encode("utf-8", "surrogatepass")
     base = [
         ("WARC-Record-ID", ident),
-        ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")),
+        ("WARC-Target-URI", _target(url)),
         ("WARC-Date", "2026-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Page-ID", "" if page_id is None else str(page_id)),
@@ -93,7 +125,8 @@ def page_records(page_id: int | None, url: str | None, html: str | None, digest:
     if refers_to is not None:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield _record([("WARC-Type", "revisit"), *base, ("WARC-Profile", profile), ("X-Refers-To-Page-ID", str(refers_to)), ("Content-Type", "application/http; msgtype=response")], block)
+        first = [("WARC-Refers-To-Target-URI", _target(first_url)), ("WARC-Refers-To-Date", base[2][1]), ("X-Refers-To-Page-ID", str(refers_to))]
+        yield _record([("WARC-Type", "revisit"), *base, ("WARC-Profile", profile), *first, ("Content-Type", "application/http; msgtype=response")], block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(body)
     parts = [block[at : at + SEGMENT_BYTES] for at in range(0, len(block), SEGMENT_BYTES)]
@@ -124,19 +157,17 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, refers_to (null: a response of its own)."""
+    """page_id, url, html, digest, refers_to (null: a response of its own) and first_url, the address that it refers to."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     sized = pages.select("page_id", "url", body.alias("html"), F.sha2(body, 256).alias("digest"), (F.octet_length(body) >= REVISIT_BYTES).alias("large"))
-    first = (
-        sized.where("large").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1").select(F.col("digest").alias("first_digest"), "first_id")
-    )
+    first = sized.where("large").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1")
+    first = saved(first.select(F.col("digest").alias("first_digest"), "first_id", "first_url"), "first")
     joined = sized.join(first, F.col("large") & (F.col("digest") == F.col("first_digest")), "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"), "first_url")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Gzip-compressed WARC files of all pages under path."""
+    """WARC files of all pages under path, each record a gzip member."""
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a task that runs again draws new identifiers, and only one run's file is committed
@@ -144,11 +175,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
         for pdf in frames:
             out: list[bytes] = []
             held = 0
-            for page_id, url, html, digest, refers_to in pdf.itertuples(index=False):
+            for page_id, url, html, digest, refers_to, first_url in pdf.itertuples(index=False):
                 serial += 1
-                for rec in page_records(None if pd.isna(page_id) else int(page_id), url, html, digest, None if pd.isna(refers_to) else int(refers_to), run, str(serial)):
-                    out.append(rec)
-                    held += len(rec)
+                for rec in page_records(None if pd.isna(page_id) else int(page_id), url, html, digest, None if pd.isna(refers_to) else int(refers_to), first_url, run, str(serial)):
+                    for member in members(rec):
+                        out.append(member)
+                        held += len(member)
                 if held > 8 << 20:
                     yield pd.DataFrame({"record": out})
                     out, held = [], 0
@@ -157,7 +189,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     records = with_revisits(pages).mapInPandas(build, "record binary")
     (
         records.select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        .write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
     )
 
 
@@ -169,7 +201,7 @@ def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         for content in pdf["content"]:
             rows, held = [], 0
-            for h, block in parse_records(zlib.decompress(content, 31)):
+            for h, block in parse_records(inflated(content)):
                 if h["warc-type"] not in ("response", "revisit", "continuation"):
                     continue
                 as_int = lambda k, h=h: int(h[k]) if h.get(k) else None
@@ -218,7 +250,7 @@ def reassembled(parts: DataFrame) -> DataFrame:
             F.max("total").alias("total"),
             *[F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in ("page_id", "url", "type", "refers_to", "digest")],
         )
-        .withColumn("block", F.aggregate("segments", F.lit(b""), lambda a, s: F.concat(a, s["block"])))
+        .withColumn("block", F.unhex(F.array_join(F.transform("segments", lambda s: F.hex(s["block"])), "")))
     )
     in_order = F.transform("segments", lambda s: s["number"].cast("long")) == F.sequence(F.lit(1).cast("long"), F.size("segments").cast("long"))
     sound = F.col("type").isNotNull() & in_order & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False))
@@ -228,7 +260,7 @@ def reassembled(parts: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return reassembled(files.mapInPandas(_parts, PART)).mapInPandas(_decoded, PAGE)
 
 
