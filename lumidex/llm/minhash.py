@@ -42,13 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import saved, table
+from lumidex.llm.common import forget, saved, table
 from lumidex.operators.graph import connected_components
 
 ROWS = 5
 MISS = 1e-6
 BITS = 2
-MOST_HASHES = 512
+MOST_HASHES = 4096
 SKETCH = 1 << 17
 MARGIN = 0.2
 _RANDOM = np.random.default_rng(20240229)
@@ -59,7 +59,10 @@ PLACE = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint
 
 def bands_for(percent: int) -> int:
     """Bands that miss a pair of this similarity with a probability of MISS at most."""
-    return min(ceil(log(MISS) / log(1 - (percent / 100) ** ROWS)), MOST_HASHES // ROWS) if percent < 100 else 1
+    bands = ceil(log(MISS) / log(1 - (percent / 100) ** ROWS)) if percent < 100 else 1
+    if hashes_for(bands) > MOST_HASHES:
+        raise ValueError(f"a similarity of {percent} % takes more than {MOST_HASHES} minima")
+    return bands
 
 
 def hashes_for(bands: int) -> int:
@@ -255,18 +258,24 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, id_c
     sets = saved(_sets(candidates, documents, size, id_col), "sets")
     rarest = saved(_rarest(sets, percent), "rarest")
 
-    weighed = members.join(rarest.select(F.col("cls").alias("r_cls"), "common"), F.col("cls") == F.col("r_cls")).select("bucket", "cls", "common")
-    centres = weighed.groupBy("bucket").agg(F.max(F.struct("common", "cls"))["cls"].alias("centre")).select(F.col("bucket").alias("c_bucket"), "centre")
+    # both sides of the join on buckets are written first: right above its two exchanges a hot bucket may be split
+    weighed = saved(members.join(rarest.select(F.col("cls").alias("r_cls"), "common"), F.col("cls") == F.col("r_cls")).select("bucket", "cls", "common"), "weighed")
+    forget(members)
+    centres = saved(weighed.groupBy("bucket").agg(F.max(F.struct("common", "cls"))["cls"].alias("centre")).select(F.col("bucket").alias("c_bucket"), "centre"), "centres")
     first = weighed.join(centres, F.col("bucket") == F.col("c_bucket")).where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
     links = saved(_confirmed(_likely(first, candidates, percent, hashes), sets, percent), "links")
+    forget(weighed, centres)
     labels = connected_components(links, saved)
     more = saved(_confirmed(_likely(_across(rarest, labels, percent), candidates, percent, hashes), sets, percent), "more")
+    forget(candidates, sets, rarest)
     found = connected_components(links.union(more), saved)
 
     named = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     named = saved(named, "components")
+    forget(classes)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id")).select(F.col("component").alias("l_component"), "component_id")
-    least = named.join(least, F.col("component") == F.col("l_component")).select(F.col("cls").alias("l_cls"), "component_id")
+    # written for the same reason: a text that many documents have is a hot class
+    least = saved(named.join(least, F.col("component") == F.col("l_component")).select(F.col("cls").alias("l_cls"), "component_id"), "least")
     joined = docs.select("doc_id", "row_key", "cls", "n_shingles").join(least, F.col("cls") == F.col("l_cls"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "row_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
