@@ -27,6 +27,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -376,6 +377,7 @@ def known_labels(blocks: list[tuple[tuple[str, ...], str, int]], main: list[str]
     return labels
 
 
+@cache
 def trained(count: int = TRAINING_PAGES) -> Labeller:
     pages, labels = [], []
     for page, main in generated_pages(count, SEED):

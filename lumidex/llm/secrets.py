@@ -10,8 +10,8 @@ so no rows of the data are used. Decoding is Viterbi: tokens whose lead for O ex
 all that transitions could return are O on the best path, so the text falls into short
 runs between them, each decoded on its own with the same result as a pass over all.
 
-Scale: one pass over whole texts, no shuffle; features are computed in blocks of numpy
-over a text's bytes. The model, some hundred numbers, is fitted on the driver and
+Scale: one pass over whole texts, no shuffle; features are numpy arrays over a text's
+bytes, so memory is some eighty times the longest text. The model, some hundred numbers, is fitted on the driver and
 broadcast.
 
 Defined results: null and empty texts have no spans; very long texts are scanned whole;
@@ -23,7 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -326,7 +329,9 @@ def tagged(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndar
 TRAINING_LINES, SEED = 600, 71
 
 
+@cache
 def trained(count: int = TRAINING_LINES) -> Field:
+    """The field fitted on generated lines, once a process."""
     return fit([x for x in (tagged(*line) for line in generated_lines(count, SEED)) if len(x[2])])
 
 
@@ -334,14 +339,17 @@ def all_spans(text: str | None, field: Field) -> list[tuple[int, int, int]]:
     """(start, end, kind) of base and added spans, by start, then kind."""
     if not text:
         return []
-    base = base_spans(text)
+    base = sorted(base_spans(text))
     data = text.encode("utf-8", "surrogatepass")
     added = field.spans(data)
     if added:
         if len(data) != len(text):  # bytes to code points: all bytes before but those that continue a character
             ahead = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
             added = [(int(ahead[a]), int(ahead[b])) for a, b in added]
-        added = [(a, b, 3) for a, b in added if not any(a < y and x < b for x, y, _ in base)]
+        starts, reach = [x for x, _, _ in base], list(accumulate((y for _, y, _ in base), max))
+        # of the base spans that begin before an added one ends, does the furthest end after it begins?
+        free = lambda a, b: not (k := bisect_left(starts, b)) or reach[k - 1] <= a
+        added = [(a, b, 3) for a, b in added if free(a, b)]
     return sorted([*base, *added], key=lambda s: (s[0], s[2]))
 
 
