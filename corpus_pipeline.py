@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidex.llm import decontamination, minhash, packing, repetition, secrets
-from lumidex.llm.common import saved, table
+from lumidex.llm.common import forget, saved, table
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], dict]:
@@ -69,7 +69,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        forget(before)  # a table that this run wrote; others are left alone
     return docs
 
 

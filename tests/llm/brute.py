@@ -77,3 +77,37 @@ def maximal(conversations: list[tuple[int, int, str, str]]) -> dict[int, str]:
         if not longer and c == min(k for k, o in seqs.items() if o == s):
             keep[c] = "".join(f"<|{r}|>\n{x}<|end|>\n" for r, x in s)
     return keep
+
+
+def base_spans(text: str | None) -> list[str]:
+    """kind:start:end of the three patterns, found one position after the other, by start, then kind."""
+    text = text or ""
+    letters = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    names = "|".join(letters(w) for w in ("password", "passwd", "secret", "token")) + "|" + letters("api") + "_?" + letters("key")
+    kinds = [
+        ("assign", "(?:" + names + ")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24),
+    ]
+    out = []
+    for place, (kind, pattern, group, least) in enumerate(kinds):
+        at = 0
+        while at < len(text):
+            m = re.compile(pattern).match(text, at)
+            if m and len(m[group]) >= least:
+                out.append((m.start(), place, f"{kind}:{m.start()}:{m.end()}"))
+            at = m.end() if m else at + 1
+    return [x for _, _, x in sorted(out)]
+
+
+def repetition(text: str | None, least: int) -> tuple[int, int, int]:
+    """(bytes of the words, those in word strings of at least least words that occur twice, words of the longest string that occurs twice)."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    longest, inside = 0, set()
+    for size in range(1, len(w)):
+        seen = Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+        twice = [i for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1]
+        longest = size if twice else longest
+        if size >= least:
+            inside |= {j for i in twice for j in range(i, i + size)}
+    return sum(len(x.encode()) for x in w), sum(len(w[j].encode()) for j in inside), longest

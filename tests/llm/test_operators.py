@@ -80,9 +80,46 @@ def test_redaction_joins_overlaps():
     assert secrets.redact("abcdefghij", [(1, 4, 0), (3, 6, 2), (8, 9, 1)]) == "a[SECRET]gh[SECRET]j"
 
 
+def test_base_spans_against_plain_version(spark):
+    rng = random.Random(101)
+    parts = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", "=", ":", " = ", '": "', "'", "abc", "abcdef", "0123456789abcdef" * 2, "deadbeef" * 3, "AKIA", "AKIA" + "Z9" * 9, " ", "\n", "é", "\u017fecret", "x.y-z/1", "AKIAAKIA" + "B" * 13]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)] + [None, ""]
+    for r in secrets.scan_secrets(documents(spark, list(enumerate(texts)))).collect():
+        want = brute.base_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r["doc_id"]]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex"))
+        assert set(want) <= set(r["spans"].split(",")) or not want
+
+
+def test_added_spans_keep_clear_of_base_spans():
+    class Fixed:
+        def spans(self, data):
+            return [(i, i + w) for i in range(0, len(data) - 4, 3) for w in (1, 4)]
+
+    text = "password=abcdefg " + "ab" * 20 + " and secret: 0123456789abcdef0123456789 then more words"
+    base = [s for s in secrets.all_spans(text, Fixed()) if s[2] < 3]
+    added = [s for s in secrets.all_spans(text, Fixed()) if s[2] == 3]
+    assert base == secrets.base_spans(text) or sorted(base) == sorted(secrets.base_spans(text))
+    assert added == sorted((a, b, 3) for a, b in Fixed().spans(text.encode()) if not any(a < y and x < b for x, y, _ in base))
+
+
 # 2 WARC
 
 
+def test_records_are_gzip_members():
+    rng = random.Random(2)
+    records = [rng.randbytes(rng.randrange(1, 9000)) + b"a" * rng.randrange(9000) for _ in range(40)] + [b"x"]
+    packed = [b"".join(m + b"\0" for m in warc.members(r)) for r in records]
+    assert [zlib.decompress(p, 31) for p in packed] == records
+    assert warc.inflated(b"".join(packed)) == b"".join(records) and warc.inflated(b"") == b""
+
+
+def test_records_above_one_member(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 100)
+    record = bytes(range(256)) * 3
+    assert warc.inflated(b"".join(m + b"\0" for m in warc.members(record))) == record
+
+
 def test_chunked_round_trip():
     for size in (0, 1, 5, 16384, 16385, 100000):
         body = bytes(random.Random(size).randrange(256) for _ in range(size))
@@ -211,9 +248,48 @@ def test_quality_rules(spark):
     assert got[2]["n_dup_lines"] == 2 and got[1]["kept"] and not got[99]["kept"] and not got[99]["base_failed"]
 
 
+def test_quality_verdict_against_all_repeats(spark):
+    rng = random.Random(55)
+    docs = []
+    for i in range(60):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(90)}" for _ in range(rng.randrange(1, 70))]
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(1, 26)
+            at = rng.randrange(len(base))
+            base += base[at : at + k] + [f"z{rng.randrange(900)}"]
+        docs.append((i, " ".join(base)))
+    got = repetition.quality_rules(documents(spark, [*docs, *[(100 + j, t) for j, (_, t) in enumerate(ODD)]])).collect()
+    texts = dict([*docs, *[(100 + j, t) for j, (_, t) in enumerate(ODD[:-3])]])
+    for r in (r for r in got if r["doc_id"] in texts and r["doc_id"] != 106):
+        size, inside, longest = brute.repetition(texts[r["doc_id"]], repetition.MIN_REPEAT)
+        assert (r["word_bytes"], r["n_covered_bytes"], r["longest_repeat"]) == (size, inside, longest)
+        assert r["kept"] == (not r["base_failed"] and inside <= repetition.COVERED_LIMIT * size and longest <= repetition.LONGEST_LIMIT)
+    assert len({r["kept"] for r in got}) == 2
+
+
 # 6 extraction
 
 
+def test_network_against_plain_loops():
+    """Units and labels of both directions, one number at a time."""
+    from math import exp, tanh
+
+    model, pages = blocks.Labeller(3), [blocks.Encoded(blocks.page_blocks(p)) for p, _ in blocks.generated_pages(2, 5)]
+    model.w["pf"][:] = np.random.default_rng(1).normal(0, 0.2, model.w["pf"].shape)
+    model.w["pb"][:] = np.random.default_rng(2).normal(0, 0.2, model.w["pb"].shape)
+    sigmoid, n = lambda x: 1 / (1 + exp(-x)), blocks.UNITS
+    for page, got in zip(pages, model.label(pages), strict=True):
+        total = [float(model.w["o"][-1])] * len(page.paths)
+        for k, d in enumerate("fb"):
+            h, c = [0.0] * n, [0.0] * n
+            for t in range(len(page.paths)) if d == "f" else reversed(range(len(page.paths))):
+                gate = [sum(model.w["p" + d][b][j] for b in page.paths[t]) + sum(v * model.w["x" + d][m][j] for m, v in enumerate(page.rest[t]) if v) + sum(h[m] * model.w["h" + d][m][j] for m in range(n)) for j in range(4 * n)]
+                c = [sigmoid(gate[n + j] + 1) * c[j] + sigmoid(gate[j]) * tanh(gate[3 * n + j]) for j in range(n)]
+                h = [sigmoid(gate[2 * n + j]) * tanh(c[j]) for j in range(n)]
+                total[t] += sum(h[j] * model.w["o"][k * n + j] for j in range(n))
+        assert np.allclose(got, [sigmoid(x) for x in total])
+
+
 @pytest.fixture(scope="module")
 def labeller():
     return blocks.trained()
@@ -283,6 +359,34 @@ def test_quality_on_held_out_rows(spark):
     assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in held)
 
 
+def test_discriminant_against_plain_densities(spark):
+    """Sums over partitions, factors and scores against NumPy's own covariance, inverse and determinant."""
+    rng = np.random.default_rng(7)
+    d = len(qda.FEATURES)
+    x = rng.normal(0, 1, (300, d)) @ rng.normal(0, 1, (d, d))
+    y = (rng.random(300) < 0.7).astype(int)
+    x[y == 1] += 1
+    rows = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y, strict=True)], "x array<double>, label int").repartition(5)
+    got = qda.Discriminant(qda.moments(rows)).score(x)
+    own = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum(c * (y == k).sum() for k, c in enumerate(own)) / len(y)
+    pooled = (1 - qda.SHRINK_DIAGONAL) * pooled + qda.SHRINK_DIAGONAL * np.diag(np.diag(pooled)) + 1e-6 * np.eye(d)
+    logs = []
+    for k, c in enumerate(own):
+        c = (1 - qda.SHRINK_CLASS) * c + qda.SHRINK_CLASS * pooled
+        off = x - x[y == k].mean(axis=0)
+        logs.append(np.log((y == k).mean()) - 0.5 * np.log(np.linalg.det(c)) - 0.5 * np.einsum("ni,ij,nj->n", off, np.linalg.inv(c), off))
+    assert np.allclose(got, 1 / (1 + np.exp(logs[0] - logs[1])))
+
+
+def test_quality_of_odd_rows_with_a_model(spark):
+    docs = [*ODD, *[(20 + i, "good words " * (i + 3)) for i in range(9)], *[(40 + i, "# bad $ " * (i + 3)) for i in range(9)]]
+    labels = spark.createDataFrame([*[(20 + i, 1) for i in range(9)], *[(40 + i, 0) for i in range(9)]], "doc_id long, quality int")
+    got = qda.score_quality(documents(spark, docs), labels).collect()
+    assert len(got) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert np.mean([r["score"] for r in got if r["doc_id"] in range(20, 29)]) > np.mean([r["score"] for r in got if r["doc_id"] in range(40, 49)])
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, None, 0), (None, 0, 0), (77, 1, 1)], "doc_id long, quality int, toxic int")
     got = qda.score_quality(documents(spark, ODD), labels).collect()
@@ -312,10 +416,10 @@ def test_ranks_are_made_of_pairs(spark):
     rows = [(1, 0, 7), (1, 4, 9), (1, 8, 3), (2, 10, 7), (2, 14, 9), (3, 5, 9), (3, 9, 7), (3, 13, 9), (4, 0, 9)]
     pairs = longdup.paired(spark.createDataFrame(rows, "id long, pos int, rank long"), 4)
     assert sorted(map(tuple, pairs.collect())) == [(1, 0, 7, 9), (1, 4, 9, 3), (2, 10, 7, 9), (3, 5, 9, 7), (3, 9, 7, 9)]
-    got = longdup.reranked(pairs).collect()
+    got = longdup.reranked(pairs, longdup.ranked_pairs(pairs)).collect()
     assert sorted((r["id"], r["pos"]) for r in got) == [(1, 0), (2, 10), (3, 9)] and len({r["rank"] for r in got}) == 1
     more = spark.createDataFrame([(1, 0, 5, 1), (1, 1, 5, 1), (1, 2, 2, 8), (2, 0, 2, 8), (2, 3, 2, 9), (3, 0, 2, 9), (4, 0, 1, 1)], "id long, pos int, rank long, ahead long")
-    ranks = {(r["id"], r["pos"]): r["rank"] for r in longdup.reranked(more).collect()}
+    ranks = {(r["id"], r["pos"]): r["rank"] for r in longdup.reranked(more, longdup.ranked_pairs(more)).collect()}
     assert ranks[1, 2] == ranks[2, 0] < ranks[2, 3] == ranks[3, 0] < ranks[1, 0] == ranks[1, 1] and (4, 0) not in ranks
 
 
