@@ -44,6 +44,14 @@ def with_holder(rows: DataFrame, held: DataFrame) -> DataFrame:
     return joined.select(*rows.columns, F.coalesce("h_tt_holder", "h_tmdb_holder").alias("holder"), hidden.alias("hidden"))
 
 
+def tombstoned_keys(films: DataFrame, dispositions: DataFrame, canon: DataFrame) -> DataFrame:
+    """(key) of titles that are hidden, or merged into hidden ones."""
+    hidden = dispositions.where("kind = 'tombstoned'").select(F.col("film_id").alias("live"))
+    to = canon.select(F.col("film_id").alias("c_film"), "canonical_id")
+    rows = films.join(to, films["film_id"] == F.col("c_film"), "left").select("key", F.coalesce("canonical_id", "film_id").alias("live"))
+    return rows.join(hidden, "live", "left_semi").select("key").distinct()
+
+
 def _nth(condition: Column, *keys: str, order: list[str]) -> Column:
     """A row's place among those of its keys that meet condition, from 1; null for others."""
     return F.when(condition, F.row_number().over(Window.partitionBy(condition, *keys).orderBy(*order)))
@@ -409,3 +417,61 @@ def wishlist_outcomes(wanted: DataFrame, known: DataFrame, ids: DataFrame, dispo
     rows = _left(_left(_left(unknown, known.select(F.col("itunes_id").alias("k_id"), "imdb_id"), {"itunes_id": "k_id"}), place, {"imdb_id": "p_value"}), spoken, {"itunes_id": "x_value"})
     outcome = F.when(F.col("imdb_id").isNull(), "no-imdb").when(F.col("film_id").isNull() | F.col("spoken"), "not-in-catalogue").otherwise("resolved")
     return rows.select("itunes_id", F.when(outcome == "resolved", F.col("film_id")).alias("film_id"), outcome.alias("outcome"))
+
+
+def rematch_outcomes(missed: DataFrame, keyed: DataFrame, ids: DataFrame, films: DataFrame, dispositions: DataFrame, canon: DataFrame) -> DataFrame:
+    """(film_id, turn, outcome) of a rematch: missed titles that are looked up again, then years of those that hold an id.
+
+    missed (film_id, year, commerce, tmdb_id, winner_year), tmdb_id null where the search
+    still finds nothing: still-missed, or match_outcomes' kinds. keyed (film_id, year,
+    tmdb_year) of titles from shops: unchanged, adopted or collision.
+    """
+    again = match_outcomes(missed.where("tmdb_id is not null"), ids, films, dispositions, canon).select("film_id", F.lit("match").alias("turn"), "outcome")
+    none = missed.where("tmdb_id is null").select("film_id", F.lit("match").alias("turn"), F.lit("still-missed").alias("outcome"))
+    differs = F.coalesce(~F.col("year").eqNullSafe(F.col("tmdb_year")), F.lit(False)) & F.col("tmdb_year").isNotNull()
+    moved = year_updates(films, dispositions, canon, keyed.where(differs).select("film_id", F.col("tmdb_year").alias("year")))
+    years = moved.select("film_id", F.lit("year").alias("turn"), F.when(F.col("clash").isNull(), "adopted").otherwise("collision").alias("outcome"))
+    same = keyed.where(~differs).select("film_id", F.lit("year").alias("turn"), F.lit("unchanged").alias("outcome"))
+    return again.unionByName(none).unionByName(years).unionByName(same)
+
+
+#: Reasons of a slug's review, and of one whose titles are twins.
+SLUG_REASONS, MERGE_REASONS = ("year-gap", "ambiguous-title"), ("id-conflict", "year-collision")
+
+
+def review_outcomes(reviews: DataFrame, actions: DataFrame, held: DataFrame, films: DataFrame, canon: DataFrame, dispositions: DataFrame) -> DataFrame:
+    """(id, outcome, film_id) of what people decided about open reviews (id, verb, film_id, value): one decision a row, or none of it is done.
+
+    verb is film, tmdb-id, create, dismiss, pick, tt or none; value is the id that pick, tt
+    and tmdb-id name. outcome is what is written: dismissed, matched, merged, linked,
+    created, owned, keyed or unkeyed; refused, with nothing written, where the row is closed,
+    the title is gone, or the id or slug is another's. Picks are of ids that a search ranked.
+    """
+    to = canon.select(F.col("film_id").alias("c_film"), "canonical_id")
+    dead = dispositions.where("kind = 'tombstoned'").select(F.col("film_id").alias("d_film"), F.lit(True).alias("gone")).distinct()
+    one = actions.groupBy("id").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("verb", "film_id", "value")]).withColumnsRenamed({"film_id": "asked", "value": "said"})
+    rows = one.join(reviews.where("not resolved").select(F.col("id").alias("r_id"), "authority", "reason", F.col("film_id").alias("own"), F.col("value").alias("about")), F.col("id") == F.col("r_id"), "left")
+    rows = _left(rows, to, {"asked": "c_film"}).withColumn("target", F.coalesce("canonical_id", "asked"))
+    rows = _left(_left(rows, dead, {"target": "d_film"}), films.select(F.col("film_id").alias("f_film"), F.lit(True).alias("known")), {"target": "f_film"})
+    ids = lambda name, key: held.where(F.col("authority") == name).select(F.col("value").alias(f"{key}_value"), F.col("holder").alias(key))
+    rows = _left(_left(_left(rows, ids("imdb", "tt_holder"), {"said": "tt_holder_value"}), ids("tmdb", "id_holder"), {"said": "id_holder_value"}), ids("metacritic", "slug_holder"), {"about": "slug_holder_value"})
+    rows = _left(_left(rows, ids("imdb", "about_tt"), {"about": "about_tt_value"}), ids("tmdb", "about_id"), {"about": "about_id_value"})
+    verb, by = F.col("verb"), lambda *names: F.col("authority").isin(*names)
+    other = lambda c: F.coalesce(F.col(c) != F.col("own"), F.lit(False))
+    twin = F.when(F.col("reason") == "year-collision", F.col("about").try_cast("long")).when(F.col("about").rlike("^tt[0-9]+$"), F.col("about_tt")).otherwise(F.col("about_id"))
+    lost = (verb == "film") & (F.coalesce("gone", F.lit(False)) | F.col("known").isNull())
+    refused = F.lit("refused")
+    thumb = F.when(~by("tmdb") | F.col("own").isNull(), refused).when(verb == "none", "unkeyed").when(other("tt_holder"), refused).otherwise("keyed")
+    outcome = (
+        F.when((F.col("n") > 1) | F.col("r_id").isNull() | lost, refused).when(verb == "dismiss", "dismissed")
+        .when(by("criterion"), F.when(verb == "film", "linked").when(verb == "create", "created").when(verb == "tt", "keyed").otherwise(refused))
+        .when(verb.isin("pick", "tt", "none"), thumb)
+        .when(by("tmdb") & (verb == "tmdb-id") & F.col("own").isNotNull(), F.when(other("id_holder"), refused).otherwise("matched"))
+        .when(by("tmdb") & (verb == "film") & F.col("reason").isin(*MERGE_REASONS) & F.col("own").isNotNull(), F.when(twin == F.col("target"), "merged").otherwise(refused))
+        .when(by("metacritic") & F.col("reason").isin(*SLUG_REASONS) & F.col("about").isNotNull() & F.col("slug_holder").isNull(), F.when(verb == "film", "linked").when(verb == "create", "created").otherwise(refused))
+        .when(by("list") & F.col("about").isNotNull(), F.when(verb == "film", "linked").when(verb == "create", "created").otherwise(refused))
+        .when(by("apple-tv") & F.col("about").isNotNull(), F.when(verb == "film", "owned").when(verb == "create", "created").otherwise(refused))
+        .otherwise(refused)
+    )
+    film = F.when(outcome.isin("linked", "merged", "owned"), F.col("target")).when(outcome.isin("matched", "keyed", "unkeyed"), F.col("own"))
+    return rows.select("id", outcome.alias("outcome"), film.alias("film_id"))

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 #: How many neighbours count, from what distance on none does, and what closeness adds to a score.
 NEAREST, CEILING, BONUS = 10, 0.8, 5.0
@@ -22,6 +24,23 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+@pandas_udf(BinaryType())
+def packed(vectors: pd.Series) -> pd.Series:
+    """Vectors as little-endian floats of 32 bits, one after the other."""
+    return vectors.map(lambda v: np.asarray(v, "<f4").tobytes(), na_action="ignore")
+
+
+@pandas_udf(ArrayType(FloatType()))
+def unpacked(blobs: pd.Series) -> pd.Series:
+    """The vectors of packed blobs."""
+    return blobs.map(lambda b: np.frombuffer(b, "<f4"), na_action="ignore")
+
+
+def of_length(blob: Column, dim: int) -> Column:
+    """A packed vector, if it is of dim numbers; else an error."""
+    return F.when(F.octet_length(blob) == 4 * dim, blob).otherwise(F.raise_error(F.lit(f"a vector is not of {dim} numbers")).cast("binary"))
+
+
 def distances(vectors: DataFrame, query: list[float], key: str = "film_id", column: str = "vector") -> DataFrame:
     """(key, distance) of all vectors to one: 1 minus the product."""
     return vectors.select(key, (1 - dot(F.col(column), F.array(*[F.lit(float(x)) for x in query]))).alias("distance"))

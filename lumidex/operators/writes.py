@@ -75,6 +75,16 @@ def fold_yearless(films: DataFrame, known: DataFrame) -> DataFrame:
     return stays.withColumn("year", F.coalesce("year", "twin_year")).select(*films.columns)
 
 
+def with_guids(films: DataFrame) -> DataFrame:
+    """films where each row has a guid: its own, or a new random one. Write the result before use, as a plan that runs again draws others."""
+    return films.withColumn("guid", F.coalesce("guid", F.uuid()))
+
+
+def backfilled(rows: DataFrame, column: str, path: str, kind: str) -> DataFrame:
+    """rows whose column, where it is null, comes from a path of their JSON payload; what is not of its kind stays null."""
+    return rows.withColumn(column, F.coalesce(column, F.get_json_object("payload", path).try_cast(kind)))
+
+
 def renumbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """Positions from 1 without gaps in each group."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

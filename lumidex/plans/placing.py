@@ -417,3 +417,58 @@ def wishlist_resolve(spark: SparkSession, d: str) -> DataFrame:
     c, k = _rows(spark, d, "customer", "c_custkey")
     known = c.select(k.cast("string").alias("itunes_id"), F.when(k % 5 != 0, _text("tt", k % 300)).alias("imdb_id"))
     return P.wishlist_outcomes(known, known, _ids(spark, d), _gone(spark, d))
+
+
+@query(f"""WITH {_BASE}, n AS (SELECT film_id, CASE WHEN film_id % 8 = 7 THEN film_id + 1 WHEN film_id % 5 = 0 THEN film_id + 2 ELSE film_id END AS target FROM films WHERE film_id % 2 = 1),
+u AS (SELECT n.film_id, f.year AS own, CAST(coalesce(x.year, f.year) AS INT) AS theirs, target FROM n JOIN films f ON f.film_id = n.film_id LEFT JOIN films x ON x.film_id = n.target),
+h AS (SELECT f.film_id, f.key, CASE WHEN g.film_id IS NOT NULL THEN coalesce(canonical_id, f.film_id) ELSE f.film_id END AS live FROM films f LEFT JOIN gone g ON g.film_id = f.film_id LEFT JOIN canon c ON c.film_id = f.film_id)
+SELECT u.film_id, 'match' AS turn, CASE WHEN u.film_id % 3 = 0 THEN 'still-missed' WHEN u.film_id % 11 = 0 AND u.film_id <> 3 THEN 'id-conflict' WHEN h.live <> u.film_id THEN 'collision' ELSE 'adopted' END AS outcome
+FROM u LEFT JOIN h ON h.key = 'film ' || target || ' (' || theirs || ')' AND h.film_id <> u.film_id WHERE u.film_id % 4 = 1
+UNION ALL SELECT u.film_id, 'year', CASE WHEN u.film_id % 7 = 0 OR theirs = own THEN 'unchanged' WHEN h.live <> u.film_id THEN 'collision' ELSE 'adopted' END
+FROM u LEFT JOIN h ON h.key = 'film ' || target || ' (' || theirs || ')' AND h.film_id <> u.film_id WHERE u.film_id % 4 = 3""")
+def rematch(spark: SparkSession, d: str) -> DataFrame:
+    """Misses looked up again, without a year so that one is adopted, and years of shops' titles checked."""
+    k = F.col("film_id")
+    films, gone, canon, updates = _year_case(spark, d)
+    missed = updates.where(k % 4 == 1).select("film_id", F.lit(None).cast("int").alias("year"), F.lit(True).alias("commerce"), F.when(k % 3 == 0, None).otherwise(F.when(k % 11 == 0, "3").otherwise(k.cast("string"))).alias("tmdb_id"), F.col("year").alias("winner_year"))
+    keyed = updates.where(k % 4 == 3).select("film_id", F.when(k % 7 != 0, F.col("year")).alias("tmdb_year")).join(films.select("film_id", "year"), "film_id")
+    return P.rematch_outcomes(missed, keyed, _ids(spark, d), films, gone, canon)
+
+
+_VERBS = ("film", "tmdb-id", "create", "dismiss", "tt", "none")
+
+
+@query(f"""WITH {_BASE}, r AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'tmdb' WHEN 1 THEN 'metacritic' WHEN 2 THEN 'list' WHEN 3 THEN 'apple-tv' ELSE 'criterion' END AS authority,
+  CASE WHEN event_id % 5 = 1 THEN CASE WHEN event_id % 3 = 0 THEN 'other' ELSE 'year-gap' END WHEN event_id % 3 = 0 THEN 'id-conflict' WHEN event_id % 3 = 1 THEN 'year-collision' ELSE 'no-match' END AS reason,
+  CASE WHEN event_id % 4 <> 3 THEN user_id END AS own, CAST(event_id % 60 AS VARCHAR) AS about FROM events WHERE event_type <> 'error'),
+a AS (SELECT event_id AS id, ['film', 'tmdb-id', 'create', 'dismiss', 'tt', 'none'][CAST(event_id // 7 % 6 AS INT) + 1] AS verb, event_id % 230 AS asked, event_id % 90 AS n FROM events),
+j AS (SELECT a.*, r.id AS r_id, authority, reason, own, about, coalesce(canonical_id, asked) AS target FROM a LEFT JOIN r ON r.id = a.id LEFT JOIN canon c ON c.film_id = asked),
+k AS (SELECT j.*, g.film_id IS NOT NULL AS gone, f.film_id IS NOT NULL AS known, t.holder AS tt_holder, i.holder AS id_holder, b.holder AS about_id FROM j LEFT JOIN gone g ON g.film_id = target AND g.kind = 'tombstoned' LEFT JOIN films f ON f.film_id = target
+  LEFT JOIN held t ON verb = 'tt' AND t.authority = 'imdb' AND t.value = 'tt' || n LEFT JOIN held i ON verb = 'tmdb-id' AND i.authority = 'tmdb' AND i.value = CAST(n AS VARCHAR) LEFT JOIN held b ON b.authority = 'tmdb' AND b.value = about),
+o AS (SELECT *, CASE WHEN id % 50 = 0 OR r_id IS NULL OR (verb = 'film' AND (gone OR NOT known)) THEN 'refused' WHEN verb = 'dismiss' THEN 'dismissed'
+  WHEN authority = 'criterion' THEN CASE verb WHEN 'film' THEN 'linked' WHEN 'create' THEN 'created' WHEN 'tt' THEN 'keyed' ELSE 'refused' END
+  WHEN verb IN ('tt', 'none') THEN CASE WHEN authority <> 'tmdb' OR own IS NULL THEN 'refused' WHEN verb = 'none' THEN 'unkeyed' WHEN tt_holder <> own THEN 'refused' ELSE 'keyed' END
+  WHEN authority = 'tmdb' AND verb = 'tmdb-id' AND own IS NOT NULL THEN CASE WHEN id_holder <> own THEN 'refused' ELSE 'matched' END
+  WHEN authority = 'tmdb' AND verb = 'film' AND reason <> 'no-match' AND own IS NOT NULL THEN CASE WHEN target = CASE reason WHEN 'year-collision' THEN CAST(about AS BIGINT) ELSE about_id END THEN 'merged' ELSE 'refused' END
+  WHEN authority = 'metacritic' AND reason = 'year-gap' THEN CASE verb WHEN 'film' THEN 'linked' WHEN 'create' THEN 'created' ELSE 'refused' END
+  WHEN authority = 'list' THEN CASE verb WHEN 'film' THEN 'linked' WHEN 'create' THEN 'created' ELSE 'refused' END
+  WHEN authority = 'apple-tv' THEN CASE verb WHEN 'film' THEN 'owned' WHEN 'create' THEN 'created' ELSE 'refused' END ELSE 'refused' END AS outcome FROM k)
+SELECT id, outcome, CASE WHEN outcome IN ('linked', 'merged', 'owned') THEN target WHEN outcome IN ('matched', 'keyed', 'unkeyed') THEN own END AS film_id FROM o""")
+def review_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on reviews of five authorities; two on one row, or on a closed one, are refused."""
+    e, k = _rows(spark, d, "events", "event_id")
+    authority = F.element_at(F.array(*map(F.lit, ("tmdb", "metacritic", "list", "apple-tv", "criterion"))), (k % 5 + 1).cast("int"))
+    reason = F.when(k % 5 == 1, F.when(k % 3 == 0, "other").otherwise("year-gap")).when(k % 3 == 0, "id-conflict").when(k % 3 == 1, "year-collision").otherwise("no-match")
+    reviews = e.select(k.alias("id"), authority.alias("authority"), reason.alias("reason"), F.when(k % 4 != 3, F.col("user_id")).alias("film_id"), (k % 60).cast("string").alias("value"), (F.col("event_type") == "error").alias("resolved"))
+    verb = F.element_at(F.array(*map(F.lit, _VERBS)), (F.floor(k / 7) % 6 + 1).cast("int"))
+    actions = e.select(k.alias("id"), verb.alias("verb"), (k % 230).alias("film_id"), F.when(verb == "tt", _text("tt", k % 90)).otherwise((k % 90).cast("string")).alias("value"))
+    twice = actions.where(k % 50 == 0)
+    return P.review_outcomes(reviews, actions.unionByName(twice), _held(spark, d), _films(spark, d), _canon(spark, d), _gone(spark, d))
+
+
+@query(f"WITH {_BASE} SELECT key FROM films WHERE CASE WHEN film_id % 16 = 0 THEN 15 WHEN film_id % 8 = 0 THEN film_id - 1 ELSE film_id END IN (SELECT film_id FROM gone WHERE kind = 'tombstoned')")
+def tombstoned_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are not created again: of hidden titles, and of those merged into hidden ones."""
+    k = F.col("film_id")
+    canon = _canon(spark, d).withColumn("canonical_id", F.when(k % 16 == 0, 15).otherwise(F.col("canonical_id")).cast("long"))
+    return P.tombstoned_keys(_films(spark, d), _gone(spark, d), canon)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidex.functions import expressions as X
-from lumidex.operators import audit, ranker, reports, resolution, summaries, views, worklists, writes
+from lumidex.operators import audit, ranker, reports, resolution, summaries, vectors, views, worklists, writes
 from lumidex.plans import adapters as A
 from lumidex.streaming import sync
 
@@ -384,6 +384,40 @@ def writer_labels(spark: SparkSession, d: str) -> DataFrame:
     return reports.writers(credits, persons).select("film_id", F.size("writers").cast("long").alias("n"))
 
 
+@query("SELECT vec_id, CAST(256 AS BIGINT) AS n_bytes, round(CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS DOUBLE), 6) + 0.0 AS total FROM embeddings")
+def vector_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors packed into bytes and read again."""
+    blobs = A.table(spark, d, "embeddings").select("vec_id", vectors.of_length(vectors.packed(F.col("embedding")), 64).alias("blob"))
+    back = blobs.select("vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), vectors.unpacked(F.col("blob")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("vec_id", "n_bytes", (F.round(total, 6) + F.lit(0.0)).alias("total"))
+
+
+@query("SELECT p_partkey AS film_id, p_partkey % 2 = 0 AS kept, true AS sound FROM part")
+def guid_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Titles without an identifier get a random one; those that have one keep it."""
+    p, k = _rows(spark, d, "part", "p_partkey")
+    films = p.select(k.alias("film_id"), F.when(k % 2 == 0, _text("held-", k)).alias("guid"))
+    filled = writes.with_guids(films)
+    form = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return filled.select("film_id", F.startswith("guid", F.lit("held-")).alias("kept"), (F.col("guid").rlike(form) | (F.col("guid") == _text("held-", F.col("film_id")))).alias("sound"))
+
+
+@query("SELECT p_partkey AS film_id, CASE WHEN p_partkey % 4 = 0 THEN 99 WHEN p_partkey % 14 <> 0 AND p_partkey % 6 <> 0 THEN CAST(p_partkey % 97 AS INT) WHEN p_partkey % 14 = 0 AND p_partkey % 6 <> 0 THEN CAST(p_partkey % 97 AS INT) END AS metacritic FROM part WHERE p_partkey % 2 = 0")
+def json_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """A column that is new is filled from the stored records; what is known stays."""
+    records = _records(spark, d).withColumn("metacritic", F.when(F.col("film_id") % 4 == 0, 99))
+    return writes.backfilled(records, "metacritic", "$.Metascore", "int").select("film_id", "metacritic")
+
+
+@query("SELECT 's' || p_partkey AS slug, CAST(place AS INT) AS place FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM part WHERE p_partkey % 3 <> 0) WHERE place <= 100")
+def top_staged(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred staged titles that rank first: the number is the feature's."""
+    p, k = _rows(spark, d, "part", "p_partkey")
+    staged = p.where(k % 3 != 0).select(_text("s", k).alias("slug"), F.col("p_retailprice").alias("score"), k.alias("k"))
+    return views.top_k(staged, [F.desc("score"), F.col("k")], 100).select("slug", F.col("place").cast("int").alias("place"))
+
+
 # ranking sessions
 
 
