@@ -126,7 +126,21 @@ def blocking_match(spark: SparkSession, d: str) -> DataFrame:
     return matching.verdicts(queries, films).select("id", "kind", "film_id", "reason")
 
 
-@query()
+@query("""WITH p AS (SELECT c_custkey AS q_id, 1950 + c_custkey % 50 AS qy, c_custkey % 3 = 0 AS late, c_custkey % 4 = 0 AS told, p_partkey AS c_id, 1950 + p_size AS cy, p_partkey % 3000 AS votes, p_partkey % 2 = 0 AS keyed, p_partkey % 4 = 0 AS agrees, c_custkey % 4 = 0 AND p_partkey % 3 = 0 AND p_brand <> 'Brand#3' AS conflict, c_custkey % 4 = 0 AND p_partkey % 3 = 0 AND p_brand = 'Brand#3' AS same
+  FROM customer JOIN part ON p_partkey // 2 = c_custkey // 2),
+a AS (SELECT *, NOT conflict AND (same OR abs(cy - qy) <= 2 OR (late AND cy < qy)) AS alive, CASE WHEN abs(cy - qy) <= 1 THEN 2 WHEN abs(cy - qy) <= 2 THEN 1 ELSE 0 END AS yp, abs(cy - qy) > 2 AND NOT same AND late AND cy < qy AS older FROM p),
+k AS (SELECT a.*, alive AND (keyed OR votes >= 10 OR NOT EXISTS (SELECT 1 FROM a b WHERE b.q_id = a.q_id AND b.alive AND b.keyed AND b.cy = a.cy)) AS stays FROM a),
+n AS (SELECT *, stays AND yp >= 1 AS near, stays AND older AS old FROM k),
+g AS (SELECT q_id, any_value(late) AS late, any_value(told) AS told, bool_or(conflict) AS c, max(c_id) FILTER (WHERE same) AS s_id, count(*) FILTER (WHERE alive) AS n_alive, count(*) FILTER (WHERE near) AS n_near, count(*) FILTER (WHERE old) AS n_old, bool_or(yp = 2) FILTER (WHERE near) AS near1,
+  arg_min(c_id, (-yp - CAST(agrees AS INT), c_id)) FILTER (WHERE near) AS n_id, arg_min(agrees, (-yp - CAST(agrees AS INT), c_id)) FILTER (WHERE near) AS n_agrees, arg_min(votes, (-yp - CAST(agrees AS INT), c_id)) FILTER (WHERE near) AS n_votes, arg_min(yp, (-yp - CAST(agrees AS INT), c_id)) FILTER (WHERE near) AS n_yp,
+  arg_min(c_id, (-CAST(agrees AS INT), c_id)) FILTER (WHERE old) AS o_id, arg_min(agrees, (-CAST(agrees AS INT), c_id)) FILTER (WHERE old) AS o_agrees,
+  max((votes, c_id, agrees)) FILTER (WHERE near) AS nv, min(votes) FILTER (WHERE near) AS nv2, max((votes, c_id, agrees)) FILTER (WHERE old) AS ov, min(votes) FILTER (WHERE old) AS ov2 FROM n GROUP BY q_id),
+d AS (SELECT *, n_near > 0 AND nv[1] >= 1000 AND (n_near = 1 OR nv[1] >= 20 * greatest(1, nv2)) AS dom_near, n_old > 0 AND ov[1] >= 1000 AND (n_old = 1 OR ov[1] >= 20 * greatest(1, ov2)) AND ov[3] AS dom_old FROM g),
+r AS (SELECT *, CASE WHEN n_alive = 0 THEN CASE WHEN c THEN 'director conflicts only' ELSE 'no candidates' END WHEN s_id IS NOT NULL THEN 'director corroborated' WHEN n_old > 0 AND n_near > 0 AND late AND NOT near1 THEN 'rerelease-ambiguous'
+  WHEN n_near = 1 AND (n_agrees OR n_votes >= 1000 OR (told AND n_yp = 2)) THEN 'exact title + year' || CASE WHEN n_agrees THEN ' + agreement' ELSE '' END WHEN dom_near THEN 'votes dominate among year-near exact titles' WHEN n_near > 0 THEN 'ambiguous'
+  WHEN n_old = 1 AND late AND o_agrees THEN 'unique older exact title (commerce year = re-release)' WHEN dom_old AND late THEN 'votes dominate among older exact titles' WHEN n_old > 0 AND late THEN 'ambiguous (older candidates)' ELSE 'weak' END AS reason FROM d),
+i AS (SELECT q_id, reason, CASE WHEN reason = 'director corroborated' THEN s_id WHEN starts_with(reason, 'exact') THEN n_id WHEN starts_with(reason, 'votes dominate among year') THEN nv[2] WHEN starts_with(reason, 'unique') THEN o_id WHEN starts_with(reason, 'votes dominate among older') THEN ov[2] END AS c FROM r)
+SELECT q_id, CASE WHEN c IS NULL THEN 'review' ELSE 'match' END AS kind, CAST(c AS VARCHAR) AS c_id, reason FROM i""")
 def resolver(spark: SparkSession, d: str) -> DataFrame:
     """Each customer's title resolved among the parts of that title."""
     queries, films = _match_tables(spark, d)
