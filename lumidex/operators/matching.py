@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumidex.functions.text import article_norm, colon_prefix, norm_title, same_director, title_ratio, without_editions
@@ -22,14 +22,14 @@ def forms(df: DataFrame, title: str = "title") -> DataFrame:
 def candidates(queries: DataFrame, films: DataFrame) -> DataFrame:
     """(q.*, c.*, level): for each query the films of the first pair of levels at which any share a key.
 
-    An equi-join on the key; the best pair of levels of a query is one aggregation.
+    An equi-join on the key; what a query's candidates have in common is a window over the
+    query, whose partitioning the aggregations after it keep.
     """
     q = forms(queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]), "q_title").withColumnsRenamed({"level": "q_level", "key": "q_key"})
     c = forms(films.select(*[F.col(x).alias(f"c_{x}") for x in films.columns]), "c_title").withColumnsRenamed({"level": "c_level", "key": "c_key"})
     pairs = q.join(c, F.col("q_key") == F.col("c_key")).withColumn("pair", F.struct("q_level", "c_level"))
-    best = pairs.groupBy(F.col("q_id").alias("b_id")).agg(F.min("pair").alias("b_pair"))
-    found = pairs.join(best, (F.col("q_id") == F.col("b_id")) & (F.col("pair") == F.col("b_pair")))
-    return found.withColumn("level", F.greatest("q_level", "c_level")).drop("q_level", "c_level", "q_key", "c_key", "pair", "b_id", "b_pair").dropDuplicates(["q_id", "c_id"])
+    found = pairs.withColumn("b_pair", F.min("pair").over(Window.partitionBy("q_id"))).where(F.col("pair") == F.col("b_pair"))
+    return found.withColumn("level", F.greatest("q_level", "c_level")).drop("q_level", "c_level", "q_key", "c_key", "pair", "b_pair").dropDuplicates(["q_id", "c_id"])
 
 
 def _names(c: Column) -> Column:
@@ -65,8 +65,7 @@ def verdicts(queries: DataFrame, films: DataFrame, popularity: bool = False) ->
     """
     pairs = scored(candidates(queries, films))
     alive = F.col("out").isNull()
-    best = pairs.where(alive).groupBy(F.col("q_id").alias("m_id")).agg(F.max("score").alias("top_score"))
-    pairs = pairs.join(best, F.col("q_id") == F.col("m_id"), "left")
+    pairs = pairs.withColumn("top_score", F.max(F.when(alive, F.col("score"))).over(Window.partitionBy("q_id")))
     top = alive & (F.col("score") == F.col("top_score"))
     about = F.struct(F.coalesce("c_popularity", F.lit(float("-inf"))).alias("popularity"), "c_id", "c_year", "year_points", "gap", "corroborated", "level")
     grouped = pairs.groupBy("q_id").agg(
@@ -118,10 +117,10 @@ def title_levels(pairs: DataFrame) -> DataFrame:
     asked = (F.col("n_c") != F.col("n_f")) & ~prefix & near
     alike = F.coalesce(title_ratio(F.when(asked, F.col("n_q")), F.when(asked, F.col("n_c"))) >= ALIKE, F.lit(False))
     level = F.when(F.col("n_c") == F.col("n_f"), 3).when(prefix, 2).when(alike, 1).otherwise(0)
-    found = spread.withColumns({"l": level, "l_article": F.col("a_c") == F.col("a_f")}).groupBy("q_id", "c_id").agg(F.max("l").alias("l"), F.max("l_article").alias("l_article"))
-    exact = found.groupBy(F.col("q_id").alias("e_id")).agg(F.max(F.col("l") == 3).alias("any_exact"))
-    found = found.join(exact, F.col("q_id") == F.col("e_id")).select(F.col("q_id").alias("t_q"), F.col("c_id").alias("t_c"), F.when(~F.col("any_exact") & F.col("l_article"), 3).otherwise(F.col("l")).alias("title_level"))
-    return pairs.join(found, (F.col("q_id") == F.col("t_q")) & (F.col("c_id") == F.col("t_c"))).drop("t_q", "t_c")
+    rest = [F.any_value(c).alias(c) for c in pairs.columns if c not in ("q_id", "c_id")]
+    found = spread.withColumns({"l": level, "l_article": F.col("a_c") == F.col("a_f")}).groupBy("q_id", "c_id").agg(F.max("l").alias("l"), F.max("l_article").alias("l_article"), *rest)
+    exact = F.coalesce(F.max(F.col("l") == 3).over(Window.partitionBy("q_id")), F.lit(False))
+    return found.withColumn("title_level", F.when(~exact & F.col("l_article"), 3).otherwise(F.col("l"))).select(*pairs.columns, "title_level")
 
 
 def resolve(pairs: DataFrame) -> DataFrame:
@@ -150,19 +149,21 @@ def resolve(pairs: DataFrame) -> DataFrame:
     })
     p = p.withColumn("score", F.col("title_level") + F.col("year_points") + F.when(F.col("directed"), 3).otherwise(0) + F.col("agreement").cast("int"))
     # an exact title beats longer ones outright; an unkeyed entry without votes beside a keyed one of its year is a duplicate
-    per_query = p.where("alive").groupBy(F.col("q_id").alias("x_id")).agg(F.max(F.col("title_level") == 3).alias("any_exact"))
-    s = p.where("alive").join(per_query, F.col("q_id") == F.col("x_id")).where(~F.col("any_exact") | (F.col("title_level") == 3))
-    keyed = s.where("c_in_tmdb").groupBy(F.col("q_id").alias("k_id")).agg(F.collect_set("c_year").alias("keyed_years"))
-    s = s.join(keyed, F.col("q_id") == F.col("k_id"), "left")
+    of_query = Window.partitionBy("q_id")
+    p = p.withColumn("any_exact", F.coalesce(F.max(F.when(F.col("alive"), F.col("title_level") == 3)).over(of_query), F.lit(False)))
+    p = p.withColumn("counts", F.coalesce(F.col("alive") & (~F.col("any_exact") | (F.col("title_level") == 3)), F.lit(False)))
+    p = p.withColumn("keyed_years", F.collect_set(F.when(F.col("counts") & F.col("c_in_tmdb"), F.col("c_year"))).over(of_query))
     twin = ~F.col("c_in_tmdb") & (F.col("c_votes") < 10) & F.coalesce(F.array_contains("keyed_years", F.col("c_year")), F.lit(False))
-    s = s.withColumn("left_over", ~twin)
-    row = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct((-F.col("score")).alias("less"), "c_id", "c_votes", "title_level", "year_points", "agreement"))))
-    g = s.groupBy("q_id").agg(
+    p = p.withColumn("left_over", ~twin)
+    about = F.struct((-F.col("score")).alias("less"), "c_id", "c_votes", "title_level", "year_points", "agreement")
+    row = lambda cond: F.array_sort(F.collect_list(F.when(F.col("counts") & cond, about)))
+    g = p.groupBy("q_id").agg(
         F.any_value("q_title").alias("q_title"), F.any_value("q_year").alias("q_year"), F.any_value("q_class").alias("q_class"), F.any_value("q_director").alias("q_director"), F.any_value("q_editions").alias("q_editions"),
-        row(F.lit(True)).alias("all"), row(F.col("directed")).alias("directed"), row(F.col("directed") & (F.col("agreement") | (F.col("c_votes") >= 100))).alias("strong"),
+        row(F.col("directed")).alias("directed"), row(F.col("directed") & (F.col("agreement") | (F.col("c_votes") >= 100))).alias("strong"),
         row(F.col("left_over") & (F.col("year_points") >= 1)).alias("near"), row(F.col("left_over") & F.col("older")).alias("old"), row(F.col("left_over")).alias("rest"),
+        F.max("counts").alias("any_counts"), F.max("conflict").alias("any_conflict"),
     )
-    return _ruled(pairs.select("q_id").distinct(), p, g)
+    return _ruled(pairs.select("q_id").distinct(), g)
 
 
 def _dominant(found: str) -> Column:
@@ -172,9 +173,8 @@ def _dominant(found: str) -> Column:
     return F.when((first["v"] >= 1000) & (second.isNull() | (first["v"] >= 20 * F.greatest(F.lit(1), second["v"]))), first)
 
 
-def _ruled(queries: DataFrame, p: DataFrame, g: DataFrame) -> DataFrame:
-    conflicts = p.groupBy(F.col("q_id").alias("d_id")).agg(F.max("conflict").alias("any_conflict"))
-    rows = queries.join(g.withColumnRenamed("q_id", "g_id"), F.col("q_id") == F.col("g_id"), "left").join(conflicts, F.col("q_id") == F.col("d_id"), "left")
+def _ruled(queries: DataFrame, g: DataFrame) -> DataFrame:
+    rows = queries.join(g.withColumnRenamed("q_id", "g_id"), F.col("q_id") == F.col("g_id"), "left")
     n = lambda c: F.size(c)
     first = lambda c: F.try_element_at(c, F.lit(1))
     late = F.col("q_class").isin("mc", "apple-field")
@@ -186,7 +186,7 @@ def _ruled(queries: DataFrame, p: DataFrame, g: DataFrame) -> DataFrame:
     top = first("rest")
     rule = lambda reason, ident=None: F.struct(F.lit(reason).alias("reason") if isinstance(reason, str) else reason.alias("reason"), (F.lit(None).cast("string") if ident is None else ident.cast("string")).alias("c_id"))
     chosen = (
-        F.when(F.col("g_id").isNull(), rule(F.when(F.coalesce("any_conflict", F.lit(False)), "director conflicts only").otherwise("no candidates")))
+        F.when(~F.coalesce("any_counts", F.lit(False)), rule(F.when(F.coalesce("any_conflict", F.lit(False)), "director conflicts only").otherwise("no candidates")))
         .when((n("directed") == 1) & (first("directed")["title_level"] >= 2), rule("director corroborated", first("directed")["c_id"]))
         .when((n("directed") > 1) & (n("strong") == 1) & (strong["title_level"] >= 2), rule("director corroborated (one keyed/voted entry among duplicates)", strong["c_id"]))
         .when(n("directed") > 1, rule("ambiguous (several director hits)"))
