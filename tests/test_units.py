@@ -357,9 +357,9 @@ def test_late_return_in_a_later_batch(spark, tmp_path):
     """A title that comes back after many times the gap, when the watermark has long passed it, still gives an event."""
     days = [dt.datetime(2026, 1, 1), dt.datetime(2026, 6, 1), dt.datetime(2027, 1, 1), dt.datetime(2027, 1, 2)]
     schema, films = "film_id long, source string, seen timestamp", (1, 2, 2, 1)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for day, film in zip(days, films, strict=True):
         spark.createDataFrame([(film, "a", day)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         query = sync.reappearances(stream).writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o")).start()
         query.awaitTermination()
     assert sorted((r["film_id"], r["seen"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(1, days[3]), (2, days[2])]
