@@ -9,7 +9,9 @@ two words of 64 bits. A conversation whose last prefix hash is a proper prefix
 hash of some conversation is left out by an anti-join.
 
 Scale: a conversation is worked on in blocks of turn numbers, so that even a
-single conversation with a third of all turns spreads over tasks; block counts
+single conversation with a third of all turns spreads over tasks; a block with over
+HOT_TURNS turns, as when a third of all rows has neither conv_id nor turn number, is cut
+further by turn number and hash, which is the order inside it. Block counts
 and block XORs are prefix-summed over the few block rows. Prefixes and complete
 conversations are aggregated (map side first) before they meet, so neither a
 common first turn nor a thousand copies make a hot key in the anti-join.
@@ -32,6 +34,8 @@ from lumidex.llm.common import saved, table
 #: Turn numbers per block; also the most turns rendered into one row.
 BLOCK_TURNS = 256
 BEFORE_ALL = -(2**62)
+#: Rows of a block from which it is cut further, and parts of the hashes that it is cut by.
+HOT_TURNS, HASH_PARTS = 1 << 16, 4096
 
 
 def _turns(conversations: DataFrame, block_turns: int) -> DataFrame:
@@ -39,21 +43,34 @@ def _turns(conversations: DataFrame, block_turns: int) -> DataFrame:
     return conversations.select(
         "conv_id",
         "turn",
-        F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(BEFORE_ALL)).alias("block"),
+        F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(BEFORE_ALL)).alias("span"),
         F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"),
         key.alias("key"),
     )
 
 
-def prefix_hashes(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """conv_id, block, pos (from 1), h1, h2 (rolling prefix hash), is_last; one row a distinct turn."""
+def hot_spans(conversations: DataFrame, block_turns: int = BLOCK_TURNS, hot_turns: int = HOT_TURNS) -> DataFrame:
+    """(h_conv, h_span) of the spans of turn numbers that more than hot_turns rows share: nearly always none."""
+    counted = _turns(conversations, block_turns).groupBy("conv_id", "span").agg(F.count("*").alias("n")).where(F.col("n") > hot_turns)
+    return saved(counted.select(F.col("conv_id").alias("h_conv"), F.col("span").alias("h_span")), "hot")
+
+
+def _in_blocks(turns: DataFrame, hot: DataFrame, block_turns: int) -> DataFrame:
+    """turns with block: the span, and for a hot one the place in the order of turn numbers and hashes inside it."""
+    inside = F.coalesce(F.pmod(F.floor("turn"), F.lit(block_turns)), F.lit(0)) * HASH_PARTS + F.conv(F.substring("key", 1, 3), 16, 10).cast("long")
+    joined = turns.join(hot, turns["conv_id"].eqNullSafe(hot["h_conv"]) & (turns["span"] == hot["h_span"]), "left")
+    return joined.withColumn("block", F.struct("span", F.when(F.col("h_span").isNotNull(), inside).otherwise(0).alias("part"))).drop("h_conv", "h_span", "span")
+
+
+def prefix_hashes(conversations: DataFrame, hot: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """conv_id, block, pos (from 1), h1, h2 (rolling prefix hash), is_last; one row a distinct turn. hot: hot_spans()."""
     in_block = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "key")
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks_before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = Window.partitionBy("conv_id").orderBy("block")
     numbered = saved(
-        _turns(conversations, block_turns)
+        _in_blocks(_turns(conversations, block_turns), hot, block_turns)
         .select("conv_id", "turn", "block", "key")
         .distinct()
         .withColumns({"n_in": F.row_number().over(in_block), "ends_block": F.lead("key").over(in_block).isNull()}),
@@ -100,19 +117,20 @@ def maximal(prefixes: DataFrame) -> DataFrame:
     return whole.join(proper, keys, "left_anti").select("conv_id", F.col("pos").alias("n_turns"), "n_copies")
 
 
-def collapse(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+def collapse(conversations: DataFrame, block_turns: int = BLOCK_TURNS, hot_turns: int = HOT_TURNS) -> DataFrame:
     """conv_id, piece, n_turns, n_copies, text: the maximal conversations, rendered.
 
     A piece holds block_turns turns by position, whatever their numbers; nearly all
     conversations have one piece, and pieces in order join to the whole conversation.
     """
-    prefixes = saved(prefix_hashes(conversations, block_turns), "prefixes")
+    hot = hot_spans(conversations, block_turns, hot_turns)
+    prefixes = saved(prefix_hashes(conversations, hot, block_turns), "prefixes")
     stay = saved(maximal(prefixes), "maximal")
     starts = prefixes.groupBy("conv_id", "block").agg((F.min("pos") - 1).alias("before"))
     places = starts.join(stay, starts["conv_id"].eqNullSafe(stay["conv_id"])).select(
         starts["conv_id"].alias("p_conv"), F.col("block").alias("p_block"), "before", "n_turns", "n_copies"
     )
-    rows = _turns(conversations, block_turns)
+    rows = _in_blocks(_turns(conversations, block_turns), hot, block_turns)
     kept = rows.join(places, rows["conv_id"].eqNullSafe(places["p_conv"]) & (rows["block"] == places["p_block"]))
     said = F.sort_array(F.collect_set(F.struct("turn", "key", "role", "text")))
     turn_text = lambda t: F.concat(F.lit("<|"), F.coalesce(t["role"], F.lit("unknown")), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")), F.lit("<|end|>\n"))

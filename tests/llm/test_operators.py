@@ -473,13 +473,13 @@ def conversation_rows():
     return [(i, k, r, x) for i, t in enumerate(talks) for k, (r, x) in enumerate(t)]
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_collapse(spark, block):
+@pytest.mark.parametrize(("block", "hot"), [(256, 1 << 16), (2, 1 << 16), (256, 2), (3, 1)])
+def test_collapse(spark, block, hot):
     rows = conversation_rows()
     rows += rows[:10]  # rows that repeat count once
     df = spark.createDataFrame([(*r, "c", "c") for r in rows], TURNS)
     got: dict = {}
-    for r in sorted(chat_collapse.collapse(df, block).collect(), key=lambda r: (r["conv_id"], r["piece"])):
+    for r in sorted(chat_collapse.collapse(df, block, hot).collect(), key=lambda r: (r["conv_id"], r["piece"])):
         got[r["conv_id"]] = got.get(r["conv_id"], "") + r["text"]
     assert got == brute.maximal(rows)
 
@@ -493,6 +493,15 @@ def test_collapse_of_odd_rows(spark):
     assert chat_collapse.collapse(df.limit(0)).count() == 0
 
 
+def test_rows_without_numbers_may_be_cut(spark):
+    """Rows with neither conv_id nor turn number, and many of one turn number, are ordered alike whether their block is cut or not."""
+    rows = [(None, None, "u", f"t{i}") for i in range(300)] + [(None, 3, "u", f"s{i}") for i in range(50)] + [(None, -7, "u", "r")] + [(8, 3, "u", f"q{i % 90}") for i in range(200)]
+    df = spark.createDataFrame([(*r, "c", "c") for r in rows], TURNS)
+    key = lambda r: (r["conv_id"] is None, r["piece"])
+    plain, cut = (sorted(chat_collapse.collapse(df, 64, hot).collect(), key=key) for hot in (1 << 16, 20))
+    assert plain == cut and [r["text"].count("<|end|>") for r in cut] == [64, 26, 64, 64, 64, 64, 64, 31]
+
+
 def test_pieces_go_by_position(spark):
     """Turn numbers do not tell how a conversation is cut: only each 256th turn begins a new piece."""
     rows = [(1, t, "u", f"a{t}") for t in range(250, 261)] + [(2, 1_700_000_000 + 977 * t, "u", f"b{t}") for t in range(20)]
