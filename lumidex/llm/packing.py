@@ -13,7 +13,8 @@ shuffled; what follows are rows of a few numbers. Ranks come from counters withi
 partitions of a written table plus prefix sums over (partition, class) counts, so a
 class that a third of all documents falls into, such as copies, is ranked by as many
 tasks as hold it. The driver gets the histogram and returns patterns, both bounded by
-the classes. A sequence has at most WIDTH / GRAIN pieces.
+the classes. A sequence has at most WIDTH / GRAIN pieces. After MAX_COLUMNS columns the
+program stops with the plan it has, which holds all tails like any other, and warns.
 
 Defined results: a null or empty text is the end id alone; very long texts are
 tokenized whole; repeated rows are packed as often as they come; null ids are
@@ -26,6 +27,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -153,6 +155,8 @@ def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[np.ndarray, i
         inverse[others] -= np.outer(direction[others], inverse[out])
         patterns[out] = column
         level = inverse @ need
+    else:
+        warnings.warn(f"the plan is not proven to be within {GAP} of the least after {MAX_COLUMNS} columns", stacklevel=2)
     chosen = [(p, int(np.floor(x + 1e-6))) for p, x in zip(patterns, level, strict=True)]
     chosen = [(p, n) for p, n in chosen if n > 0]
     left = need.astype(np.int64) - sum((p * n for p, n in chosen), np.zeros(m, np.int64))

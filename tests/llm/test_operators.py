@@ -530,6 +530,14 @@ def test_cutting_stock_holds_all_demand():
     assert packing.cutting_stock({}, 32) == []
 
 
+def test_cutting_stock_says_when_it_stops_early(monkeypatch):
+    monkeypatch.setattr(packing, "MAX_COLUMNS", 1)
+    demand = {k: 40 + k for k in range(3, 30)}
+    with pytest.warns(UserWarning, match="not proven"):
+        chosen = packing.cutting_stock(demand, 32)
+    assert (sum(p * n for p, n in chosen) >= [demand[k] for k in sorted(demand)]).all()
+
+
 def test_packing(spark):
     rng = random.Random(10)
     docs = [(200 + i, words(rng, rng.randrange(0, 1500))) for i in range(60)] + [*ODD, (98, "<|endoftext|> x"), (99, "long " * 9000)]
