@@ -475,3 +475,37 @@ def review_outcomes(reviews: DataFrame, actions: DataFrame, held: DataFrame, fil
     )
     film = F.when(outcome.isin("linked", "merged", "owned"), F.col("target")).when(outcome.isin("matched", "keyed", "unkeyed"), F.col("own"))
     return rows.select("id", outcome.alias("outcome"), film.alias("film_id"))
+
+
+def recheck_outcomes(stored: DataFrame, filed: DataFrame, relisted: DataFrame, states: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((film_id, outcome, itunes_id), dropped ids (film_id, itunes_id)) of titles that hold store ids (film_id, imdb_id, itunes_id).
+
+    Of a title with several ids those that states (itunes_id, removed) call removed are
+    dropped if another is live, and the title is live. Else filed (imdb_id, removed) decides:
+    unknown, live, or, where the product was removed, replaced by the search's answer
+    (relisted: film_id, new_id, n), held if that is another title's, or dead.
+    """
+    state = states.select(F.col("itunes_id").alias("t_id"), F.col("removed").alias("t_removed"))
+    each = _left(stored, state, {"itunes_id": "t_id"})
+    whole = each.groupBy("film_id").agg(F.count("*").alias("n_ids"), F.count_if(F.col("t_removed") == F.lit(False)).alias("n_live"), F.min("itunes_id").alias("own"), F.min("imdb_id").alias("imdb_id"))
+    several = (F.col("n_ids") > 1) & (F.col("n_live") > 0)
+    dropped = each.where("t_removed").join(whole.where(several).select("film_id"), "film_id", "left_semi").select("film_id", "itunes_id")
+    holder = ids.where("authority = 'itunes'").groupBy(F.col("value").alias("h_value")).agg(F.min("film_id").alias("h_film"))
+    rows = _left(whole, filed.select(F.col("imdb_id").alias("f_id"), F.col("removed").alias("gone")), {"imdb_id": "f_id"})
+    rows = _left(_left(rows, relisted.select(F.col("film_id").alias("r_film"), "new_id", "n"), {"film_id": "r_film"}), holder, {"new_id": "h_value"})
+    found = F.coalesce((F.col("n") == 1) & (F.col("new_id") != F.col("own")), F.lit(False))
+    outcome = (
+        F.when(several, "live").when(F.col("gone").isNull(), "unknown").when(~F.col("gone"), "live").when(~found, "dead")
+        .when(F.coalesce(F.col("h_film") != F.col("film_id"), F.lit(False)), "held").otherwise("replaced")
+    )
+    return rows.select("film_id", outcome.alias("outcome"), F.when(outcome == "replaced", F.col("new_id")).otherwise(F.col("own")).alias("itunes_id")), dropped
+
+
+def walk_listings(listings: DataFrame, decided: DataFrame, items: DataFrame, day, template: str) -> DataFrame:
+    """The stream's listings (film_id, url, first_seen, last_seen) after a walk's decisions (mediaid, film_id) on its items (pos, mediaid): seen on day, under a stored address if it names one of tonight's ids; others stay as they were."""
+    stream = listings.where("source = 'criterion'").select("film_id", "url", "first_seen", "last_seen")
+    tonight = decided.where("film_id is not null").join(items.select("mediaid", "pos"), "mediaid").select("film_id", "pos", "mediaid")
+    urls = listing_urls(stream.select("film_id", "url"), tonight, template).select(F.col("film_id").alias("u_film"), F.col("url").alias("now"))
+    rows = stream.join(urls, F.col("film_id") == F.col("u_film"), "full")
+    seen = F.col("u_film").isNotNull()
+    return rows.select(F.coalesce("film_id", "u_film").alias("film_id"), F.coalesce("now", "url").alias("url"), F.coalesce("first_seen", F.lit(day).cast("date")).alias("first_seen"), F.when(seen, F.lit(day).cast("date")).otherwise(F.col("last_seen")).alias("last_seen"))

@@ -100,6 +100,14 @@ def movie_facts(spark: SparkSession, d: str) -> DataFrame:
     return parsers.movie_facts(_credit_payloads(spark, d))
 
 
+@query("""SELECT p_partkey AS film_id, CAST(n AS INT) AS pos, 'YouTube' AS site, CASE n WHEN 0 THEN 'Trailer' ELSE 'Clip' END AS type, 'key' || (p_partkey * 2 + n) AS key, CASE WHEN p_partkey % 3 = 0 THEN 'fr' END AS language, n = 0 AS official, CAST(720 AS INT) AS size FROM part, range(0, 2) t(n) WHERE p_partkey % 4 <> 0 OR n = 0""")
+def videos_parse(spark: SparkSession, d: str) -> DataFrame:
+    p, k = _part(spark, d)
+    one = lambda n, kind: F.struct(F.lit("YouTube").alias("site"), F.lit(kind).alias("type"), _text("key", k * 2 + n).alias("key"), F.when(k % 3 == 0, "fr").alias("iso_639_1"), F.lit(n == 0).alias("official"), F.lit(720).alias("size"))
+    raw = p.select(k.alias("film_id"), _json(results=F.when(k % 4 == 0, F.array(one(0, "Trailer"))).otherwise(F.array(one(0, "Trailer"), one(1, "Clip")))).alias("payload"))
+    return parsers.video_payloads(raw).drop("name")
+
+
 @query("""SELECT p_partkey AS film_id, CAST(p_size AS BIGINT) AS provider_id, 'Service ' || p_size AS name, 'flatrate' AS offer FROM part WHERE p_partkey % 2 = 0
   UNION ALL SELECT p_partkey, p_size + 100, 'Service ' || (p_size + 100), 'rent' FROM part UNION ALL SELECT p_partkey, p_size, 'Service ' || p_size, 'buy' FROM part""")
 def providers_parse(spark: SparkSession, d: str) -> DataFrame:

@@ -472,3 +472,38 @@ def tombstoned_keys(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("film_id")
     canon = _canon(spark, d).withColumn("canonical_id", F.when(k % 16 == 0, 15).otherwise(F.col("canonical_id")).cast("long"))
     return P.tombstoned_keys(_films(spark, d), _gone(spark, d), canon)
+
+
+def _recheck(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("film_id")
+    films = _films(spark, d)
+    one = films.select("film_id", _text("tt", k).alias("imdb_id"), _text("a", k).alias("itunes_id"))
+    stored = one.unionByName(one.where(k % 3 == 0).withColumn("itunes_id", _text("b", k)))
+    states = stored.select("itunes_id", ((F.startswith("itunes_id", F.lit("b")) & (k % 2 == 0)) | (k % 9 == 0)).alias("removed"))
+    filed = one.where(k % 10 != 0).select("imdb_id", (k % 4 == 0).alias("removed"))
+    relisted = films.where(k % 8 == 0).select("film_id", F.when(k % 16 == 0, _text("a", k + 1)).otherwise(_text("c", k)).alias("new_id"), F.when(k % 5 == 0, 2).otherwise(1).alias("n"))
+    ids = stored.select("film_id", F.lit("itunes").alias("authority"), F.col("itunes_id").alias("value"))
+    return P.recheck_outcomes(stored, filed, relisted, states, ids)
+
+
+@query(f"""WITH {_BASE} SELECT film_id, CASE WHEN film_id % 3 = 0 AND (film_id % 9 <> 0) THEN 'live' WHEN film_id % 10 = 0 THEN 'unknown' WHEN film_id % 4 <> 0 THEN 'live' WHEN film_id % 8 <> 0 OR film_id % 5 = 0 THEN 'dead'
+  WHEN film_id % 16 = 0 AND film_id + 1 IN (SELECT film_id FROM films) THEN 'held' ELSE 'replaced' END AS outcome FROM films""")
+def store_recheck(spark: SparkSession, d: str) -> DataFrame:
+    """Stored ids asked about again: some products were removed, of which some are listed anew, some under another title's id."""
+    return _recheck(spark, d)[0].select("film_id", "outcome")
+
+
+@query(f"WITH {_BASE} SELECT film_id, 'b' || film_id AS itunes_id FROM films WHERE film_id % 6 = 0 AND film_id % 9 <> 0")
+def store_ids_removed(spark: SparkSession, d: str) -> DataFrame:
+    return _recheck(spark, d)[1]
+
+
+@query(f"""WITH {A.LISTINGS_SQL}, s AS (SELECT * FROM listings WHERE source = 'criterion'), t AS (SELECT p_partkey AS film_id FROM part WHERE p_partkey % 2 = 0)
+SELECT coalesce(s.film_id, t.film_id) AS film_id, CASE WHEN t.film_id IS NOT NULL THEN 'https://s.example/films/x' || t.film_id ELSE s.url END AS url, CAST(coalesce(s.first_seen, DATE '{A.TODAY}') AS VARCHAR) AS first_seen, CAST(CASE WHEN t.film_id IS NOT NULL THEN DATE '{A.TODAY}' ELSE s.last_seen END AS VARCHAR) AS last_seen
+FROM s FULL JOIN t ON t.film_id = s.film_id""")
+def walk_write(spark: SparkSession, d: str) -> DataFrame:
+    """Listings after a walk that saw every second film under two ids."""
+    p, k = _rows(spark, d, "part", "p_partkey")
+    items = p.where(k % 2 == 0).select(F.posexplode(F.array(_text("x", k), _text("y", k))).alias("pos", "mediaid"), k.alias("film_id"))
+    after = P.walk_listings(A.listings(spark, d), items.select("mediaid", "film_id"), items.select("mediaid", "pos"), A.TODAY, "https://s.example/films/{}")
+    return after.withColumns({"first_seen": F.col("first_seen").cast("string"), "last_seen": F.col("last_seen").cast("string")})
