@@ -43,12 +43,12 @@ def id_agreement(spark: SparkSession, d: str) -> DataFrame:
     return reports.agreement(_reconciled(spark, d))
 
 
-_GATED = f"{_RECONCILED}, h AS (SELECT 'tt' || p_partkey AS tt, CASE WHEN p_partkey % 6 = 0 THEN p_partkey // 2 ELSE p_partkey END AS holder FROM part WHERE p_partkey % 2 = 0 AND p_partkey < 900), g AS (SELECT c.*, holder, CASE WHEN holder IS NOT NULL THEN 'held' WHEN entry_id % 11 = 0 THEN 'tombstoned' WHEN entry_id % 13 = 0 THEN 'blocked' ELSE 'clear' END AS gate FROM c LEFT JOIN h USING (tt))"
+_GATED = f"{_RECONCILED}, h AS (SELECT 'tt' || p_partkey AS tt, CASE WHEN p_partkey % 6 = 0 THEN p_partkey // 2 ELSE p_partkey END AS holder FROM part WHERE p_partkey % 2 = 0), g AS (SELECT c.*, holder, CASE WHEN holder IS NOT NULL THEN 'held' WHEN entry_id % 11 = 0 THEN 'tombstoned' WHEN entry_id % 13 = 0 THEN 'blocked' ELSE 'clear' END AS gate FROM c LEFT JOIN h USING (tt))"
 
 
 def _gated(spark: SparkSession, d: str) -> DataFrame:
     rows = _reconciled(spark, d).withColumn("key", F.concat(F.lit("k"), F.col("entry_id").cast("string")))
-    p = A.table(spark, d, "part").where("p_partkey % 2 = 0 and p_partkey < 900")
+    p = A.table(spark, d, "part").where("p_partkey % 2 = 0")
     ids = p.select(F.col("p_partkey").alias("film_id"), F.lit("imdb").alias("authority"), F.concat(F.lit("tt"), F.col("p_partkey").cast("string")).alias("value"))
     canon = p.where("p_partkey % 6 = 0").select(F.col("p_partkey").alias("film_id"), F.floor(F.col("p_partkey") / 2).alias("canonical_id"))
     gone = rows.where("entry_id % 11 = 0").select("key")

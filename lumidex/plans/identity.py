@@ -90,10 +90,13 @@ def merged_ratings(spark: SparkSession, d: str) -> DataFrame:
     return one.select("film_id").join(folded.groupBy("film_id").agg(F.count("*").alias("n_folded")), "film_id")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_partkey + 10000000 AS b FROM lineitem WHERE l_quantity >= 49), w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, component) AS (SELECT DISTINCT a, a FROM w UNION SELECT r.node, w.b FROM r JOIN w ON w.a = r.component) SELECT node, min(component) AS component FROM r GROUP BY node")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 10000000 + l_partkey * 100 + CAST(l_quantity AS BIGINT) AS b FROM lineitem), w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT a AS node, a AS component FROM w
+  UNION (SELECT u.node, min(v.component) AS component FROM recurring.r AS u JOIN w ON w.a = u.node JOIN r AS v ON v.node = w.b WHERE v.component < u.component GROUP BY u.node))
+SELECT node, component FROM r""")
 def linked_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Orders and parts of large lines, in connected components."""
-    e = A.table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10000000).alias("b"))
+    """Orders that have the same part in the same quantity, and what they have, in connected components."""
+    e = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") * 100 + F.col("l_quantity").cast("long") + 10000000).alias("b")).distinct()
     return connected_components(e, saved)
 
 
