@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -96,6 +97,17 @@ def tables(items: list[tuple[str | None, str | None]], window: int = WINDOW) ->
     return list(classes.values())
 
 
+_BUILT: dict[str, list[WuManber]] = {}
+
+
+def built(key: str, items: list[tuple[str | None, str | None]], window: int) -> list[WuManber]:
+    """tables(items), made once in each Python worker for all tasks of the block that key names."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = tables(items, window)
+    return _BUILT[key]
+
+
 def hits(words: list[bytes], classes: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
     """Merged word spans inside occurrences, and the items' ids."""
     spans, ids = [], set()
@@ -143,10 +155,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
-        shipped = spark.sparkContext.broadcast(first)
+        shipped, key = spark.sparkContext.broadcast(first), uuid.uuid4().hex
 
         def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            classes = tables(shipped.value, window)
+            classes = built(key, shipped.value, window)
             for pdf in frames:
                 rows = []
                 for text in pdf["text"]:
@@ -173,8 +185,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     for block in queue():
         shipped = spark.sparkContext.broadcast(block)
 
-        def scan_block(frames: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            classes = tables(shipped.value, window)
+        def scan_block(frames: Iterator[pd.DataFrame], shipped=shipped, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            classes = built(key, shipped.value, window)
             for pdf in frames:
                 rows = [hits(words_of(text), classes) for text in pdf["text"]]
                 found = [(k, [list(x) for x in spans], sorted(ids)) for k, (spans, ids) in zip(pdf["row_key"], rows, strict=True) if spans]
