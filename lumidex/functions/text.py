@@ -101,22 +101,37 @@ def same_director(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), enough)
 
 
+def _closeness(a: str, b: str) -> float:
+    """1 for strings of one length, less the more the lengths differ."""
+    return (min(len(a), len(b)) / max(len(a), len(b), 1)) ** LENGTH_EXPONENT
+
+
 @pandas_udf(DoubleType())
 def similarity(queries: pd.Series, names: pd.Series) -> pd.Series:
-    """The best ratio of matching blocks of a query with the whole name, or with one of its words, lowered where lengths differ."""
-
-    def best(query: str | None, name: str | None) -> float | None:
-        if query is None or name is None:
-            return None
-        q, n = query.lower().strip(), name.lower()
-        found = SequenceMatcher(None, q, n).ratio()
-        for word in n.split():
-            penalty = (min(len(q), len(word)) / max(len(q), len(word))) ** LENGTH_EXPONENT
-            if penalty > found:  # a ratio is at most 1
-                found = max(found, SequenceMatcher(None, q, word).ratio() * penalty)
+    """The best ratio of matching blocks of a query with the whole name, or with one of its words, lowered where lengths differ.
+
+    Names share their words: a batch's distinct pairs of query and string are compared once,
+    those that can still win first.
+    """
+    ratios: dict[tuple[str, str], float] = {}
+
+    def ratio(q: str, text: str) -> float:
+        if (q, text) not in ratios:
+            ratios[q, text] = SequenceMatcher(None, q, text).ratio()
+        return ratios[q, text]
+
+    def best(query: str, name: str) -> float:
+        q, whole = query.lower().strip(), name.lower()
+        weights = {word: _closeness(q, word) for word in whole.split()} | {whole: 1.0}
+        found = 0.0
+        for text, weight in sorted(weights.items(), key=lambda x: -x[1]):
+            if weight <= found:  # a ratio is at most 1
+                break
+            found = max(found, weight * ratio(q, text))
         return found
 
-    return pd.Series([best(q, n) for q, n in zip(queries, names, strict=True)], dtype="float64")
+    known = queries.notna() & names.notna()
+    return pd.Series([best(q, n) if k else None for q, n, k in zip(queries, names, known, strict=True)], dtype="float64")
 
 
 def length_bound(query: Column, name: Column) -> Column:

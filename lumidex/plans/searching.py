@@ -108,9 +108,17 @@ def search_fields(spark: SparkSession, d: str) -> DataFrame:
     return search.search("director:Supplier#000000003 year:1960-1985", **search_tables(spark, d))
 
 
-@query()
+_SPLIT = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_COUNT = "(10 * len(list_filter(t, lambda w: w = '{0}')) + 2 * len(list_filter(o, lambda w: w = '{0}')) + len(list_filter(p, lambda w: w = '{0}')))"
+
+
+@query(f"""WITH w AS (SELECT p_partkey AS film_id, lower(p_name) AS title, lower(p_type) AS genre, {_SPLIT.format('p_name')} AS t, {_SPLIT.format('p_brand')} AS o, {_SPLIT.format('p_type')} AS p FROM part),
+c AS (SELECT film_id, title, genre, len(t) + len(o) + len(p) AS length, {_COUNT.format('small')} AS a, {_COUNT.format('ring')} AS b FROM w), s AS (SELECT count(*) AS n, avg(length) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c),
+r AS (SELECT film_id, genre, CASE WHEN a > 0 AND b > 0 THEN greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * length / m)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * length / m)) END AS words,
+  CASE WHEN contains(title, 'small ring') THEN 10.0 END AS inside, CASE WHEN title = 'small ring' THEN 3.0 END AS keyword FROM c, s)
+SELECT film_id, round(coalesce(words, 0) + coalesce(inside, 0) + coalesce(keyword, 0), 6) AS score FROM r WHERE genre = 'economy' AND coalesce(words, inside, keyword) IS NOT NULL""")
 def search_freeform(spark: SparkSession, d: str) -> DataFrame:
-    return search.search("small ring genre:economy", **search_tables(spark, d))
+    return search.search("small ring genre:economy", **search_tables(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query(r"SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
