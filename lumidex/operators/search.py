@@ -42,7 +42,7 @@ def vocabulary(texts: DataFrame, columns: list[str]) -> DataFrame:
     Words are sorted in their row, where the first of equal ones stands for the text; so one
     shuffle, by word and after a map-side sum, gives both.
     """
-    every = F.array_sort(F.flatten(F.array(*[words(F.coalesce(c, F.lit(""))) for c in columns])))
+    every = F.sort_array(F.flatten(F.array(*[words(F.coalesce(c, F.lit(""))) for c in columns])))
     marked = F.transform("w", lambda w, i: F.struct(w.alias("term"), (~w.eqNullSafe(F.get("w", i - 1))).cast("long").alias("first")))
     spread = texts.select(every.alias("w")).select(F.explode(marked).alias("x")).select("x.term", "x.first")
     return spread.groupBy("term").agg(F.sum("first").alias("n_docs"), F.count("*").alias("n"))
