@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumidex.llm import blocks, chat_collapse, decontamination, longdup, minhash, packing, qda, repetition, secrets, warc
+from lumidex.llm import blocks, chat_collapse, decontamination, drake, longdup, minhash, packing, qda, repetition, secrets, turn_repair, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,16 @@ QUERIES = {
         longdup.op8_suffix_dedup,
         chat_collapse.op9_chat_collapse,
         packing.op10_packing,
+        drake.op11_centroids,
+        turn_repair.op13_turn_repair,
     )
 }
 
-SQL = {"op2_warc": warc.OP2_SQL, "op3_decontamination": decontamination.OP3_SQL, "op4_minhash": minhash.OP4_SQL, "op9_chat_collapse": chat_collapse.OP9_SQL}
+SQL = {
+    "op2_warc": warc.OP2_SQL,
+    "op3_decontamination": decontamination.OP3_SQL,
+    "op4_minhash": minhash.OP4_SQL,
+    "op9_chat_collapse": chat_collapse.OP9_SQL,
+    "op11_centroids": drake.OP11_SQL,
+    "op13_turn_repair": turn_repair.OP13_SQL,
+}
