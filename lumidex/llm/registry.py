@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumidex.llm import blocks, chat_collapse, decontamination, drake, longdup, minhash, packing, qda, repetition, secrets, turn_repair, warc
+from lumidex.llm import blocks, chat_collapse, decontamination, drake, hilbert, longdup, minhash, packing, qda, repetition, secrets, turn_repair, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         chat_collapse.op9_chat_collapse,
         packing.op10_packing,
         drake.op11_centroids,
+        hilbert.op12_neighbours,
         turn_repair.op13_turn_repair,
     )
 }

@@ -282,11 +282,12 @@ def _stream(frames: Iterator[pd.DataFrame], batch_rows: int, batch_chars: int) -
         if not len(pdf):
             continue
         conv = pdf["conv"].to_numpy(object)
-        cuts = [0, *(np.flatnonzero(conv[1:] != conv[:-1]) + 1).tolist(), len(pdf)]
+        cuts = sorted({0, *(np.flatnonzero(conv[1:] != conv[:-1]) + 1).tolist(), *range(0, len(pdf), batch_rows), len(pdf)})
         for a, b in zip(cuts, cuts[1:], strict=False):
             if current is not None and current.conv != conv[a]:
                 if first or current.written:  # it may have begun in the partition before, or has pieces
-                    yield _frame([current.piece(part)])
+                    if current.rows:
+                        yield _frame([current.piece(part)])
                 else:
                     ready.append(current)
                     rows, chars = rows + current.rows, chars + current.chars
