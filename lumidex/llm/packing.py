@@ -5,16 +5,16 @@ What remains, the tails, are cut from stock of WIDTH: tails are counted by lengt
 classes of GRAIN tokens; over that histogram (at most WIDTH / GRAIN rows, whatever the
 data) a linear program for the fewest sequences is solved by column generation, where
 a knapsack dynamic program prices new patterns by the duals; pattern counts are
-rounded down and the few tails left are packed first-fit by class. Patterns are slots:
-tails, ranked within their class, take the slots of their class in order.
+rounded down and the few tails left are packed first-fit by class. The plan is never longer
+than that of first-fit alone, whose patterns start the program. Patterns are slots: tails,
+ranked within their class, take the slots of their class in order.
 
 Scale: tokens are counted and hashed in one pass over the documents and never
 shuffled; what follows are rows of a few numbers. Ranks come from counters within the
 partitions of a written table plus prefix sums over (partition, class) counts, so a
 class that a third of all documents falls into, such as copies, is ranked by as many
 tasks as hold it. The driver gets the histogram and returns patterns, both bounded by
-the classes. A sequence has at most WIDTH / GRAIN pieces. After MAX_COLUMNS columns the
-program stops with the plan it has, which holds all tails like any other, and warns.
+the classes. A sequence has at most WIDTH / GRAIN pieces.
 
 Defined results: a null or empty text is the end id alone; very long texts are
 tokenized whole; repeated rows are packed as often as they come; null ids are
@@ -27,7 +27,6 @@ from __future__ import annotations
 import base64
 import functools
 import re
-import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -43,9 +42,8 @@ WIDTH = 2048
 GRAIN = 8
 END_ID = 1
 SPECIAL = "<|endoftext|>"
-#: Columns that the linear program generates at most; it stops sooner when no pattern prices in or within GAP of the dual bound.
-MAX_COLUMNS = 4000
-GAP = 1e-3
+#: The linear program stops when no pattern prices in, or within GAP of the dual bound.
+GAP = 1e-4
 #: The faster tokenizer's pattern matcher overflows its stack on a run of about 1,000,000 blanks; runs from here on go to the other one.
 SAFE_BLANKS = 100_000
 BLANKS = re.compile(r"\s+")
@@ -108,62 +106,33 @@ def counted(documents: DataFrame, id_col: str = "doc_id", width: int = WIDTH, gr
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """(most value of items in room, how many of each), any number of each."""
+    """(most value of items in room, patterns (m, m)): row k holds the most valuable pattern with an item k; any number of each."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
+    upto = np.searchsorted(sizes, np.arange(room + 1), "right")
     for c in range(1, room + 1):
+        n = upto[c]
         best[c] = best[c - 1]
-        n = np.searchsorted(sizes, c, "right")
         if n:
             total = best[c - sizes[:n]] + values[:n]
             k = int(total.argmax())
             if total[k] > best[c] + 1e-12:
                 best[c], took[c] = total[k], k
-    counts, c = np.zeros(len(sizes), np.int64), room
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            counts[took[c]] += 1
-            c -= sizes[took[c]]
-    return float(best[room]), counts
+    m = len(sizes)
+    patterns, left = np.eye(m, dtype=np.int64), room - sizes
+    while (left > 0).any():  # all patterns are traced back together
+        k = took[left]
+        at = np.flatnonzero((k >= 0) & (left > 0))
+        np.add.at(patterns, (at, k[at]), 1)
+        left = np.where(left > 0, np.where(k >= 0, left - sizes[k], left - 1), 0)
+    return float(best[room]), patterns
 
 
-def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[np.ndarray, int]]:
-    """Patterns (pieces of each size of sorted(demand)) and how often each is cut; together they hold all demand."""
-    sizes = np.array(sorted(k for k, v in demand.items() if v > 0), np.int64)
-    need = np.array([demand[k] for k in sizes], float)
-    m = len(sizes)
-    if not m:
-        return []
-    patterns = [np.bincount([i], minlength=m) * (room // s) for i, s in enumerate(sizes)]
-    inverse = np.diag(1.0 / (room // sizes))
-    level = inverse @ need
-    for _ in range(MAX_COLUMNS):
-        duals = np.ones(m) @ inverse
-        worth, column = knapsack(duals, sizes, room)
-        total = level.sum()
-        # no plan is below total / worth, nor below the tokens' own room
-        if worth <= 1 + 1e-9 or total - max(total / worth, need @ sizes / room) <= GAP * total:
-            break
-        direction = inverse @ column
-        up = direction > 1e-9
-        ratio = np.full(m, np.inf)
-        ratio[up] = np.maximum(level[up], 0) / direction[up]
-        out = int(ratio.argmin())
-        inverse[out] /= direction[out]
-        others = np.arange(m) != out
-        inverse[others] -= np.outer(direction[others], inverse[out])
-        patterns[out] = column
-        level = inverse @ need
-    else:
-        warnings.warn(f"the plan is not proven to be within {GAP} of the least after {MAX_COLUMNS} columns", stacklevel=2)
-    chosen = [(p, int(np.floor(x + 1e-6))) for p, x in zip(patterns, level, strict=True)]
-    chosen = [(p, n) for p, n in chosen if n > 0]
-    left = need.astype(np.int64) - sum((p * n for p, n in chosen), np.zeros(m, np.int64))
-    left = np.maximum(left, 0)
-    while left.any():  # first-fit, largest class first: fewer sequences than classes and patterns together
-        free, pattern = room, np.zeros(m, np.int64)
-        for k in range(m - 1, -1, -1):
+def first_fit(left: np.ndarray, sizes: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns of first-fit, largest class first, that hold all of left: of equal sequences one pattern and how often."""
+    left, chosen = left.copy(), []
+    while left.any():
+        free, pattern = room, np.zeros(len(sizes), np.int64)
+        for k in np.flatnonzero(left)[::-1]:
             pattern[k] = min(left[k], free // sizes[k])
             free -= pattern[k] * sizes[k]
         times = int(min(left[pattern > 0] // pattern[pattern > 0]))
@@ -172,6 +141,80 @@ def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[np.ndarray, i
     return chosen
 
 
+def relaxed(need: np.ndarray, sizes: np.ndarray, room: int, seeds: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    """Patterns and (fractional) levels of the linear program for the fewest sequences, within GAP of the least.
+
+    The simplex method over a pool of patterns: those of one class, the seeds, and what the
+    knapsack adds. One knapsack gives a pattern for each class; pivots go on with the pool until
+    none of it prices in, and only then is there another one. The demand is changed by a
+    billionth, differently in each class, so that no pivot is idle and the method ends.
+    """
+    m = len(sizes)
+    target = need * (1 + 1e-9 * np.arange(1, m + 1) / m)
+    pool = np.array([*(np.bincount([i], minlength=m) * (room // s) for i, s in enumerate(sizes)), *seeds], np.int64)
+    basis, inverse = np.arange(m), np.diag(1.0 / (room // sizes))
+    level, pivots = inverse @ target, 0
+    while True:
+        while True:
+            duals = inverse.sum(0)
+            worth = pool @ duals
+            enters = int(worth.argmax())
+            if worth[enters] <= 1 + 1e-9:
+                break
+            direction = inverse @ pool[enters]
+            ratio = np.where(direction > 1e-9, np.maximum(level, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
+            out = int(ratio.argmin())
+            basis[out], pivots = enters, pivots + 1
+            if pivots % 100:
+                inverse[out] /= direction[out]
+                others = np.arange(m) != out
+                inverse[others] -= np.outer(direction[others], inverse[out])
+            else:  # rounding errors of the updates do not add up
+                inverse = np.linalg.inv(pool[basis].T)
+            level = inverse @ target
+        most, columns = knapsack(duals, sizes, room)
+        total = level.sum()
+        # no plan is below total / most, nor below the tokens' own room
+        if most <= 1 + 1e-9 or total - max(total / most, need @ sizes / room) <= GAP * total:
+            return [(pool[b], x) for b, x in zip(basis, level, strict=True)]
+        fresh = columns[columns @ duals > 1 + 1e-9]
+        before = len(pool)
+        pool = np.unique(np.concatenate([pool, fresh]), axis=0)
+        if len(pool) == before:  # what prices in by a rounding error is in the pool already
+            return [(p, x) for p, x in zip(np.linalg.inv(inverse).T.round().astype(np.int64), level, strict=True)]
+        place = {p.tobytes(): i for i, p in enumerate(pool)}
+        basis = np.array([place[p.tobytes()] for p in np.linalg.inv(inverse).T.round().astype(np.int64)])
+
+
+def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns (pieces of each size of sorted(demand)) and how often each is cut; together they hold all demand.
+
+    The linear program's levels rounded down, then single patterns or first-fit for the rest, or
+    first-fit alone: whichever takes the fewest sequences.
+    """
+    sizes = np.array(sorted(k for k, v in demand.items() if v > 0), np.int64)
+    need = np.array([demand[k] for k in sizes], np.int64)
+    if not len(sizes):
+        return []
+    plain = first_fit(need, sizes, room)
+    if sum(n for _, n in plain) * room - need @ sizes < room:  # no plan has fewer
+        return plain
+    levels = relaxed(need.astype(float), sizes, room, [p for p, _ in plain])
+
+    def rounded(up: bool) -> list[tuple[np.ndarray, int]]:
+        left, kept = need.copy(), []
+        whole = [(p, np.floor(x + 1e-6)) for p, x in levels]
+        once = [(p, 1) for p, x in sorted(levels, key=lambda e: np.floor(e[1]) - e[1]) if up and x % 1 > 1e-6]
+        for p, n in whole + once:  # then each once, the largest fractions first, where all of it is still left
+            n = min(int(n), *(left[p > 0] // p[p > 0]).tolist())
+            if n > 0:
+                kept.append((p, n))
+                left -= p * n
+        return kept + first_fit(left, sizes, room)
+
+    return min(rounded(True), rounded(False), plain, key=lambda plan: sum(n for _, n in plan))
+
+
 def pack(documents: DataFrame, id_col: str = "doc_id", width: int = WIDTH, grain: int = GRAIN, folder: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
     spark = documents.sparkSession

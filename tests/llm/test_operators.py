@@ -530,12 +530,28 @@ def test_cutting_stock_holds_all_demand():
     assert packing.cutting_stock({}, 32) == []
 
 
-def test_cutting_stock_says_when_it_stops_early(monkeypatch):
-    monkeypatch.setattr(packing, "MAX_COLUMNS", 1)
-    demand = {k: 40 + k for k in range(3, 30)}
-    with pytest.warns(UserWarning, match="not proven"):
-        chosen = packing.cutting_stock(demand, 32)
-    assert (sum(p * n for p, n in chosen) >= [demand[k] for k in sorted(demand)]).all()
+def test_cutting_stock_is_never_above_first_fit():
+    """Nor further than half a percent from what no plan can be below, and without a limit on columns that data could reach."""
+    rng = np.random.default_rng(0)
+    cases = {
+        "even": (rng.integers(1, 257, 10_000), 0.005), "many": (rng.integers(1, 257, 1_000_000), 0.001), "few": (rng.integers(1, 257, 60), None),
+        "two peaks": (np.concatenate([rng.normal(90, 6, 50_000), rng.normal(150, 20, 50_000)]).clip(1, 256).astype(int), None),
+        "thirds": (np.concatenate([rng.integers(80, 95, 50_000), rng.integers(60, 70, 3_000)]), None), "one": (np.full(5, 256), 0.0),
+    }
+    gains = {}
+    for name, (lengths, near) in cases.items():
+        sizes, need = np.unique(lengths, return_counts=True)
+        plan = packing.cutting_stock(dict(zip(sizes.tolist(), need.tolist(), strict=True)), 256)
+        plain = packing.first_fit(need, sizes, 256)
+        n, n_plain = sum(t for _, t in plan), sum(t for _, t in plain)
+        assert (sum(p * t for p, t in plan) == need).all() and all(p @ sizes <= 256 for p, _ in plan)
+        assert n <= n_plain
+        if near is not None:
+            least = max(sum(x for _, x in packing.relaxed(need.astype(float), sizes, 256, [p for p, _ in plain])), need @ sizes / 256)
+            assert n <= np.ceil(least * (1 + near))
+        gains[name] = n_plain - n
+    assert gains["two peaks"] > 100 and gains["thirds"] > 500
+
 
 
 def test_packing(spark):
