@@ -6,10 +6,16 @@ two. A suffix's longest repeat is the larger common prefix with its two neighbou
 The spans of all maximal repeated substrings (the LCP intervals) of at least
 MIN_REPEAT words have the same union as the spans of these longest repeats, for each
 maximal repeat ends where the longest repeat of its start ends or inside it. The
-verdict limits the covered fraction of the words' bytes and the longest repeat. The base
-rule lets through a fifth of the words in repeats of five; clean texts with a line of
-boilerplate twice come close to that, so the fraction is only a little below it, while the
-longest repeat of clean texts is far below its limit.
+verdict limits the covered fraction of the words' bytes and the longest repeat. Words of
+over LONG_WORD bytes (scripts without spaces, encoded data) are also searched byte by byte,
+each of their bytes a letter of the string and each word followed by a mark of its own; of
+these, repeats of at least LEAST_BYTES count, and LONGEST_BYTES is the longest allowed.
+
+The limits are set by clean texts: those of the labelled ones that the base rule keeps repeat
+a line of boilerplate, of at most 13 words, and nothing longer. So repeats count from 14
+words on, a twentieth of the bytes is the most that they may cover (the base rule lets a
+fifth of the words through, in repeats of five), and none may be of over 25 words: a passage
+pasted twice goes wherever it is longer than that, however long the text around it.
 
 Scale: one pass over the rows, no shuffle; memory is that of one text's arrays.
 
@@ -32,9 +38,11 @@ from lumidex.llm.common import table
 
 MIN_WORDS = 10
 #: Words of a repeat that counts for the verdict; the most of the words' bytes they may cover; words of the longest allowed.
-MIN_REPEAT = 10
-COVERED_LIMIT = 0.18
-LONGEST_LIMIT = 50
+MIN_REPEAT = 14
+COVERED_LIMIT = 0.05
+LONGEST_LIMIT = 25
+#: Words of more bytes are searched by bytes; the bytes of a repeat there that counts, and of the longest allowed.
+LONG_WORD, LEAST_BYTES, LONGEST_BYTES = 200, 100, 200
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 
@@ -59,13 +67,16 @@ def _pair(rank: np.ndarray, offset: int) -> np.ndarray:
     return key
 
 
-def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, LCP of each with the one before it; the first is 0) of word ids from 0."""
+def suffix_array(ids: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, LCP of each with the one before it; the first is 0) of word ids from 0.
+
+    With most, doubling stops there: suffixes are sorted by so many words at least, and LCPs below that are exact.
+    """
     n = len(ids)
     levels = []  # ranks of the strings of 1, 2, 4, ... words at each start
     rank, order, distinct = _reranked(ids)
-    while distinct < n:
-        levels.append(rank)
+    while distinct < n and (most is None or 1 << len(levels) <= most):
+        levels.append(rank if most is None else rank.astype(np.int32))
         rank, order, distinct = _reranked(_pair(rank, 1 << len(levels) - 1))
     lcp = np.zeros(n, np.int64)
     a, b, common = order[:-1].copy(), order[1:].copy(), lcp[1:]
@@ -77,9 +88,9 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def longest_repeats(ids: np.ndarray) -> np.ndarray:
-    """For each start, the length of the longest string there that also starts elsewhere."""
-    order, lcp = suffix_array(ids)
+def longest_repeats(ids: np.ndarray, most: int | None = None) -> np.ndarray:
+    """For each start, the length of the longest string there that also starts elsewhere; at least most stands for itself or more."""
+    order, lcp = suffix_array(ids, most)
     best = np.zeros(len(ids), np.int64)
     best[order] = np.maximum(lcp, np.append(lcp[1:], 0))
     return best
@@ -123,12 +134,29 @@ def word_repeats(words: list[bytes]) -> tuple[int, int, int]:
     return int(covered(np.where(best >= 5, 5, 0), 5).sum()), n_bytes, int(best.max())
 
 
-def _with_bytes(words: list[bytes]) -> tuple[int, int, int, int]:
+def byte_repeats(words: list[bytes]) -> tuple[int, int]:
+    """(bytes in repeats of LEAST_BYTES, longest repeat up to LONGEST_BYTES + 1) inside the words of over LONG_WORD bytes."""
+    long = [w for w in words if len(w) > LONG_WORD]
+    if not long:
+        return 0, 0
+    ids = np.zeros(sum(map(len, long)) + len(long), np.int64)
+    at = 0
+    for i, w in enumerate(long):
+        ids[at : at + len(w)] = np.frombuffer(w, np.uint8)
+        at += len(w) + 1
+        ids[at - 1] = 256 + i  # equal to nothing else, so no repeat passes the end of a word
+    best = longest_repeats(ids, LONGEST_BYTES + 1)
+    return int(covered(best, LEAST_BYTES).sum()), int(min(best.max(), LONGEST_BYTES + 1))
+
+
+def _with_bytes(words: list[bytes]) -> tuple[int, ...]:
     n_repeat, n_covered, longest = word_repeats(words)
-    return n_repeat, sum(map(len, words)), n_covered, longest
+    in_long, longest_bytes = byte_repeats(words)
+    return n_repeat, sum(map(len, words)), n_covered + in_long, longest, longest_bytes
 
 
-OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, word_bytes long, n_covered_bytes long, longest_repeat long"
+#: n_covered_bytes counts words in repeats of words and bytes in repeats inside long words.
+OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, word_bytes long, n_covered_bytes long, longest_repeat long, longest_bytes long"
 
 
 def text_stats(text: str | None) -> tuple[int, ...]:
@@ -161,7 +189,7 @@ def quality_rules(documents: DataFrame, id_col: str = "doc_id", keep: tuple[str,
 
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "judged")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    repetitive = (F.col("n_covered_bytes") > covered_limit * F.col("word_bytes")) | (F.col("longest_repeat") > longest_limit)
+    repetitive = (F.col("n_covered_bytes") > covered_limit * F.col("word_bytes")) | (F.col("longest_repeat") > longest_limit) | (F.col("longest_bytes") > LONGEST_BYTES)
     return (
         docs.mapInPandas(judge, f"{head}, {OUT}")
         .withColumns({"base_failed": failed, "kept": ~failed & ~repetitive})
