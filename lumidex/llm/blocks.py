@@ -13,7 +13,8 @@ thousand numbers, are broadcast.
 Scale: one pass over the pages, no shuffle. Pages are labelled in batches of similar
 block counts, bounded by pages times the block count of the longest; a page beyond that
 bound goes alone and is read in pieces that hand on their units. Memory is that of such
-a batch, and of the blocks of the longest page.
+a batch, and of the blocks of the longest page: a block has not its path but what of it
+changed since the block before, so deep nesting costs no more than flat markup.
 
 Defined results: null and empty html, and pages without main text, have empty text; very
 long pages are read whole; repeated rows each give a row; a null page_id or url is
@@ -56,10 +57,105 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fiel
 BLANKS = re.compile(r"\s+")
 
 
-def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path tokens, text, characters of it in links) of each block with text."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class _Open:
+    """An open element: its name, the buckets of its path tokens, its neighbours in the list of open ones, and its number."""
+
+    __slots__ = ("above", "below", "buckets", "name", "number")
+
+    def __init__(self, name: str, buckets: list[int], below: _Open | None, number: int) -> None:
+        self.name, self.buckets, self.below, self.above, self.number = name, buckets, below, None, number
+
+
+class _Path:
+    """The open elements: a linked list from the outermost to the top, and which buckets they switch on.
+
+    Opening and closing cost what the element's own tokens cost, however deep it lies:
+    elements of one name are a stack of their own, and so are those that are not inline.
+    """
+
+    def __init__(self) -> None:
+        self.top: _Open | None = None
+        self.named: dict[str, list[_Open]] = {}
+        self.walls: list[_Open] = []
+        self.count: dict[int, int] = {}
+        self.changed: set[int] = set()
+        self.opened = 0
+
+    def _switch(self, bucket: int) -> None:
+        self.changed ^= {bucket}
+
+    def open(self, name: str, tokens: list[str]) -> None:
+        self.opened += 1
+        node = _Open(name, [_bucket(t, PATH_BUCKETS) for t in tokens], self.top, self.opened)
+        if self.top is not None:
+            self.top.above = node
+        self.top = node
+        self.named.setdefault(name, []).append(node)
+        if name not in INLINE:
+            self.walls.append(node)
+        for b in node.buckets:
+            self.count[b] = self.count.get(b, 0) + 1
+            if self.count[b] == 1:
+                self._switch(b)
+
+    def remove(self, node: _Open) -> None:
+        """Closes node, the topmost of its name, and nothing else."""
+        if node.above is not None:
+            node.above.below = node.below
+        else:
+            self.top = node.below
+        if node.below is not None:
+            node.below.above = node.above
+        self.named[node.name].pop()
+        if node.name not in INLINE:
+            self.walls.pop()
+        for b in node.buckets:
+            self.count[b] -= 1
+            if not self.count[b]:
+                self._switch(b)
+
+    def close_down_to(self, node: _Open) -> None:
+        """Closes node and all above it."""
+        while self.top is not node:
+            self.remove(self.top)
+        self.remove(node)
+
+    def close(self, name: str) -> None:
+        """An inline element closes alone, unless a block stands between; any other with all above it; what is not open is left."""
+        if not self.named.get(name):
+            return
+        node = self.named[name][-1]
+        if name not in INLINE:
+            self.close_down_to(node)
+        elif not self.walls or node.number > self.walls[-1].number:
+            self.remove(node)
+
+    def end(self, names: set[str]) -> None:
+        """Closes the innermost block if it is of names."""
+        if self.walls and self.walls[-1].name in names:
+            self.close_down_to(self.walls[-1])
+
+    def in_link(self) -> bool:
+        node = self.top
+        for _ in range(4):
+            if node is None:
+                return False
+            if node.name == "a":
+                return True
+            node = node.below
+        return False
+
+    def changes(self) -> tuple[int, ...]:
+        """What was switched since the last call: a bucket that is on now as its number plus 1, one that is off as that below 0."""
+        found = tuple(b + 1 if self.count.get(b) else -b - 1 for b in sorted(self.changed))
+        self.changed = set()
+        return found
+
+
+def page_blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
+    """(changes of the path, text, characters of it in links) of each block with text; time and memory grow as the page does, however deep it nests."""
+    out: list[tuple[tuple[int, ...], str, int]] = []
+    path = _Path()
     pieces: list[str] = []
     linked, at = 0, 0
 
@@ -68,13 +164,13 @@ def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if pieces:
             text = BLANKS.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                out.append((tuple(t for _, own in stack for t in own), text, linked))
+                out.append((path.changes(), text, linked))
         pieces, linked = [], 0
 
     def say(text: str) -> None:
         nonlocal linked
         pieces.append(text)
-        if any(name == "a" for name, _ in stack[-4:]):
+        if path.in_link():
             linked += len(text.strip())
 
     while m := MARKUP.search(page, at):
@@ -87,25 +183,11 @@ def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name not in INLINE:
             flush()
         if closing:
-            if name in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            elif any(x == name for x, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            path.close(name)
             continue
         ends = {name} if name in ENDS_ITS_OWN else {"p"} if name in ENDS_PARAGRAPH else set()
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            path.end(ends)
         if name in VOID:
             continue
         own = [f"<{name}"]
@@ -116,12 +198,12 @@ def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text = page[at : end.start() if end else len(page)]
             at = end.end() if end else len(page)
             if name not in HIDDEN:
-                stack.append((name, tuple(own)))
+                path.open(name, own)
                 pieces.append(text)
                 flush()
-                stack.pop()
+                path.remove(path.top)
             continue
-        stack.append((name, tuple(own)))
+        path.open(name, own)
     if at < len(page):
         say(page[at:])
     flush()
@@ -138,10 +220,12 @@ def numbers(text: str, linked: int) -> list[float]:
 
 
 class Encoded:
-    """The inputs of a page: path buckets of each block, word shares and numbers."""
+    """The inputs of a page: the buckets of its path that each block switches on (sign 1) or off (-1), word shares and numbers."""
 
-    def __init__(self, blocks: list[tuple[tuple[str, ...], str, int]]) -> None:
-        self.paths = [tuple(sorted({_bucket(t, PATH_BUCKETS) for t in path})) for path, _, _ in blocks]
+    def __init__(self, blocks: list[tuple[tuple[int, ...], str, int]]) -> None:
+        moves = np.fromiter((c for changes, _, _ in blocks for c in changes), np.int64)
+        self.buckets, self.signs = np.abs(moves) - 1, np.sign(moves).astype(np.float64)
+        self.ends = np.cumsum([0, *(len(changes) for changes, _, _ in blocks)])
         self.rest = np.zeros((len(blocks), WORD_BUCKETS + NUMBERS))
         for i, (_, text, linked) in enumerate(blocks):
             words = text.lower().encode("utf-8", "surrogatepass").split()
@@ -149,6 +233,27 @@ class Encoded:
             self.rest[i, :WORD_BUCKETS] = np.bincount(hashed, minlength=WORD_BUCKETS) / max(len(words), 1)
             self.rest[i, WORD_BUCKETS:] = numbers(text, linked)
 
+    def __len__(self) -> int:
+        return len(self.rest)
+
+    def on(self, block: int) -> np.ndarray:
+        """1 for each bucket that is on before the block's own switches, else 0."""
+        upto = self.ends[block]
+        return np.bincount(self.buckets[:upto], self.signs[:upto], PATH_BUCKETS)
+
+    def path_sums(self, weights: np.ndarray, first: int, past: int) -> np.ndarray:
+        """The sum of the weights of each block's path, from first to before past: sums run down the blocks, some switches at a time."""
+        out = np.empty((past - first, weights.shape[1]))
+        at, total = first, self.on(first) @ weights
+        while at < past:
+            upto = min(past, max(at + 1, int(np.searchsorted(self.ends, self.ends[at] + MAX_BLOCKS, "right")) - 1))
+            low, high = self.ends[at], self.ends[upto]
+            running = np.zeros((high - low + 1, weights.shape[1]))
+            np.cumsum(weights[self.buckets[low:high]] * self.signs[low:high, None], axis=0, out=running[1:])
+            out[at - first : upto - first] = total + running[self.ends[at + 1 : upto + 1] - low]
+            at, total = upto, self.on(upto) @ weights
+        return out
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -183,17 +288,11 @@ class Labeller:
         """(gate inputs by page and block, whether the block is there) of the blocks from first to before past."""
         width = past - first
         x, real = np.zeros((len(pages), width, 4 * UNITS)), np.zeros((len(pages), width), bool)
-        known: dict[tuple[int, ...], np.ndarray] = {}
         for i, p in enumerate(pages):
-            if len(p.paths) <= first:
+            if len(p) <= first:
                 continue
-            rows = []
-            for path in p.paths[first:past]:
-                if path not in known:
-                    known[path] = self.w["p" + direction][list(path)].sum(axis=0)
-                rows.append(known[path])
-            total = np.array(rows) + p.rest[first:past] @ self.w["x" + direction]
-            at = slice(0, len(rows))
+            total = p.path_sums(self.w["p" + direction], first, min(past, len(p))) + p.rest[first:past] @ self.w["x" + direction]
+            at = slice(0, len(total))
             x[i, at], real[i, at] = total, True
         return x, real
 
@@ -217,9 +316,9 @@ class Labeller:
     def label(self, pages: list[Encoded]) -> list[np.ndarray]:
         """The probability of main text for each block of each page."""
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
-        order = sorted((i for i, p in enumerate(pages) if p.paths), key=lambda i: len(pages[i].paths))
-        for some in batches(order, [len(p.paths) for p in pages]):
-            width = len(pages[some[-1]].paths)
+        order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
+        for some in batches(order, [len(p) for p in pages]):
+            width = len(pages[some[-1]])
             logit = np.full((len(some), width), self.w["o"][-1])
             pieces = [(at, min(at + MAX_BLOCKS, width)) for at in range(0, width, MAX_BLOCKS)]
             for k, d in enumerate("fb"):
@@ -229,21 +328,21 @@ class Labeller:
                     units, _, state = self.run(x, real, d, state)
                     logit[:, first:past] += units @ self.w["o"][k * UNITS : (k + 1) * UNITS]
             for row, i in enumerate(some):
-                out[i] = _sigmoid(logit[row, : len(pages[i].paths)])
+                out[i] = _sigmoid(logit[row, : len(pages[i])])
         return out
 
     def fit(self, pages: list[Encoded], labels: list[list[int]], rounds: int = 100, rate: float = 0.03, decay: float = 1e-4) -> None:
         """Adam on the mean cross entropy of a block, over all pages at once."""
-        width = max(len(p.paths) for p in pages)
+        width = max(map(len, pages))
         y = np.zeros((len(pages), width))
-        real = np.array([[t < len(p.paths) for t in range(width)] for p in pages])
+        real = np.array([[t < len(p) for t in range(width)] for p in pages])
         multi = np.zeros((len(pages), width, PATH_BUCKETS), np.float32)
         rest = np.zeros((len(pages), width, WORD_BUCKETS + NUMBERS))
         for i, p in enumerate(pages):
             y[i, : len(labels[i])] = labels[i]
-            rest[i, : len(p.paths)] = p.rest
-            for t, path in enumerate(p.paths):
-                multi[i, t, list(path)] = 1
+            rest[i, : len(p)] = p.rest
+            for t in range(len(p)):
+                multi[i, t] = p.on(t + 1)
         used = np.flatnonzero(multi.any(axis=(0, 1)))
         multi = multi[:, :, used].reshape(-1, len(used))
         rest = rest.reshape(-1, rest.shape[2]).astype(np.float32)
@@ -367,7 +466,7 @@ def generated_pages(count: int, seed: int) -> list[tuple[str, list[str]]]:
 TRAINING_PAGES, SEED = 400, 61
 
 
-def known_labels(blocks: list[tuple[tuple[str, ...], str, int]], main: list[str]) -> list[int]:
+def known_labels(blocks: list[tuple[tuple[int, ...], str, int]], main: list[str]) -> list[int]:
     """1 for the blocks that are main, in order."""
     labels, at = [], 0
     for _, text, _ in blocks:

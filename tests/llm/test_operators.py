@@ -267,6 +267,37 @@ def test_quality_verdict_against_all_repeats(spark):
     assert len({r["kept"] for r in got}) == 2
 
 
+def test_quality_limits_part_pasted_from_clean_texts(spark):
+    """Good texts stay; with a passage of their own pasted once more, which the base rule lets through, they go, and so do long words that repeat inside."""
+    rng = random.Random(56)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
+    good = [(r["doc_id"], r["text"]) for r in rows.select("doc_id", "text").collect()]
+    pasted = []
+    for i, text in good:
+        w = text.split()
+        if len(w) >= 400:
+            k, at = rng.randrange(26, len(w) // 12 + 1), rng.randrange(len(w) // 2)
+            pasted.append((10**6 + i, " ".join([*w, "between", *w[at : at + k]])))
+    ordinary = words(rng, 400)
+    letters = "".join(rng.choice("abcdefghijklmnop") for _ in range(3000))
+    coded = [(1, f"{ordinary} {letters}"), (2, f"{ordinary} {letters[:900]}{letters[200:500]}{letters[900:]}"), (3, f"{ordinary} {'字' * 400}"), (4, f"{letters[:500]} {ordinary} {letters[250:750]}")]
+    got = {r["doc_id"]: r for r in repetition.quality_rules(documents(spark, good + pasted + [(-i, t) for i, t in coded])).collect()}
+    clean = [got[i] for i, _ in good if not got[i]["base_failed"]]
+    assert len(clean) > 100 and all(r["kept"] for r in clean)
+    assert len(pasted) > 10 and not any(got[i]["base_failed"] or got[i]["kept"] for i, _ in pasted)
+    assert [got[-i]["kept"] for i, _ in coded] == [True, False, False, False] and not any(got[-i]["base_failed"] for i, _ in coded)
+    assert got[-2]["longest_bytes"] == 201 and got[-2]["n_covered_bytes"] == 600 and got[-4]["n_covered_bytes"] == 500
+
+
+def test_doubling_stops_at_what_limits_need():
+    rng = random.Random(57)
+    for _ in range(40):
+        ids = np.array([rng.randrange(2) for _ in range(rng.randrange(2, 60))])
+        most = rng.choice([1, 3, 6])
+        whole, short = repetition.longest_repeats(ids), repetition.longest_repeats(ids, most)
+        assert (np.minimum(whole, most) == np.minimum(short, most)).all()
+
+
 # 6 extraction
 
 
@@ -279,11 +310,11 @@ def test_network_against_plain_loops():
     model.w["pb"][:] = np.random.default_rng(2).normal(0, 0.2, model.w["pb"].shape)
     sigmoid, n = lambda x: 1 / (1 + exp(-x)), blocks.UNITS
     for page, got in zip(pages, model.label(pages), strict=True):
-        total = [float(model.w["o"][-1])] * len(page.paths)
+        total = [float(model.w["o"][-1])] * len(page)
         for k, d in enumerate("fb"):
             h, c = [0.0] * n, [0.0] * n
-            for t in range(len(page.paths)) if d == "f" else reversed(range(len(page.paths))):
-                gate = [sum(model.w["p" + d][b][j] for b in page.paths[t]) + sum(v * model.w["x" + d][m][j] for m, v in enumerate(page.rest[t]) if v) + sum(h[m] * model.w["h" + d][m][j] for m in range(n)) for j in range(4 * n)]
+            for t in range(len(page)) if d == "f" else reversed(range(len(page))):
+                gate = [sum(model.w["p" + d][b][j] for b in np.flatnonzero(page.on(t + 1))) + sum(v * model.w["x" + d][m][j] for m, v in enumerate(page.rest[t]) if v) + sum(h[m] * model.w["h" + d][m][j] for m in range(n)) for j in range(4 * n)]
                 c = [sigmoid(gate[n + j] + 1) * c[j] + sigmoid(gate[j]) * tanh(gate[3 * n + j]) for j in range(n)]
                 h = [sigmoid(gate[2 * n + j]) * tanh(c[j]) for j in range(n)]
                 total[t] += sum(h[j] * model.w["o"][k * n + j] for j in range(n))
@@ -338,6 +369,66 @@ def test_long_page_among_ordinary_ones(labeller):
     assert all(np.allclose(a, b) for a, b in zip(found, labeller.label(ordinary), strict=False))
 
 
+def plain_path_blocks(tags):
+    """(set of path buckets, text) of blocks made of ("<", name, token), ("/", name) and text, by a list of open elements."""
+    out, stack, pieces = [], [], []
+
+    def flush():
+        if "".join(pieces).strip():
+            out.append(({blocks._bucket(t, blocks.PATH_BUCKETS) for _, own in stack for t in own}, " ".join("".join(pieces).split())))
+        pieces.clear()
+
+    for kind, *tag in tags:
+        if kind == "text":
+            pieces.append(tag[0])
+            continue
+        name = tag[0]
+        if name not in blocks.INLINE:
+            flush()
+        inner = [k for k, (n, _) in enumerate(stack) if n not in blocks.INLINE]
+        if kind == "/":
+            open_ = [k for k, (n, _) in enumerate(stack) if n == name]
+            if open_ and name not in blocks.INLINE:
+                del stack[open_[-1] :]
+            elif open_ and open_[-1] > max(inner, default=-1):
+                del stack[open_[-1]]
+            continue
+        ends = {name} if name in blocks.ENDS_ITS_OWN else {"p"} if name in blocks.ENDS_PARAGRAPH else set()
+        if inner and stack[inner[-1]][0] in ends:
+            del stack[inner[-1] :]
+        if name not in blocks.VOID:
+            stack.append((name, [f"<{name}", tag[1]]))
+    flush()
+    return out
+
+
+def test_blocks_against_a_plain_list_of_open_elements():
+    rng = random.Random(66)
+    names = "div p b i a span li ul td tr table section article custom br hr h1 code".split()
+    for _ in range(400):
+        tags = []
+        for _ in range(rng.randrange(60)):
+            kind, name, token = rng.choice(["<", "<", "/", "text"]), rng.choice(names), rng.choice(["alpha", "beta", "gamma"])
+            tags.append((kind, name, token) if kind == "<" else (kind, name) if kind == "/" else (kind, rng.choice(["some ", "words, ", "\n"])))
+        page = "".join(f"<{x[1]} class='{x[2]}'>" if x[0] == "<" else f"</{x[1]}>" if x[0] == "/" else x[1] for x in tags)
+        found = blocks.page_blocks(page)
+        encoded = blocks.Encoded(found)
+        assert [(set(np.flatnonzero(encoded.on(t + 1)).tolist()), text) for t, (_, text, _) in enumerate(found)] == plain_path_blocks(tags)
+
+
+def test_deep_nesting_is_read_in_proportion(labeller):
+    """A hundred thousand open tags, blocks or inline, take seconds and little memory."""
+    import tracemalloc
+
+    tracemalloc.start()
+    for page, n in (("<div class='a b'>x" * 100_000, 100_000), ("<b>" * 50_000 + "<i>" * 50_000 + "</b>x" * 50_000, 1), ("<p><custom>" + "<i>" * 50_000 + "<hr>x" * 50_000, 50_000)):
+        encoded = blocks.Encoded(blocks.page_blocks(page))
+        assert len(encoded) == n and len(encoded.buckets) < 100
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and len(labeller.label([blocks.Encoded(blocks.page_blocks("<div>x" * 5_000))])[0]) == 5_000
+
+
 def test_long_page_in_pieces(labeller, monkeypatch):
     pages = [blocks.Encoded(blocks.page_blocks(p)) for p, _ in blocks.generated_pages(20, 78)]
     whole = labeller.label(pages)
