@@ -82,3 +82,20 @@ def without_last(log: DataFrame, session_id: int) -> DataFrame:
     """The log without a session's last entry."""
     last = log.where(F.col("session_id") == session_id).agg(F.max("id").alias("last"))
     return log.join(F.broadcast(last), F.col("id") == F.col("last"), "left_anti")
+
+
+def session_state(placements: DataFrame, anchors: DataFrame, pool: DataFrame, gone: DataFrame) -> DataFrame:
+    """(tier, tally, anchor, needs_anchor, placed, remaining) of a session, a row for each of anchors (tier, film_id).
+
+    gone (film_id): titles that are unseen or hidden; an anchor among them is to be replaced,
+    and none of them is left to place.
+    """
+    tally = placements.groupBy("tier").agg(F.count("*").alias("tally"))
+    out = gone.select(F.col("film_id").alias("g_film")).distinct()
+    rows = anchors.select("tier", F.col("film_id").alias("anchor")).join(tally, "tier", "left").join(out, F.col("anchor") == F.col("g_film"), "left")
+    left = pool.select("film_id").distinct().join(placements.select("film_id"), "film_id", "left_anti").join(out, F.col("film_id") == F.col("g_film"), "left_anti")
+    placed = placements.agg(F.count("*").alias("placed"))
+    remaining = left.agg(F.count("*").alias("remaining"))
+    rows = rows.join(F.broadcast(placed)).join(F.broadcast(remaining))  # one row each
+    needs = F.col("anchor").isNull() | F.col("g_film").isNotNull()
+    return rows.select("tier", F.coalesce("tally", F.lit(0)).alias("tally"), "anchor", needs.alias("needs_anchor"), "placed", "remaining")

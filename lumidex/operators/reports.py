@@ -62,6 +62,31 @@ def directors(credits: DataFrame, persons: DataFrame) -> DataFrame:
     return crew.groupBy("film_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("ord", "name"))), lambda x: x["name"]), ", ").alias("director"))
 
 
+def shaped_credits(credits: DataFrame) -> DataFrame:
+    """(film_id, director, cast, writers) of credits (film_id, name, kind, job, department, character, ord).
+
+    The first director; the cast in billing order without uncredited players; writers in the
+    order in which they come, one entry a person, with the jobs unless they are plain writing.
+    """
+    crew = F.col("kind") == "crew"
+    directs = crew & (F.col("job") == "Director")
+    billed = (F.col("kind") == "cast") & ~F.lower("character").contains("uncredited")
+    writes = crew & (F.col("department") == "Writing") & ~directs
+    person = credits.groupBy("film_id", "name").agg(
+        F.min(F.when(directs, F.col("ord"))).alias("directs"), F.min(F.when(writes, F.col("ord"))).alias("writes"),
+        F.array_sort(F.collect_list(F.when(billed, F.struct("ord", "character")))).alias("roles"),
+        F.transform(F.array_sort(F.collect_list(F.when(writes, F.struct("ord", "job")))), lambda x: x["job"]).alias("jobs"),
+    )
+    tags = F.array_join(F.array_distinct(F.transform(F.filter("jobs", lambda j: j != ""), F.lower)), "/")
+    label = F.when(F.arrays_overlap("jobs", F.array(F.lit("Screenplay"), F.lit("Writer"))) | (tags == ""), F.col("name")).otherwise(F.concat("name", F.lit(" ("), tags, F.lit(")")))
+    roles = F.flatten(F.collect_list(F.transform("roles", lambda r: F.struct(r["ord"].alias("ord"), F.col("name"), r["character"].alias("character")))))
+    return person.groupBy("film_id").agg(
+        F.min_by("name", F.when(F.col("directs").isNotNull(), F.struct("directs", "name"))).alias("director"),
+        F.transform(F.array_sort(roles), lambda r: F.struct(r["name"].alias("name"), r["character"].alias("character"))).alias("cast"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("writes").isNotNull(), F.struct("writes", "name", label.alias("label"))))), lambda w: F.struct(w["name"].alias("name"), w["label"].alias("label"))).alias("writers"),
+    )
+
+
 def tier_tally(placements: DataFrame) -> DataFrame:
     """(session_id, tier, n, share) of placements."""
     counted = placements.groupBy("session_id", "tier").agg(F.count("*").alias("n"))

@@ -173,3 +173,10 @@ def tie_labels(placed: DataFrame) -> DataFrame:
     numbered = numbered.withColumns({"n_loose": F.count_if(loose).over(tier), "first_loose": F.min(F.when(loose, F.col("line"))).over(tier)})
     label = F.when(loose & (F.col("n_loose") > 1), F.concat(F.lit("="), F.col("first_loose").cast("string")))
     return numbered.select("session_id", "line", "tier", "film_id", "title", label.alias("rank_label"))
+
+
+def save_tiered_list(entries: DataFrame, placed: DataFrame, session_id, slug: str) -> DataFrame:
+    """entries (list_slug, rank, film_id, title_listed, rank_label) with a session's tiers (as for tie_labels) as the lines of slug, in place of those it had."""
+    lines = tie_labels(placed.where(F.col("session_id") == session_id))
+    new = lines.select(F.lit(slug).alias("list_slug"), F.col("line").cast("long").alias("rank"), "film_id", F.col("title").alias("title_listed"), "rank_label")
+    return entries.where(F.col("list_slug") != slug).unionByName(new.select(*entries.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumidex.plans import deciding, identity, parsing, placing, reading, searching, summing, syncing, updating
+from lumidex.plans import deciding, identity, indexing, parsing, placing, reading, searching, summing, syncing, updating
 
 DATES = {
     "film_view": ("last_viewing",), "viewing_stats": ("last_viewing",), "latest_rating": ("rented_on",), "currency_departed": ("first_seen", "last_seen"), "arrivals_30d": ("appeared_on",),
@@ -21,7 +21,7 @@ def _as_text(run: Callable[[SparkSession, str], DataFrame], columns: tuple[str,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _part in (reading, syncing, searching, identity, deciding, parsing, placing, summing, updating):
+for _part in (reading, syncing, searching, identity, deciding, parsing, placing, summing, updating, indexing):
     for _name, _run in _part.QUERIES.items():
         QUERIES[_name] = _as_text(_run, DATES[_name]) if _name in DATES else _run
     for _name, _sql in _part.SQL.items():

@@ -148,9 +148,24 @@ def provider_payloads(raw: DataFrame, region: str = "US") -> DataFrame:
     return raw.select("film_id", F.explode(offers).alias("o")).select("film_id", "o.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): the lines of the files under path, numbered from 1 in order of the files' names and of their places in them.
+
+    Spark deals a file's splits to partitions in order of their size. A line's split is told
+    by its file and where it begins, and lines come in order within a split, so counts of
+    splits, a row each, give every line its number.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", at.alias("at"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select(F.col("at").alias("s_at"), "first", before.alias("before"))
+    return lines.join(F.broadcast(starts), F.col("at") == F.col("s_at")).select("value", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"))
+
+
 def observations(spark: SparkSession, path: str) -> DataFrame:
-    """The last line of each url of an append-only log of JSON lines; half-written lines are dropped."""
-    return parsed_observations(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")))
+    """The last line of each url of an append-only log of JSON lines, in one file or several in order of their names; half-written lines are dropped."""
+    return parsed_observations(numbered_lines(spark, path))
 
 
 def parsed_observations(lines: DataFrame) -> DataFrame:
