@@ -175,13 +175,15 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 def quality_rules(documents: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = (), covered_limit: float = COVERED_LIMIT, longest_limit: int = LONGEST_LIMIT) -> DataFrame:
     """id_col, keep, the columns of OUT, base_failed and kept of each document."""
-    docs = documents.select(id_col, *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("judged"))
     kept = [f"keep_{i}" for i in range(len(keep))]
+    # a text that is carried along is not sent twice
+    judged = f"keep_{keep.index('text')}" if "text" in keep and dict(documents.dtypes)["text"] == "string" else "judged"
+    docs = documents.select(id_col, *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], *([] if judged in kept else [F.col("text").cast("string").alias(judged)]))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in OUT.split(", ")]
         for pdf in frames:
-            stats = np.array([text_stats(t) for t in pdf["judged"]], np.int64).reshape(-1, len(names))
+            stats = np.array([text_stats(t) for t in pdf[judged]], np.int64).reshape(-1, len(names))
             out = pdf[[id_col, *kept]].reset_index(drop=True)
             for i, name in enumerate(names):
                 out[name] = stats[:, i]
