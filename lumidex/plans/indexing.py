@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumidex.operators import fuzzy, ranker, refresh, reports, search, transactions, updates, views
+from lumidex.operators import embedding, fuzzy, ranker, refresh, reports, search, transactions, updates, vectors, views
 from lumidex.operators.commits import Tables
 from lumidex.operators.text_index import TextIndex
 from lumidex.plans import adapters as A
@@ -237,3 +237,43 @@ def credits_shaped(spark: SparkSession, d: str) -> DataFrame:
         F.when(is_cast & (flag == "R"), "Guest (uncredited)").otherwise("Role").alias("character"), F.when(~is_cast & (flag == "A"), "Director").when(flag == "N", "Novel").otherwise("Editor").alias("job"), F.when(~is_cast & (flag == "N"), "Writing").otherwise("").alias("department"),
     )
     return reports.shaped_credits(rows).select("film_id", "director", F.size("cast").cast("long").alias("n_cast"), F.size("writers").cast("long").alias("n_writers"))
+
+
+# vectors that change
+
+
+_VECTORS: dict[tuple[str, str], embedding.VectorIndex] = {}
+
+
+def _vector_index(spark: SparkSession, d: str) -> embedding.VectorIndex:
+    """All embeddings in blocks, of which a refresh then turned every fiftieth around and dropped every thirtieth."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _VECTORS:
+        rows = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("film_id"), "embedding")
+        index = embedding.VectorIndex(Tables(spark, _path(spark, "vectors")), 64)
+        index.refresh(rows.select("film_id", vectors.packed("embedding").alias("vector")))
+        turned = F.when(F.col("film_id") % 50 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+        index.refresh(rows.where("film_id % 30 <> 1").select("film_id", vectors.packed(turned).alias("vector")))
+        _VECTORS[key] = index
+    return _VECTORS[key]
+
+
+_Q = "list_transform(range(0, 64), lambda i: CAST(((i * 7) % 13) - 6 AS DOUBLE) / 30.0)"
+
+
+@query(f"""WITH n AS (SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN -1.0 ELSE 1.0 END AS sign, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 30 <> 1),
+x AS (SELECT vec_id, 1 - sign * list_dot_product(v, {_Q}) / sqrt(list_dot_product(v, v)) AS distance FROM n), r AS (SELECT vec_id, round(distance, 5) + 0.0 AS distance, row_number() OVER (ORDER BY distance, vec_id) AS place FROM x WHERE distance <= 0.8) SELECT vec_id, distance FROM r WHERE place <= 10""")
+def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors from packed blocks, after some changed."""
+    found = _vector_index(spark, d).nearest([((i * 7) % 13 - 6) / 30.0 for i in range(64)])
+    return found.select(F.col("film_id").alias("vec_id"), (F.round("distance", 5) + F.lit(0.0)).alias("distance"))
+
+
+@query("""SELECT doc_id, count(*) AS n FROM documents WHERE trim(coalesce(text, '')) <> '' GROUP BY doc_id""")
+def embedding_job(spark: SparkSession, d: str) -> DataFrame:
+    """Titles with a vector after a job over half of the texts and one over all: those of the first are not made again."""
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("film_id"), F.col("text").alias("overview"), F.lit(None).cast("string").alias("plot"), F.lit(None).cast("string").alias("tagline"))
+    tables = Tables(spark, _path(spark, "embedded"))
+    for part in (docs.where("film_id % 2 = 0"), docs):
+        embedding.embed(tables, part, embedding.ConceptEmbedder, "concepts", embedding.DIMENSIONS, A.TODAY, slices=2)
+    return tables.read("film_embedding").groupBy(F.col("film_id").alias("doc_id")).agg(F.count("*").alias("n"))
