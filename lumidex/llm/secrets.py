@@ -10,9 +10,10 @@ so no rows of the data are used. Decoding is Viterbi: tokens whose lead for O ex
 all that transitions could return are O on the best path, so the text falls into short
 runs between them, each decoded on its own with the same result as a pass over all.
 
-Scale: one pass over whole texts, no shuffle; features are numpy arrays over a text's
-bytes, so memory is some eighty times the longest text. The model, some hundred numbers, is fitted on the driver and
-broadcast.
+Scale: one pass over whole texts, no shuffle. Features are numpy arrays over BLOCK bytes of a
+text at a time, cut at tokens, with the tokens before that they look back to; runs to decode
+go on across cuts. So memory is some ten times the longest text, and what a block takes. The
+model, some hundred numbers, is fitted on the driver and broadcast.
 
 Defined results: null and empty texts have no spans; very long texts are scanned whole;
 repeated rows each give a row; null ids are ordinary; an empty table gives no rows.
@@ -57,6 +58,8 @@ LENGTHS = np.array([8, 12, 16, 24, 40])
 SHAPE_BITS = 12  # 3 of length class, 9 flags
 AROUND_BITS = 7
 N_FEATURES = 8 + 9 + 6 + AROUND_BITS + 1
+#: Bytes of a text that have features at a time, up to the next token; tokens that a token's features look back to.
+BLOCK, LOOK_BACK = 1 << 20, 3
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -84,8 +87,50 @@ def _may_have_hex(lower: bytes) -> bool:
     return bool((edges[1::2] - edges[::2] >= 24).any())
 
 
-def featurize(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, shape code, neighbourhood code) of the tokens of data, in bytes."""
+def blocks(raw: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+    """(context, begin, end) of blocks of a text's bytes: each begins with a token, after LOOK_BACK others from context on."""
+
+    def starts(low: int, high: int) -> np.ndarray:
+        """Where tokens start from low (over 0) to before high."""
+        token = TOKEN[raw[low - 1 : high]]
+        return np.flatnonzero(token[1:] & ~token[:-1]) + low
+
+    begin = context = 0
+    while begin < len(raw):
+        end, at = len(raw), begin + size
+        while at < len(raw):
+            found = starts(at, min(at + size, len(raw)))
+            if len(found):
+                end = int(found[0])
+                break
+            at += size
+        yield context, begin, end
+        begin, reach, context = end, 256, 0
+        while reach < begin:
+            found = starts(begin - reach, begin)
+            if len(found) >= LOOK_BACK:
+                context = int(found[-LOOK_BACK])
+                break
+            reach *= 4
+
+
+def reads_like_settings(data: bytes, size: int) -> bool:
+    """Whether more than a fifth of a text's tokens follow an equals sign or a colon."""
+    raw = np.frombuffer(data, np.uint8)
+    tokens = named = 0
+    for context, begin, end in blocks(raw, size):
+        part = raw[context:end]
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], TOKEN[part], [False])).view(np.int8)))
+        start, before = edges[::2], np.concatenate(([0], edges[1::2]))[: len(edges) // 2]
+        own = start >= begin - context
+        marks = np.flatnonzero((part == 61) | (part == 58))
+        named += int(((np.searchsorted(marks, start) > np.searchsorted(marks, before)) & own).sum())
+        tokens += int(own.sum())
+    return named * 5 > tokens
+
+
+def featurize(data: bytes, settings: bool | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, shape code, neighbourhood code) of the tokens of data, in bytes; settings: what the file reads like, where data is a part of one."""
     raw = np.frombuffer(data, np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([False], TOKEN[raw], [False])).view(np.int8)))
     start, end = edges[::2], edges[1::2]
@@ -131,7 +176,8 @@ def featurize(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         if len(at):
             key[np.searchsorted(start, at, "right") - 1] = True
     one, two = np.append(False, key[:-1]), np.append([False] * min(2, n), key[:-2])[:n]
-    settings = bool(np.count_nonzero(equals) * 5 > n)
+    if settings is None:
+        settings = bool(np.count_nonzero(equals) * 5 > n)
     around = np.zeros(n, np.int64)
     for bit, flag in enumerate((one, two & ~one, equals, quote, line, joined, np.full(n, settings))):
         around |= flag.astype(np.int64) << bit
@@ -184,24 +230,49 @@ class Field:
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
-    def spans(self, data: bytes) -> list[tuple[int, int]]:
+    def spans(self, data: bytes, size: int = BLOCK) -> list[tuple[int, int]]:
         """(start, end) in bytes of what is tagged as a secret."""
-        start, end, shape, around = featurize(data)
-        if not len(start):
-            return []
-        # equal pairs of codes have equal scores: only those that may not be O are looked at
-        score = self.scores(shape, around)
-        open_ = np.flatnonzero(score[:, O] - np.maximum(score[:, B], score[:, I]) <= self.lead)
         found: list[list[int]] = []
-        for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else []:
-            first, last = int(run[0]), int(run[-1])
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # the run that a cut went through
+        after_o = False
+
+        def decode(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], after_o: bool, before_o: bool) -> None:
+            start, end, score = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*parts, strict=True))
             inside = False
-            for k, tag in enumerate(self.viterbi(score[first : last + 1], first > 0, last < len(start) - 1), first):
+            for k, tag in enumerate(self.viterbi(score, after_o, before_o)):
                 if tag == I and inside:
                     found[-1][1] = int(end[k])
                 elif tag != O:
                     found.append([int(start[k]), int(end[k])])
                 inside = tag != O
+
+        raw, seen = np.frombuffer(data, np.uint8), 0
+        settings = reads_like_settings(data, size) if len(data) > size else None
+        for context, begin, stop in blocks(raw, size):
+            start, end, shape, around = featurize(data[context:stop], settings)
+            own = np.searchsorted(start, begin - context)
+            start, end = start[own:] + context, end[own:] + context
+            if not len(start):
+                continue
+            # equal pairs of codes have equal scores: only those that may not be O are looked at
+            score = self.scores(shape[own:], around[own:])
+            open_ = np.flatnonzero(score[:, O] - np.maximum(score[:, B], score[:, I]) <= self.lead)
+            runs = np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else []
+            if held and (not runs or runs[0][0] > 0):
+                decode(held, after_o, True)
+                held = []
+            for run in runs:
+                first, last = int(run[0]), int(run[-1])
+                part = start[first : last + 1], end[first : last + 1], score[first : last + 1]
+                if not held:
+                    after_o = seen + first > 0
+                held.append(part)
+                if last < len(start) - 1:
+                    decode(held, after_o, True)
+                    held = []
+            seen += len(start)
+        if held:
+            decode(held, after_o, False)
         return [(a, b) for a, b in found]
 
 
@@ -344,8 +415,11 @@ def all_spans(text: str | None, field: Field) -> list[tuple[int, int, int]]:
     added = field.spans(data)
     if added:
         if len(data) != len(text):  # bytes to code points: all bytes before but those that continue a character
-            ahead = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
-            added = [(int(ahead[a]), int(ahead[b])) for a, b in added]
+            raw, at, points, place = np.frombuffer(data, np.uint8), 0, 0, {}
+            for x in sorted({x for span in added for x in span}):
+                points, at = points + int(np.count_nonzero((raw[at:x] & 0xC0) != 0x80)), x
+                place[x] = points
+            added = [(place[a], place[b]) for a, b in added]
         starts, reach = [x for x, _, _ in base], list(accumulate((y for _, y, _ in base), max))
         # of the base spans that begin before an added one ends, does the furthest end after it begins?
         free = lambda a, b: not (k := bisect_left(starts, b)) or reach[k - 1] <= a

@@ -103,6 +103,30 @@ def test_added_spans_keep_clear_of_base_spans():
     assert added == sorted((a, b, 3) for a, b in Fixed().spans(text.encode()) if not any(a < y and x < b for x, y, _ in base))
 
 
+def test_secrets_of_a_text_read_in_blocks():
+    """Whatever blocks a text is cut into, its spans are those of one block; a long text takes memory of some times its size."""
+    import time
+    import tracemalloc
+
+    field, rng = secrets.trained(), random.Random(71)
+    lines = [line for line, _ in secrets.generated_lines(60, 5)]
+    texts = ["\n".join(rng.sample(lines, rng.randrange(1, 20))) for _ in range(40)] + ["token: " + "aB3" * 40, "=" * 300, "a=b1C2d3E4f5G6h7I8 " * 40, "x" * 900 + " secret=Zq8Xw7Vu6Ts5Rr4"]
+    for text in texts:
+        data = text.encode()
+        whole = field.spans(data, 1 << 30)
+        for size in (1, 7, 64, 200):
+            assert field.spans(data, size) == whole
+            assert secrets.reads_like_settings(data, size) == secrets.reads_like_settings(data, 1 << 30)
+    long = "\n".join(lines) + "\n"
+    long *= 20_000_000 // len(long)
+    tracemalloc.start()
+    began = time.time()
+    found = secrets.all_spans(long + "ö", field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 1000 and peak < 25 * len(long) and time.time() - began < 300
+
+
 # 2 WARC
 
 
