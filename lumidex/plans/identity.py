@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from lumidex.functions import text as T
 from lumidex.operators import matching, writes
 from lumidex.operators.graph import connected_components
 from lumidex.plans import adapters as A
+from lumidex.shared import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,17 +27,6 @@ def query(sql: str | None = None):
     return add
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a session without one gets a temporary one in one process alone, as in tests, and is refused on a cluster."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="lumidex-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df by way of the shared folder that the session names for checkpoints."""
     spark = df.sparkSession
