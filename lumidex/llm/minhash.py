@@ -6,7 +6,9 @@ bits. Documents that share a bucket are candidates; the similarity estimated fro
 count of equal packed minima, corrected for chance collisions of the low bits, has to
 come within MARGIN of the threshold (over 5 standard deviations); what passes is
 confirmed on the full shingle sets. There are as many bands as it takes to miss a link at
-the threshold with a probability of at most MISS: 24 for 0.85, 35 for 0.8.
+the threshold with a probability of at most MISS: 24 for 0.85 (7.7e-7), 35 for 0.8 (9.2e-7).
+The estimate drops such a link with 1.4e-7 and 4e-9 more, by the binomial tail of equal
+minima; both together stay below 1e-6, and fall fast above the threshold.
 
 Whole result without all pairs. Texts with equal sets are one class from the start,
 whatever the number of copies. In a first round each class is compared with one centre
@@ -14,8 +16,10 @@ of its buckets only, that with the most common shingles, and the links found mak
 components. The second round looks for links between different components only. It
 goes by the rarest shingles of the classes that share a bucket: two similar sets share
 one among the first few of each, early enough for what is left to suffice (prefix and
-position filters, which lose no pair), so of thousands of copies of one text those with
-too many changes of their own meet no one. No bucket is capped. Rarity is taken from
+position filters, which lose no pair), so of thousands of copies of one text those whose own
+changes fill that prefix meet no one. Texts of one template that differ in a few words each, a
+little below the threshold to each other, do meet and are told apart by their sets: in such a
+group pairs grow with its square. No bucket is capped. Rarity is taken from
 counts in SKETCH cells, a broadcast of fixed size; it orders the shingles, so how exact
 the counts are changes the work and not the result. Joins are on bucket, shingle or
 class keys, with nothing after them that needs one key's rows together, so adaptive
@@ -50,7 +54,7 @@ MISS = 1e-6
 BITS = 2
 MOST_HASHES = 4096
 SKETCH = 1 << 17
-MARGIN = 0.2
+MARGIN = 0.22
 _RANDOM = np.random.default_rng(20240229)
 MULTIPLY = _RANDOM.integers(0, 2**63, MOST_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RANDOM.integers(0, 2**63, MOST_HASHES, dtype=np.uint64)
@@ -86,6 +90,10 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(total)
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def minima(shingles: np.ndarray, count: int) -> np.ndarray:
     """count minima of 32 bits, in blocks so that memory stays bounded."""
     least = np.full(count, 0xFFFFFFFF, np.uint64)
@@ -131,7 +139,7 @@ def sketches(documents: DataFrame, size: int, bands: int, id_col: str = "doc_id"
                         rows.append((None, 0, None, None))
                         continue
                     least = minima(found, hashes_for(bands))
-                    rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), band_keys(least, bands), packed(least)))
+                    rows.append((set_digest(found), len(found), band_keys(least, bands), packed(least)))
                 out = pd.DataFrame(rows, columns=["cls", "n_shingles", "bands", "sig"])
                 out.insert(0, "doc_id", part["doc_id"].array)
                 out.insert(1, "row_key", part["row_key"].array)
@@ -165,13 +173,16 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int, hashes: int) ->
 def _sets(classes: DataFrame, documents: DataFrame, size: int, id_col: str) -> DataFrame:
     """(set_cls, shingles) of classes, from one text of each."""
     picked = classes.select("cls", "pick")
-    texts = _sources(documents, id_col).join(picked, F.col("row_key") == F.col("pick")).dropDuplicates(["row_key"])
+    texts = _sources(documents, id_col).join(picked, F.col("row_key") == F.col("pick"))
+    texts = texts.withColumn("other_hash", F.hash("text")).dropDuplicates(["row_key", "other_hash"])  # different texts of one key both come
 
     def shingle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at : at + 200]
-                yield pd.DataFrame({"set_cls": part["cls"].array, "shingles": [shingle_hashes(t, size).view(np.int64) for t in part["text"]]})
+                found = [(cls, shingle_hashes(t, size)) for cls, t in zip(part["cls"], part["text"], strict=True)]
+                found = [(cls, s.view(np.int64)) for cls, s in found if set_digest(s) == cls]
+                yield pd.DataFrame(found, columns=["set_cls", "shingles"])
 
     return texts.select("cls", "text").mapInPandas(shingle, "set_cls binary, shingles array<long>")
 
