@@ -212,8 +212,8 @@ def tiered_list_saved(spark: SparkSession, d: str) -> DataFrame:
     return views.save_tiered_list(before, placed, 2, "mine")
 
 
-@query("""WITH p AS (SELECT user_id AS film_id, min(CAST(value AS INT) % 5 + 1) AS tier FROM events WHERE event_type = 'purchase' GROUP BY user_id), pool AS (SELECT DISTINCT user_id AS film_id FROM events), t AS (SELECT tier, count(*) AS n FROM p GROUP BY tier)
-SELECT x.tier, coalesce(t.n, 0) AS tally, CASE WHEN x.tier = 4 THEN NULL ELSE x.tier END AS anchor, x.tier = 4 OR x.tier = 2 AS needs_anchor, (SELECT count(*) FROM p) AS placed, (SELECT count(*) FROM pool WHERE film_id NOT IN (SELECT film_id FROM p) AND film_id <> 2) AS remaining
+@query("""WITH p AS (SELECT user_id AS film_id, min(CAST(floor(value) AS INT) % 5 + 1) AS tier FROM events WHERE event_type = 'purchase' GROUP BY user_id), pool AS (SELECT DISTINCT user_id AS film_id FROM events), t AS (SELECT tier, count(*) AS n FROM p GROUP BY tier)
+SELECT x.tier, coalesce(t.n, 0) AS tally, CASE WHEN x.tier = 4 THEN NULL ELSE CAST(x.tier AS BIGINT) END AS anchor, x.tier = 4 OR x.tier = 2 AS needs_anchor, (SELECT count(*) FROM p) AS placed, (SELECT count(*) FROM pool WHERE film_id NOT IN (SELECT film_id FROM p) AND film_id <> 2) AS remaining
 FROM (SELECT CAST(range AS INT) AS tier FROM range(1, 6)) x LEFT JOIN t USING (tier)""")
 def session_state(spark: SparkSession, d: str) -> DataFrame:
     """A ranking session by tier: how many are placed, its anchor and whether it needs another, and what is left."""
