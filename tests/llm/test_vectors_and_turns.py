@@ -76,14 +76,6 @@ def test_bounds_save_distances():
     assert b.reassign(v, moved) <= 4 and (b.cluster == drake.squared(v, moved).argmin(1)).all()
 
 
-def test_cluster_query_equals_its_sql(spark):
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
-    got = drake.op11_centroids(spark, DATA)
-    want = con.sql(drake.OP11_SQL)
-    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
-
-
 def test_hilbert_steps_to_neighbours():
     """The curve visits every cell once, and each step moves one cell along one axis."""
     for m, bits in ((2, 4), (3, 3), (4, 2)):
