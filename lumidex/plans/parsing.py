@@ -179,9 +179,10 @@ def ratings_parse(spark: SparkSession, d: str) -> DataFrame:
     p, k = _part(spark, d)
     title = F.concat(F.lit('"'), "p_name", F.lit(', or \\"'), F.col("p_size").cast("string"), F.lit('\\""'))
     row = F.concat_ws(",", title, F.lit("x"), F.when(k % 4 == 0, "2001-02-03").otherwise(""), (k % 5 + 1).cast("string"), F.when(k % 3 == 0, "unknown").otherwise((F.col("p_size") + 1950).cast("string")))
-    rows = p.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))), lambda x: x["row"]), "\r\n").alias("body"))
-    files = rows.select(F.col("p_brand").alias("source"), F.concat(F.lit("Title,Shelf,Rented,Rating,Year\r\n"), "body", F.lit("\r\n")).alias("value"))
-    return parsers.parsed_ratings(files).withColumn("rented_on", F.col("rented_on").cast("string"))
+    body = p.select("p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy(k)).alias("line"), row.alias("value"))
+    heads = p.select("p_brand").distinct().select("p_brand", F.lit(0).alias("line"), F.lit("Title,Shelf,Rented,Rating,Year").alias("value"))
+    lines = heads.union(body).select(F.col("p_brand").alias("file"), F.col("p_brand").alias("source"), "line", "value")
+    return parsers.parsed_ratings(lines).withColumn("rented_on", F.col("rented_on").cast("string"))
 
 
 @query("""SELECT p_name AS title, CASE WHEN p_partkey % 3 <> 0 THEN CAST(1950 + p_size AS INT) END AS year,

@@ -305,6 +305,24 @@ def test_store_products(spark):
     assert one(spark, X.embedding_text(F.lit(" a "), F.lit(None), F.lit("b")), X.embedding_text(F.lit(""), F.lit(None), F.lit(None)), X.app_url(F.lit("5"))) == ("a b", None, "com.apple.tv://tv.apple.com/movie/5")
 
 
+def test_ratings_csv_by_lines(spark, tmp_path):
+    """Each file has its own header and its own numbers, blank lines counted; a file is read in splits and never as one row."""
+    (tmp_path / "a.csv").write_text('Title,Rated,Rating,Year\r\n"A, B",x,4,1946\r\n\r\nC,y,1,n/a\r\n')
+    (tmp_path / "b.csv").write_text("year,RATING ,title\n1950,2,D\n" + "".join(f"{1900 + i % 100},{i % 5 + 1},T{i}\n" for i in range(400)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = parsers.ratings_csv(spark, str(tmp_path), "s")
+        assert found.rdd.getNumPartitions() > 1
+        got = {(r["line"], r["title"], r["year"], r["stars"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == {(1, "A, B", 1946, 4), (3, "C", None, 1), (1, "D", 1950, 2), *[(i + 2, f"T{i}", 1900 + i % 100, i % 5 + 1) for i in range(400)]}
+    lines = spark.createDataFrame([("f", "s", 0, "rating,title"), ("f", "s", 1, "9,A")], "file string, source string, line int, value string")
+    with pytest.raises(Exception, match="not from 1 to 5"):
+        parsers.parsed_ratings(lines).collect()
+
+
 def test_observations(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"url":"u","film_id":1,"status":301}\n{"url":"u","film_id":2,"status":404}\n{"url":"v","fil')
     assert [(r["url"], r["film_id"]) for r in parsers.observations(spark, str(tmp_path)).collect()] == [("u", 2)]
