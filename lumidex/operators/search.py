@@ -369,6 +369,11 @@ def field_filter(name: str, value: str, *, exact: bool = False, **tables: DataFr
     return field_values(name, [(value, exact)], **tables).films
 
 
+def characters_holding(credits: DataFrame, text: str) -> DataFrame:
+    """film_id of the titles with a character whose name holds the text anywhere, in any case; a field's value is a whole name instead."""
+    return credits.where(F.lower("character").contains(text.strip().lower())).select("film_id").distinct()
+
+
 @dataclass(frozen=True)
 class Answer:
     """rows (film_id, score), best first; whether a free text ranked them; notes (kind, field, typed, name, place): corrections with the name used, suggestions with those offered, hints with their text."""

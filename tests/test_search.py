@@ -230,3 +230,14 @@ def test_terms_meet_the_names_that_brute_force_finds(spark):
     strings = fuzzy.strings_of(held)
     met = fuzzy.pairs(asked.select(F.lower(F.trim("value")).alias("q")).where("q <> ''"), strings, 0.6).count()
     assert met < 0.1 * asked.count() * strings.select("s", "part").distinct().count()  # the share that is compared letter by letter
+
+
+def test_characters_holding(spark):
+    """The registered query finds all whose character holds the text, cast and crew; the field goes by whole names of the cast."""
+    from lumidex.plans import catalogue
+
+    data = "/root/testdata/sf0.001"
+    line = spark.read.parquet(f"{data}/lineitem.parquet").select("l_partkey", F.col("l_shipdate").cast("string").alias("name"), "l_linenumber").collect()
+    got = {r[0] for r in catalogue.QUERIES["search_character"](spark, data).collect()}
+    assert got == {r[0] for r in line if "1997-06-1" in r[1]}
+    assert got > {r[0] for r in line if r[1] == "1997-06-11 00:00:00" and r[2] % 2 == 0} == {r[0] for r in catalogue.QUERIES["search_character_named"](spark, data).collect()}
