@@ -64,7 +64,10 @@ def nearest_titles(films: DataFrame, queries: DataFrame) -> DataFrame:
     query inside the title's, whatever the year. Only a query's first stage with hits counts,
     and a query without words has stage 0 alone. Words meet by an equi-join on the query's
     rarest word and substrings on its rarest window of three characters (the whole of a
-    shorter query), so titles are not paired with queries. Equal queries are answered once.
+    shorter query), so titles are not paired with queries. Equal queries are answered once,
+    and equal titles of a year are one title with its first NEAREST films, which are all that
+    stages 1 and 2 may return of it; only stage 0 goes back to the films. Films and queries
+    themselves are merged, never broadcast: their files are far smaller than their rows.
     """
     def parts(title: Column) -> Column:
         return F.array_distinct(F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda w: ~w.isin("", "the", "a", "an", "of", "and")))
@@ -78,25 +81,31 @@ def nearest_titles(films: DataFrame, queries: DataFrame) -> DataFrame:
         counts = held.groupBy(piece).agg(F.count("*").alias("df"))
         return asked.join(counts, piece, "left").groupBy("q_key").agg(F.min_by(piece, F.struct(F.coalesce("df", F.lit(0)), piece)).alias("r_piece"), *[F.any_value(c).alias(c) for c in ("q_norm", "q_words", "q_year")])
 
-    asked = queries.withColumns({"q_norm": norm_title(without_editions(F.col("title"))), "q_words": parts(F.col("title")), "q_year": F.coalesce("year", embedded_year(F.col("title")))}).withColumn("q_key", F.to_json(F.struct("q_norm", "q_words", "q_year"))).select("query_id", "q_key", "q_norm", "q_words", "q_year")
-    q = asked.groupBy("q_key").agg(*[F.any_value(c).alias(c) for c in ("q_norm", "q_words", "q_year")])
-    f = films.withColumns({"f_norm": norm_title(without_editions(F.col("title"))), "f_words": parts(F.col("title"))}).select("film_id", F.col("year").alias("f_year"), "f_norm", "f_words")
+    def first(pairs: DataFrame, stage: int) -> DataFrame:
+        """The first NEAREST films of each query by year and number, of pairs (q_key, f_year, ids)."""
+        order = F.row_number().over(Window.partitionBy("q_key").orderBy(F.coalesce("f_year", F.lit(0)), "film_id"))
+        each = pairs.select("q_key", "f_year", F.explode("ids").alias("film_id"))
+        return each.withColumn("place", order).where(F.col("place") <= NEAREST).select("q_key", "film_id", F.lit(stage).alias("stage"))
+
+    key = F.to_json(F.struct("title", "year"))
+    named = queries.select("query_id", "title", "year").withColumn("q_key", key)
+    q = named.groupBy("title", "year").agg(F.first("q_key").alias("q_key")).withColumns({"q_norm": norm_title(without_editions(F.col("title"))), "q_words": parts(F.col("title")), "q_year": F.coalesce("year", embedded_year(F.col("title")))}).select("q_key", "q_norm", "q_words", "q_year")
+    nth = F.row_number().over(Window.partitionBy("title", "year").orderBy("film_id"))
+    titles = films.select("title", "year", "film_id").withColumn("nth", nth).where(F.col("nth") <= NEAREST).groupBy("title", "year").agg(F.collect_list("film_id").alias("ids"))
+    f = titles.withColumns({"f_norm": norm_title(without_editions(F.col("title"))), "f_words": parts(F.col("title"))}).select("title", F.col("year").alias("f_year"), "ids", "f_norm", "f_words")
     fits = F.col("q_year").isNull() | F.coalesce(F.col("q_year") == F.col("f_year"), F.lit(False))
-    same = q.join(f, F.col("q_norm") == F.col("f_norm")).where(fits & (F.col("q_norm") != "")).select("q_key", "film_id", "f_year", F.lit(0).alias("stage"))
-    by_word = f.select("film_id", "f_year", "f_words", F.explode("f_words").alias("word"))
-    rare = rarest(q.select("*", F.explode("q_words").alias("word")), by_word, "word")
-    near = rare.join(by_word, F.col("r_piece") == F.col("word")).where(fits & (F.size(F.array_except("q_words", "f_words")) == 0)).select("q_key", "film_id", "f_year", F.lit(1).alias("stage"))
-    found = same.unionByName(near)
-    left = q.where((F.size("q_words") > 0) & (F.col("q_norm") != "")).join(found.select("q_key").distinct(), "q_key", "left_anti")
-    by_window = f.select("film_id", "f_year", "f_norm", F.explode(F.concat(*[windows(F.col("f_norm"), F.lit(n)) for n in (1, 2, 3)])).alias("window"))
+    same = q.join(f, F.col("q_norm") == F.col("f_norm")).where(fits & (F.col("q_norm") != "")).select("q_key", F.col("title").alias("s_title"), F.col("f_year").alias("s_year"))
+    same_films = films.select("title", "year", "film_id").hint("merge").join(same, F.col("title").eqNullSafe(F.col("s_title")) & F.col("year").eqNullSafe(F.col("s_year"))).select("q_key", "film_id", F.lit(0).alias("stage"))
+    left = q.join(same.select("q_key").distinct(), "q_key", "left_anti")
+    by_word = f.select("f_year", "ids", "f_words", F.explode("f_words").alias("word"))
+    rare = rarest(left.select("*", F.explode("q_words").alias("word")), by_word, "word")
+    near = rare.join(by_word, F.col("r_piece") == F.col("word")).where(fits & (F.size(F.array_except("q_words", "f_words")) == 0)).select("q_key", "f_year", "ids")
+    left = left.where((F.size("q_words") > 0) & (F.col("q_norm") != "")).join(near.select("q_key").distinct(), "q_key", "left_anti")
+    by_window = f.select("f_year", "ids", "f_norm", F.explode(F.concat(*[windows(F.col("f_norm"), F.lit(n)) for n in (1, 2, 3)])).alias("window"))
     rare = rarest(left.select("*", F.explode(windows(F.col("q_norm"), F.least(F.lit(3), F.length("q_norm")))).alias("window")), by_window, "window")
-    inside = rare.join(by_window, F.col("r_piece") == F.col("window")).where(F.col("f_norm").contains(F.col("q_norm"))).select("q_key", "film_id", "f_year", F.lit(2).alias("stage"))
-    found = found.unionByName(inside)
-    best = found.groupBy(F.col("q_key").alias("b_key")).agg(F.min("stage").alias("b_stage"))
-    found = found.join(best, (F.col("q_key") == F.col("b_key")) & (F.col("stage") == F.col("b_stage")))
-    place = F.row_number().over(Window.partitionBy("q_key").orderBy(F.coalesce("f_year", F.lit(0)), "film_id"))
-    found = found.withColumn("place", place).where((F.col("stage") == 0) | (F.col("place") <= NEAREST))
-    return asked.select("query_id", "q_key").join(found, "q_key").select("query_id", "film_id", "stage")
+    inside = rare.join(by_window, F.col("r_piece") == F.col("window")).where(F.col("f_norm").contains(F.col("q_norm"))).select("q_key", "f_year", "ids")
+    found = same_films.unionByName(first(near, 1)).unionByName(first(inside, 2))
+    return named.select("query_id", "q_key").hint("merge").join(found, "q_key").select("query_id", "film_id", "stage")
 
 
 def survivors(groups: DataFrame) -> DataFrame:

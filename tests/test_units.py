@@ -242,6 +242,21 @@ def test_nearest_titles_inside_others(spark):
     assert {k: sorted(v) for k, v in got.items()} == {1: [(1, 2)], 2: [(1, 2)], 3: [(1, 2)], 4: [(1, 2), (2, 2), (3, 2)], 5: [(1, 2)], 6: [(2, 0)], 9: [(12 + i, 2) for i in range(5)]}
 
 
+def test_nearest_titles_of_many_films(spark, tmp_path):
+    """An ambiguous title gives all its films, a near one its first five by year and number; films and queries are not broadcast, however small their files are."""
+    spark.createDataFrame([(i, "Alpha Two", 1900 + i % 3) for i in range(30)] + [(100, "Beta Two", None), (101, "Two Alpha", 1899)], "film_id long, title string, year int").write.parquet(f"{tmp_path}/films")
+    spark.createDataFrame([(i, t, None) for i in range(50) for t in ("alpha two", "the alpha", "two")], "n long, title string, year int").withColumn("query_id", F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/asked")
+    films, asked = spark.read.parquet(f"{tmp_path}/films"), spark.read.parquet(f"{tmp_path}/asked")
+    found = resolution.nearest_titles(films, asked)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 2
+    title = {r["query_id"]: r["title"] for r in asked.collect()}
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault((r["query_id"], title[r["query_id"]]), set()).add((r["film_id"], r["stage"]))
+    want = {"alpha two": {(i, 0) for i in range(30)}, "the alpha": {(101, 1), (0, 1), (3, 1), (6, 1), (9, 1)}, "two": {(100, 1), (101, 1), (0, 1), (3, 1), (6, 1)}}
+    assert len(got) == 150 and all(v == want[k[1]] for k, v in got.items())
+
+
 def test_registered_queries_ask_all(spark):
     """Each part's title and each customer's title is asked, whatever its number."""
     from lumidex.plans import catalogue
