@@ -21,10 +21,25 @@ RELAUNCH_GRACE_DAYS = 30
 CLAIM_PRECEDENCE = ("criterion", "metacritic", "apple-tv")
 
 
+#: Numbers of rows themselves, which are never null; groups that rows without a key are dealt to.
+_OWN, _GROUPS = ("film_id", "item_id", "line"), 4096
+
+
+def _dealt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(_GROUPS)).cast("int")
+
+
+def _spread(rows: DataFrame, column: str) -> Column:
+    """column as a text key; a null, which equals nothing, is a hash of its row, so that rows without a key do not meet in one task."""
+    return F.coalesce(F.col(column).cast("string"), F.concat(F.lit("\0"), _dealt(*rows.columns).cast("string")))
+
+
 def _left(rows: DataFrame, found: DataFrame, on: dict[str, str]) -> DataFrame:
     """rows with found's columns, joined by {row's column: found's column}; the latter go."""
-    condition = [rows[a] == found[b] for a, b in on.items()]
-    return rows.join(found, condition, "left").drop(*[found[b] for b in on.values()])
+    mine = {a: f"_key_{a}" for a in on if a not in _OWN}
+    keyed = rows.withColumns({m: _spread(rows, a) for a, m in mine.items()})
+    condition = [keyed[mine[a]] == found[b].cast("string") if a in mine else keyed[a] == found[b] for a, b in on.items()]
+    return keyed.join(found, condition, "left").drop(*[found[b] for b in on.values()], *mine.values())
 
 
 def holders(ids: DataFrame, canon: DataFrame, dispositions: DataFrame) -> DataFrame:
@@ -53,8 +68,9 @@ def tombstoned_keys(films: DataFrame, dispositions: DataFrame, canon: DataFrame)
 
 
 def _nth(condition: Column, *keys: str, order: list[str]) -> Column:
-    """A row's place among those of its keys that meet condition, from 1; null for others."""
-    return F.when(condition, F.row_number().over(Window.partitionBy(condition, *keys).orderBy(*order)))
+    """A row's place among those of its keys that meet condition, from 1; null for others, which are dealt out by a hash of their own."""
+    met = F.coalesce(condition, F.lit(False))
+    return F.when(condition, F.row_number().over(Window.partitionBy(*[F.when(met, F.col(k)) for k in keys], F.when(~met, _dealt(*order))).orderBy(*order)))
 
 
 def owned_outcomes(titles: DataFrame, held: DataFrame, keys: DataFrame, tombstoned: DataFrame) -> DataFrame:
@@ -310,7 +326,7 @@ def bridge_outcomes(forwards: DataFrame, held: DataFrame) -> DataFrame:
     """
     rows = _left(forwards, held.select(F.col("value").alias("h_value"), "holder"), {"mediaid": "h_value"})
     able = (F.col("answer") == "film") & ~F.col("is_hidden")
-    first = F.min(F.when(able & F.col("holder").isNull(), F.struct("pos", "film_id"))).over(Window.partitionBy("mediaid"))
+    first = F.min(F.when(able & F.col("holder").isNull(), F.struct("pos", "film_id"))).over(Window.partitionBy("mediaid", F.when(F.col("mediaid").isNull(), _dealt("pos", "film_id"))))
     rows = rows.withColumn("first", F.when(F.col("mediaid").isNotNull(), first))
     owner = F.coalesce("holder", "first.film_id")
     claims = F.col("holder").isNull() & (F.col("pos") == F.col("first.pos"))
@@ -374,8 +390,8 @@ def walk_decisions(items: DataFrame, held: DataFrame, covered: DataFrame, keys:
     able = F.coalesce(asked & F.col("holder").isNull() & ~F.col("vetoed") & F.col("k_held").isNull(), F.lit(False))
     rows = rows.withColumn("able", able).withColumn("by_tt", _nth(F.col("able"), "tt", order=["pos"]))
     rows = rows.withColumn("first", F.col("able") & (F.col("by_tt") == 1)).withColumn("by_key", _nth(F.col("first"), "key", order=["pos"]))
-    # a work joins its first item only if that one was created
-    made = F.max(F.when(F.col("by_key") == 1, True)).over(Window.partitionBy("tt"))
+    # a work joins its first item only if that one was created; items without an id join none
+    made = F.max(F.when(F.col("by_key") == 1, True)).over(Window.partitionBy("tt", F.when(F.col("tt").isNull(), _dealt("pos"))))
     rows = rows.withColumn("made", made)
     decision = (
         F.when(F.col("own").isNotNull(), "listed").when(F.col("covered"), "waiting").when(F.col("record") == F.lit(False), "no-record").when(F.col("kind").isNull(), "skipped")

@@ -257,6 +257,28 @@ def test_nearest_titles_of_many_films(spark, tmp_path):
     assert len(got) == 150 and all(v == want[k[1]] for k, v in got.items())
 
 
+def test_rows_without_a_key_are_dealt_out(spark):
+    """Titles without ids, and rows that a place within equal keys does not concern, do not meet in one task."""
+    from lumidex.operators import placement
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    rows = spark.range(2000).select(F.col("id").alias("pos"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("tt"), "id")).alias("tt"), F.lit(None).cast("string").alias("tmdb_id"), F.lit(None).cast("long").alias("holder"))
+    held = spark.createDataFrame([("imdb", "tt100", 7, False), ("tmdb", "5", 8, True)], "authority string, value string, holder long, hidden boolean")
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        largest = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        found = placement.with_holder(rows.drop("holder"), held)
+        numbered = rows.withColumn("nth", placement._nth(F.col("tt").isNotNull(), "tmdb_id", order=["pos"]))
+        assert largest(found) < 1000 and largest(numbered) < 1000
+        assert [(r["pos"], r["holder"]) for r in found.where("holder is not null").collect()] == [(100, 7)] and found.count() == 2000
+        assert {(r["pos"], r["nth"]) for r in numbered.where("nth is not null").collect()} == {(100 * i, i + 1) for i in range(20)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_registered_queries_ask_all(spark):
     """Each part's title and each customer's title is asked, whatever its number."""
     from lumidex.plans import catalogue
