@@ -36,8 +36,6 @@ from lumidex.operators.commits import State, Tables
 K1, B = 1.2, 0.75
 #: Rows that a file of postings holds at most, about, before a bucket gets another one; a small index has a file a bucket.
 ROWS_A_FILE = 5_000_000
-#: Words of a column up to which its words' positions are gathered by comparing all with each; longer ones are grouped by a shuffle.
-SHORT = 300
 
 
 def steps(positions: Column) -> Column:
@@ -82,13 +80,17 @@ class TextIndex:
     def _postings(self, texts: DataFrame, version: int) -> DataFrame:
         """The postings of texts (key, columns)."""
         each = F.array(*[F.struct(F.lit(c).alias("col"), words(F.coalesce(c, F.lit(""))).alias("terms")) for c in self.columns])
-        # a word's positions in its own row: nothing is shuffled to gather them
-        each_word = F.transform(F.array_distinct("terms"), lambda w: F.struct(w.alias("term"), steps(F.filter(F.transform("terms", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())).alias("positions")))
+        # a text's words with their places, sorted, and where each word's run begins: in the text's own row, so nothing is
+        # shuffled to gather positions, and each word is looked at once. What lambdas go back to is bound first, or it would be made anew for each element
+        sorted_ = F.sort_array(F.transform("terms", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+        begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+        bound = F.transform(F.array(sorted_), lambda s: F.struct(s.alias("s"), begins(s).alias("b")))
+        end = lambda j: F.coalesce(F.get("y.b", j + 1), F.size("y.s"))
+        runs = F.transform("y.b", lambda at, j: F.struct(F.get("y.s", at)["term"].alias("term"), F.transform(F.slice("y.s", at + 1, end(j) - at), lambda x: x["pos"]).alias("positions")))
         flat = texts.select("key", self._lengths(False), F.explode(each).alias("x")).select("key", "lengths", "x.col", F.col("x.terms").alias("terms"))
-        short = flat.where(F.size("terms") <= SHORT).select("key", "lengths", "col", F.explode(each_word).alias("y")).select("key", "lengths", "col", "y.term", "y.positions")
-        spread = flat.where(F.size("terms") > SHORT).select("key", "lengths", "col", F.posexplode("terms").alias("pos", "term"))
-        long = spread.groupBy("key", "lengths", "col", "term").agg(steps(F.sort_array(F.collect_list("pos"))).alias("positions"))
-        return short.unionByName(long).select("term", "key", F.lit(version).cast("long").alias("version"), "col", "positions", "lengths", self._bucket(F.col("term")).alias("bucket"))
+        found = flat.select("key", "lengths", "col", F.explode(bound).alias("y")).select("key", "lengths", "col", F.explode(runs).alias("z"))
+        found = found.select("key", "lengths", "col", "z.term", steps(F.col("z.positions")).alias("positions"))
+        return found.select("term", "key", F.lit(version).cast("long").alias("version"), "col", "positions", "lengths", self._bucket(F.col("term")).alias("bucket"))
 
     def _laid_out(self, rows: DataFrame, order: list[str], n: int) -> DataFrame:
         """rows in order of their bucket and more, a task for each bucket, or more where there are very many rows."""
@@ -131,8 +133,10 @@ class TextIndex:
             postings = self._postings(new, version).persist()
             made = [new.select("key", F.lit(version).cast("long").alias("version"), self._lengths(False))]
             counted.append(postings.select("bucket", "term", "key", F.lit(1).alias("sign"), count.alias("tf")))
-        # a text has a word once however many columns hold it
-        by_text = reduce(lambda a, b: a.union(b), counted).groupBy("bucket", "term", "key", "sign").agg(F.sum("tf").alias("tf")) if counted else None
+        # a text has a word once however many columns hold it; with one column a posting is a text's word already
+        by_text = reduce(lambda a, b: a.union(b), counted) if counted else None
+        if by_text is not None and len(self.columns) > 1:
+            by_text = by_text.groupBy("bucket", "term", "key", "sign").agg(F.sum("tf").alias("tf"))
         appended: dict[str, DataFrame] = {"gone": gone}
         if by_text is not None:
             terms = by_text.groupBy("bucket", "term").agg(F.sum("sign").alias("n_texts"), F.sum(F.col("sign") * F.col("tf")).alias("n"))

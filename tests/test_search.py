@@ -241,3 +241,15 @@ def test_characters_holding(spark):
     got = {r[0] for r in catalogue.QUERIES["search_character"](spark, data).collect()}
     assert got == {r[0] for r in line if "1997-06-1" in r[1]}
     assert got > {r[0] for r in line if r[1] == "1997-06-11 00:00:00" and r[2] % 2 == 0} == {r[0] for r in catalogue.QUERIES["search_character_named"](spark, data).collect()}
+
+
+def test_postings_without_shuffle(spark):
+    """A text's postings are made in its own row, however long it is, with every place of a word."""
+    index = object.__new__(TextIndex)
+    index.columns, index.buckets = ["x"], 4
+    long = ["w%d" % (i * i % 37) for i in range(900)]
+    texts = spark.createDataFrame([(1, "b a B  a!"), (2, " ".join(long)), (3, None), (4, "")], "key long, x string")
+    made = index._postings(texts, 5)
+    assert "Exchange" not in made._jdf.queryExecution().sparkPlan().toString()
+    got = {(r["key"], r["term"]): [sum(r["positions"][: i + 1]) for i in range(len(r["positions"]))] for r in made.collect()}
+    assert got == {(1, "a"): [1, 3], (1, "b"): [0, 2], **{(2, w): [i for i, x in enumerate(long) if x == w] for w in set(long)}}
