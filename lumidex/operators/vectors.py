@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 #: How many neighbours count, from what distance on none does, and what closeness adds to a score.
 NEAREST, CEILING, BONUS = 10, 0.8, 5.0
+#: Vectors that are measured against a block of queries at once.
+STEP = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,6 +53,21 @@ def nearest(vectors: DataFrame, query: list[float], k: int = NEAREST, ceiling: f
     return distances(vectors, query, key, column).where(F.col("distance") <= ceiling).orderBy("distance", key).limit(k)
 
 
+def nearest_in(frames: Iterator[pd.DataFrame], names: list, q: np.ndarray, k: int, key: str, column: str) -> Iterator[pd.DataFrame]:
+    """(query_id, key, distance): of the vectors of frames the k nearest to each of q; STEP of them are measured at once, whatever the size of a frame."""
+    keys, dist = None, np.empty((len(names), 0))
+    for pdf in frames:
+        for at in range(0, len(pdf), STEP):
+            part = pdf.iloc[at : at + STEP]
+            d = 1 - q @ np.array(part[column].tolist(), np.float64).T
+            own = np.broadcast_to(part[key].to_numpy(), d.shape)
+            keys, dist = own if keys is None else np.concatenate([keys, own], axis=1), np.concatenate([dist, d], axis=1)
+            order = np.lexsort((keys, dist), axis=1)[:, :k]
+            keys, dist = np.take_along_axis(keys, order, 1), np.take_along_axis(dist, order, 1)
+    if keys is not None:
+        yield pd.DataFrame({"query_id": np.repeat(names, keys.shape[1]), key: keys.ravel(), "distance": dist.ravel()})
+
+
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, key: str = "vec_id", column: str = "embedding", block: int = 2000) -> DataFrame:
     """(query_id, key, distance, place): the k nearest of all vectors for each of queries (query_id, vector).
 
@@ -67,17 +84,7 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, ke
         shipped = spark.sparkContext.broadcast((ids, np.array([r["vector"] for r in rows], np.float64)))
 
         def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, q = shipped.value
-            keys, dist = np.empty((len(names), 0), object), np.empty((len(names), 0))
-            for pdf in frames:
-                if not len(pdf):
-                    continue
-                d = 1 - q @ np.array(pdf[column].tolist(), np.float64).T
-                keys = np.concatenate([keys, np.broadcast_to(pdf[key].to_numpy().astype(object), d.shape)], axis=1)
-                dist = np.concatenate([dist, d], axis=1)
-                order = np.array([sorted(range(dist.shape[1]), key=lambda j, i=i: (dist[i, j], keys[i, j]))[:k] for i in range(len(names))])
-                keys, dist = np.take_along_axis(keys, order, 1), np.take_along_axis(dist, order, 1)
-            yield pd.DataFrame({"query_id": np.repeat(names, keys.shape[1]), key: keys.ravel(), "distance": dist.ravel()})
+            return nearest_in(frames, *shipped.value, k, key, column)
 
         parts.append(vectors.select(key, column).mapInPandas(scan, f"query_id long, {key} {kind}, distance double"))
 

@@ -253,3 +253,25 @@ def test_postings_without_shuffle(spark):
     assert "Exchange" not in made._jdf.queryExecution().sparkPlan().toString()
     got = {(r["key"], r["term"]): [sum(r["positions"][: i + 1]) for i in range(len(r["positions"]))] for r in made.collect()}
     assert got == {(1, "a"): [1, 3], (1, "b"): [0, 2], **{(2, w): [i for i, x in enumerate(long) if x == w] for w in set(long)}}
+
+
+def test_nearest_memory_does_not_grow_with_a_frame():
+    """Many queries against a large frame of vectors: a part of it is measured at once; ties go to the smaller key."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from lumidex.operators import vectors
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(-2, 3, (6000, 4)).astype(float)
+    frame, q = pd.DataFrame({"vec_id": np.arange(6000), "embedding": list(v)}), v[:1000]
+    tracemalloc.start()
+    (got,) = list(vectors.nearest_in(iter([frame]), list(range(1000)), q, 3, "vec_id", "embedding"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 1000 * 8 / 2
+    for i in (0, 7, 999):
+        want = sorted((1 - float(q[i] @ x), j) for j, x in enumerate(v))[:3]
+        assert [(r.distance, r.vec_id) for r in got[got.query_id == i].itertuples()] == want
