@@ -49,12 +49,17 @@ def arrivals(batch: DataFrame, listings: DataFrame, quiet: bool = False) -> Data
     return joined.where(F.col("h_film").isNull() | (F.col("last_seen") < F.col("frontier"))).select("film_id", "source", F.col("seen").alias("appeared_on"))
 
 
-def seen_again(listings: DataFrame, batch: DataFrame) -> DataFrame:
-    """listings after a batch: first_seen stays, last_seen and url are the batch's."""
+def seen_again(listings: DataFrame, batch: DataFrame, parts: int | None = None) -> DataFrame:
+    """listings after a batch: first_seen stays, last_seen and url are the batch's.
+
+    parts: partitions that the rows are dealt to by their key, each of which is sorted in one
+    task; without it they are sorted where they lie, once more after Spark's own shuffle.
+    """
     old = listings.select("film_id", "source", "url", "first_seen", "last_seen", F.lit(0).alias("is_new"))
     new = batch.select("film_id", "source", "url", F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen"), F.lit(1).alias("is_new"))
+    rows = old.unionByName(new)
     return (
-        old.unionByName(new).groupBy("film_id", "source")
+        (rows.repartition(parts, "film_id", "source") if parts else rows).groupBy("film_id", "source")
         .agg(F.max_by("url", F.struct("last_seen", "is_new")).alias("url"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
     )
 

@@ -62,7 +62,7 @@ def batch_arrivals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {A.LISTINGS_SQL}, {_BATCH} SELECT coalesce(l.film_id, b.film_id) AS film_id, coalesce(l.source, b.source) AS source, coalesce(b.url, l.url) AS url, CASE WHEN b.film_id IS NULL THEN l.first_seen ELSE least(coalesce(l.first_seen, DATE '{A.TODAY}'), DATE '{A.TODAY}') END AS first_seen, CASE WHEN b.film_id IS NULL THEN l.last_seen ELSE DATE '{A.TODAY}' END AS last_seen FROM listings l FULL JOIN batch b ON l.film_id = b.film_id AND l.source = b.source")
 def batch_listings(spark: SparkSession, d: str) -> DataFrame:
-    return currency.seen_again(A.listings(spark, d), _batch(spark, d))
+    return currency.seen_again(A.listings(spark, d), _batch(spark, d), A.parts(spark, d, "lineitem"))
 
 
 @query(f"WITH {A.LISTINGS_SQL}, {A.CURRENT_SQL} SELECT film_id, source, CASE WHEN is_current AND film_id % 5 = 0 THEN DATE '{A.TODAY}' ELSE last_seen END AS last_seen FROM flagged")

@@ -17,6 +17,7 @@ from lumidex.functions import text as T
 from lumidex.functions.stemming import stem
 from lumidex.operators import audit, currency, matching, ranker, reports, resolution, search, views, worklists, writes
 from lumidex.operators.graph import connected_components
+from lumidex.plans import adapters, catalogue
 from lumidex.sources import parsers
 from lumidex.streaming import sync
 
@@ -418,3 +419,10 @@ def test_late_return_in_a_later_batch(spark, tmp_path):
         query = sync.reappearances(stream).writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o")).start()
         query.awaitTermination()
     assert sorted((r["film_id"], r["seen"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(1, days[3]), (2, days[2])]
+
+
+@pytest.mark.parametrize("name", ["batch_listings"])
+def test_listings_of_a_task_do_not_grow(spark, monkeypatch, name):
+    monkeypatch.setattr(adapters, "ROWS_A_PART", 500)
+    sizes = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] < 0.15 * sizes[1]
