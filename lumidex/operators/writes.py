@@ -119,12 +119,16 @@ SURVIVOR_WINS = {"omdb": (), "my_ratings": (), "watchlist": (), "owned": (), "tm
 UNIONS = {"film_keyword": ("keyword",), "external_ids": ("authority", "value"), "claim": ("authority", "value"), "film_credit": ("person_id", "kind", "job", "character")}
 
 
-def merged_rows(table: DataFrame, name: str, canon: DataFrame) -> DataFrame:
-    """A table after merges: film_id becomes the survivor's, and what collides is folded by the table's rule."""
+def merged_rows(table: DataFrame, name: str, canon: DataFrame, parts: int | None = None) -> DataFrame:
+    """A table after merges: film_id becomes the survivor's, and what collides is folded by the table's rule.
+
+    parts: partitions that listings are dealt to by their new key.
+    """
     to = canon.select(F.col("film_id").alias("m_film"), "canonical_id")
     moved = table.join(to, table["film_id"] == F.col("m_film"), "left").withColumn("own", F.col("m_film").isNull()).withColumn("film_id", F.coalesce("canonical_id", "film_id")).drop("m_film", "canonical_id")
     if name == "listings":  # the widest span, the url last seen
-        return moved.groupBy("film_id", "source").agg(F.max_by("url", F.struct("last_seen", "own")).alias("url"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("leaving_date", F.struct("last_seen", "own")).alias("leaving_date")).select(*table.columns)
+        dealt = moved.repartition(parts, "film_id", "source") if parts else moved
+        return dealt.groupBy("film_id", "source").agg(F.max_by("url", F.struct("last_seen", "own")).alias("url"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("leaving_date", F.struct("last_seen", "own")).alias("leaving_date")).select(*table.columns)
     if name == "viewing":  # one a day; a service that is known stays, and study is kept
         return moved.groupBy("film_id", "watched_on").agg(F.min("id").alias("id"), F.min_by("service", F.when(F.col("service").isNotNull(), F.struct(~F.col("own"), "id"))).alias("service"), F.min("logged_on").alias("logged_on"), F.max("study").alias("study")).select(*table.columns)
     if name in UNIONS:

@@ -65,7 +65,7 @@ def merge_closure(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CLOSURE}, k AS (SELECT film_id, arg_max(top, depth) AS canonical_id FROM c GROUP BY film_id), {A.LISTINGS_SQL} SELECT coalesce(canonical_id, l.film_id) AS film_id, source, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM listings l LEFT JOIN k USING (film_id) GROUP BY ALL")
 def merged_listings(spark: SparkSession, d: str) -> DataFrame:
     canon = writes.canonical(_merges(spark, d), saved)
-    return writes.merged_rows(A.listings(spark, d), "listings", canon).select("film_id", "source", "first_seen", "last_seen")
+    return writes.merged_rows(A.listings(spark, d), "listings", canon, A.parts(spark, d, "lineitem")).select("film_id", "source", "first_seen", "last_seen")
 
 
 @query(f"WITH {_CLOSURE}, k AS (SELECT film_id, arg_max(top, depth) AS canonical_id FROM c GROUP BY film_id), r AS (SELECT p_partkey AS film_id, CAST(p_partkey % 11 AS INT) AS score FROM part WHERE p_partkey % 4 = 0) SELECT coalesce(canonical_id, r.film_id) AS film_id, count(*) AS n_folded FROM r LEFT JOIN k USING (film_id) GROUP BY 1")

@@ -421,7 +421,7 @@ def test_late_return_in_a_later_batch(spark, tmp_path):
     assert sorted((r["film_id"], r["seen"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(1, days[3]), (2, days[2])]
 
 
-@pytest.mark.parametrize("name", ["batch_listings"])
+@pytest.mark.parametrize("name", ["batch_listings", "merged_listings"])
 def test_listings_of_a_task_do_not_grow(spark, monkeypatch, name):
     monkeypatch.setattr(adapters, "ROWS_A_PART", 500)
     sizes = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
