@@ -133,11 +133,14 @@ r AS (SELECT *, CASE WHEN n_alive = 0 THEN CASE WHEN c THEN 'director conflicts
 i AS (SELECT q_id, reason, CASE WHEN reason = 'director corroborated' THEN s_id WHEN starts_with(reason, 'exact') THEN n_id WHEN starts_with(reason, 'votes dominate among year') THEN nv[2] WHEN starts_with(reason, 'unique') THEN o_id WHEN starts_with(reason, 'votes dominate among older') THEN ov[2] END AS c FROM r)
 SELECT q_id, CASE WHEN c IS NULL THEN 'review' ELSE 'match' END AS kind, CAST(c AS VARCHAR) AS c_id, reason FROM i""")
 def resolver(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's title resolved among the parts of that title."""
+    """Each customer's title resolved among the parts of that title.
+
+    They are merged, never broadcast: a file of few splits would pair and sort all of them in as few tasks.
+    """
     queries, films = _match_tables(spark, d)
     q = queries.select(F.col("id").alias("q_id"), T.without_editions(F.col("title")).alias("q_title"), F.array(T.without_editions(F.col("title"))).alias("q_forms"), F.col("year").alias("q_year"), F.when(F.col("id") % 3 == 0, "mc").otherwise("database").alias("q_class"), F.when(F.col("id") % 4 == 0, "Brand#3").alias("q_director"), F.array().cast("array<string>").alias("q_editions"))
     c = films.select(F.col("id").alias("c_id"), F.col("title").alias("c_title"), F.array("title").alias("c_titles"), F.col("year").alias("c_year"), F.col("director").alias("c_directors"), (F.col("id") % 3000).cast("int").alias("c_votes"), F.lit("movie").alias("c_kind"), (F.col("id") % 2 == 0).alias("c_in_tmdb"), (F.col("id") % 4 == 0).alias("c_in_omdb"), F.col("title").alias("c_omdb_title"))
-    return matching.resolve(q.join(c, F.col("q_title") == F.col("c_title")).drop("c_title"))
+    return matching.resolve(q.hint("merge").join(c, F.col("q_title") == F.col("c_title")).drop("c_title"))
 
 
 @query("SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")

@@ -426,3 +426,8 @@ def test_listings_of_a_task_do_not_grow(spark, monkeypatch, name):
     monkeypatch.setattr(adapters, "ROWS_A_PART", 500)
     sizes = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
     assert sizes[0] < 0.15 * sizes[1]
+
+
+def test_resolver_merges_titles(spark):
+    plan = catalogue.QUERIES["resolver"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [q_title" in plan
