@@ -431,3 +431,25 @@ def test_listings_of_a_task_do_not_grow(spark, monkeypatch, name):
 def test_resolver_merges_titles(spark):
     plan = catalogue.QUERIES["resolver"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [q_title" in plan
+
+
+def test_components_write_little(spark):
+    """Chains and a star: what is written stays below six rows for each edge, however many rounds it takes."""
+    names = random.Random(5).sample(range(100_000), 3001)
+    edges = [(names[i], names[i + 1]) for i in range(2000) if i % 40] + [(names[2000], names[i]) for i in range(2001, 3001)]
+    written, save = [], saver(spark)
+
+    def counting(df, label):
+        table = save(df, label)
+        written.append(table.count())
+        return table
+
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), counting).collect()}
+    want = {n: n for e in edges for n in e}
+    for _ in want:
+        before = dict(want)
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    assert got == want and sum(written) < 6 * len(edges)
