@@ -109,6 +109,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def spaced(text: Column) -> Column:
+    """The words of a text in one string, with a space between any two."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+
+
 def tier_for_score(score: Column) -> Column:
     """10 or more: 1; 9: 2; 8: 3; 7: 4; 6: 5; below, null: such a title is not ranked."""
     return F.when(score >= 6, F.greatest(F.lit(1), F.lit(11) - score))

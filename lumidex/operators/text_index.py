@@ -4,9 +4,8 @@ Tables of one store (commits.Tables), so that a batch changes all or none:
   postings (bucket, term, key, version, col, positions, lengths): where each word stands in a
     column of a text, as the first position and the steps to the next, and how many words the
     text's columns have. A folder for each batch, laid out by bucket, a hash of the term, and
-    within a bucket's files in order of the term: a query reads the folders of its terms'
-    buckets, in these the row groups of its terms, and nothing else that grows with the texts
-    but what is gone.
+    within each file in order of the term: a query reads the folders of its terms' buckets, in
+    these the pages of its terms, and nothing else that grows with the texts but what is gone.
   texts (key, version, lengths): each version of a text and its number of words by column.
   gone (key, version): versions whose postings are still in folders but count no more.
   totals (version, n, lengths): what a batch adds to the number of texts and words.
@@ -17,30 +16,30 @@ or folders have grown to a share of it.
 
 Scale: a batch writes what is new and nothing else; it reads its own texts, the narrow texts
 table for its keys, and the postings for the words of the versions it ends, if there are any.
-A query costs its terms' postings.
-Frequent words are dealt over files by key. No list of a word's postings is ever one row.
+A query costs its terms' postings. Postings are made from their texts once and shuffled once;
+counts are taken from what was written. A bucket of very many rows, as of frequent words, is
+split over tasks and files by size. No list of a word's postings is ever one row.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumidex.functions.expressions import words
+from lumidex.functions.expressions import spaced, words
 from lumidex.operators.commits import State, Tables
 
 #: Okapi's constants.
 K1, B = 1.2, 0.75
-#: Rows that a file of postings holds at most, about, before a bucket gets another one; a small index has a file a bucket.
-ROWS_A_FILE = 5_000_000
-
-
-def steps(positions: Column) -> Column:
-    """Growing positions as the first and the differences."""
-    return F.transform(positions, lambda p, i: p - F.coalesce(F.get(positions, i - 1), F.lit(0)))
+#: Bytes of texts whose words are sorted at once; a longer text is one part.
+PART = 1 << 22
 
 
 def places(coded: Column) -> Column:
@@ -49,6 +48,47 @@ def places(coded: Column) -> Column:
     return F.aggregate(coded, F.struct(F.lit(0).alias("at"), start.alias("all")), lambda s, d: F.struct((s["at"] + d).alias("at"), F.concat(s["all"], F.array(s["at"] + d)).alias("all")), lambda s: s["all"])
 
 
+def inverted(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """(term, key, col, positions, lengths) of texts (key, columns) whose words have a space between any two, in order of the term within a part of PART bytes."""
+    for batch in batches:
+        ends = np.cumsum(sum(pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:]))
+        at = 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+            yield from _inverted(batch.slice(at, end - at), columns)
+            at = end
+
+
+def _inverted(part: pa.RecordBatch, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    key, texts = part.column(0), part.columns[1:]
+    counts = [np.asarray(pc.add(pc.count_substring(x, " "), pc.not_equal(x, "").cast(pa.int32()))).astype(np.int64) for x in texts]
+    lengths = pa.StructArray.from_arrays([pa.array(n) for n in counts], columns)
+    for name, x, n in zip(columns, texts, counts, strict=True):
+        texts_held = np.flatnonzero(n)
+        if not len(texts_held):
+            continue
+        n = n[texts_held]
+        coded = pc.list_flatten(pc.split_pattern(x.take(pa.array(texts_held)), " ")).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        # a word's rank, text and place in one number, so that one plain sort puts the places of a word in a text side by side:
+        # of 4 MB 61 bits at most, of one longer text 60, as an Arrow string has below 2**31 bytes
+        place_bits, text_bits = int(n.max() - 1).bit_length(), (len(n) - 1).bit_length()
+        place = np.arange(len(coded)) - np.repeat(np.cumsum(n) - n, n)
+        all_ = rank[coded.indices.to_numpy()] << (text_bits + place_bits) | np.repeat(np.arange(len(n)) << place_bits, n) | place
+        all_.sort()
+        place, run = all_ & ((1 << place_bits) - 1), all_ >> place_bits
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        steps = np.diff(place, prepend=0)
+        steps[first] = place[first]
+        run = run[first]
+        text = pa.array(texts_held[run & ((1 << text_bits) - 1)])
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(all_)), pa.int32()), pa.array(steps, pa.int32()))
+        found = [coded.dictionary.take(pa.array(order[run >> text_bits])), key.take(text), pa.repeat(name, len(run)), positions, lengths.take(text)]
+        yield pa.RecordBatch.from_arrays(found, ["term", "key", "col", "positions", "lengths"])
+
+
 class TextIndex:
     """The index of texts (key, columns) in a folder; made by create, opened by its path alone."""
 
@@ -56,6 +96,7 @@ class TextIndex:
         self.spark, self.tables = spark, Tables(spark, path)
         notes = self.tables.state().notes
         self.key, self.columns, self.buckets = notes["key"], notes["columns"].split(","), int(notes["buckets"])
+        self._deal: list[int] | None = None
 
     @classmethod
     def create(cls, texts: DataFrame, path: str, key: str, columns: list[str], buckets: int = 64) -> TextIndex:
@@ -64,7 +105,7 @@ class TextIndex:
         if tables.state().number >= 0:
             raise ValueError(f"{path} holds an index")
         kind = texts.schema[key].dataType.simpleString()
-        lengths = f"struct<{','.join(f'{c}:long' for c in columns)}>"
+        lengths = cls._kind_of_lengths(columns)
         empty = {
             "postings": f"term string, key {kind}, version long, col string, positions array<int>, lengths {lengths}, bucket int", "texts": f"key {kind}, version long, lengths {lengths}", "gone": f"key {kind}, version long",
             "totals": f"version long, n long, lengths {lengths}", "terms": "term string, version long, n_texts long, n long, bucket int",
@@ -77,32 +118,47 @@ class TextIndex:
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _postings(self, texts: DataFrame, version: int) -> DataFrame:
-        """The postings of texts (key, columns)."""
-        each = F.array(*[F.struct(F.lit(c).alias("col"), words(F.coalesce(c, F.lit(""))).alias("terms")) for c in self.columns])
-        # a text's words with their places, sorted, and where each word's run begins: in the text's own row, so nothing is
-        # shuffled to gather positions, and each word is looked at once. What lambdas go back to is bound first, or it would be made anew for each element
-        sorted_ = F.sort_array(F.transform("terms", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
-        begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
-        bound = F.transform(F.array(sorted_), lambda s: F.struct(s.alias("s"), begins(s).alias("b")))
-        end = lambda j: F.coalesce(F.get("y.b", j + 1), F.size("y.s"))
-        runs = F.transform("y.b", lambda at, j: F.struct(F.get("y.s", at)["term"].alias("term"), F.transform(F.slice("y.s", at + 1, end(j) - at), lambda x: x["pos"]).alias("positions")))
-        flat = texts.select("key", self._lengths(False), F.explode(each).alias("x")).select("key", "lengths", "x.col", F.col("x.terms").alias("terms"))
-        found = flat.select("key", "lengths", "col", F.explode(bound).alias("y")).select("key", "lengths", "col", F.explode(runs).alias("z"))
-        found = found.select("key", "lengths", "col", "z.term", steps(F.col("z.positions")).alias("positions"))
-        return found.select("term", "key", F.lit(version).cast("long").alias("version"), "col", "positions", "lengths", self._bucket(F.col("term")).alias("bucket"))
+    @staticmethod
+    def _kind_of_lengths(columns: list[str]) -> str:
+        return f"struct<{','.join(f'{c}:long' for c in columns)}>"
+
+    def _spaced(self, texts: DataFrame) -> DataFrame:
+        """texts (key, columns) as their words with a space between any two."""
+        return texts.select("key", *[spaced(F.coalesce(c, F.lit(""))).alias(c) for c in self.columns])
 
-    def _laid_out(self, rows: DataFrame, order: list[str], n: int) -> DataFrame:
-        """rows in order of their bucket and more, a task for each bucket, or more where there are very many rows."""
-        parts = max(self.buckets, math.ceil(n / ROWS_A_FILE)) if n > ROWS_A_FILE else min(self.buckets, max(1, n // 50_000))
-        return rows.repartitionByRange(parts, "bucket", *order).sortWithinPartitions("bucket", *order)
+    def _postings(self, texts: DataFrame, version: int, is_spaced: bool = False) -> DataFrame:
+        """The postings of texts (key, columns), made in Arrow batches of texts, so nothing is shuffled to gather positions."""
+        columns, kind = self.columns, texts.schema["key"].dataType.simpleString()
+        found = texts if is_spaced else self._spaced(texts)
+        found = found.mapInArrow(lambda batches: inverted(batches, columns), f"term string, key {kind}, col string, positions array<int>, lengths {self._kind_of_lengths(columns)}")
+        return found.select("term", "key", F.lit(version).cast("long").alias("version"), "col", "positions", "lengths", self._bucket(F.col("term")).alias("bucket"))
 
-    def _lengths(self, sums: bool) -> Column:
-        fields = [(F.sum(f"lengths.{c}") if sums else F.size(words(F.coalesce(c, F.lit(""))))).cast("long").alias(c) for c in self.columns]
-        return F.struct(*fields).alias("lengths")
+    def _laid_out(self, rows: DataFrame, order: list[str]) -> DataFrame:
+        """rows in order of their bucket and more: a task for each bucket, for several small ones, or for a part of a large one."""
+        if self._deal is None:
+            # numbers that Spark deals to partition 0, 1 and so on, so that no two buckets meet in one of them and a bucket's rows come in the order in which they were made
+            dealt, n = {}, self.buckets
+            while len(dealt) < self.buckets:
+                n *= 16
+                dealt = {r["p"]: r["id"] for r in self.spark.range(n).groupBy(F.pmod(F.hash("id"), F.lit(self.buckets)).alias("p")).agg(F.min("id").alias("id")).collect()}
+            self._deal = [dealt[p] for p in range(self.buckets)]
+        dealt = rows.withColumn("deal", F.get(F.array(*[F.lit(x).cast("long") for x in self._deal]), F.col("bucket")))
+        return dealt.hint("rebalance", self.buckets, F.col("deal")).drop("deal").sortWithinPartitions("bucket", *order)
+
+    def _lengths(self, of: Callable[[str], Column]) -> Column:
+        return F.struct(*[of(c).cast("long").alias(c) for c in self.columns]).alias("lengths")
+
+    @staticmethod
+    def _sums(column: str) -> Column:
+        return F.sum(f"lengths.{column}")
+
+    @staticmethod
+    def _counted(column: str) -> Column:
+        """The number of a spaced text's words."""
+        return F.octet_length(column) - F.octet_length(F.replace(column, F.lit(" "))) + (F.col(column) != "").cast("int")
 
     def _negated(self) -> Column:
-        return F.struct(*[(-F.col(f"lengths.{c}")).alias(c) for c in self.columns]).alias("lengths")
+        return self._lengths(lambda c: -F.col(f"lengths.{c}"))
 
     def apply(self, changed: DataFrame | None = None, removed: DataFrame | None = None, number: int | None = None) -> State:
         """One batch: changed (key, columns) are put in, in place of what their keys had; removed (key) go. A key of both is changed.
@@ -124,36 +180,37 @@ class TextIndex:
         ended = self._live(texts, state).join(touched, "key", "left_semi").persist()
         gone = ended.select("key", "version")
 
-        # what the ended versions had: their own postings, found by key; sums of these go off the counts
-        old = self._live(self.tables.read("postings", state), state).join(gone, ["key", "version"], "left_semi")
+        # what the ended versions had: their own postings, found by key; sums of these go off the counts. They live, so gone is not asked
         count = F.size("positions")
-        counted = [] if ended.isEmpty() else [old.select("bucket", "term", "key", F.lit(-1).alias("sign"), count.alias("tf"))]
-        made, postings = [], None
+        old = self.tables.read("postings", state).select("bucket", "term", "key", "version", F.lit(-1).alias("sign"), count.alias("tf"))
+        counted = [] if ended.isEmpty() else [old.join(gone, ["key", "version"], "left_semi").select("bucket", "term", "key", "sign", "tf")]
+        appended: dict[str, DataFrame | dict] = {"gone": gone}
+        signed = [ended.select(F.lit(-1).alias("sign"), self._negated())]
         if new is not None:
-            postings = self._postings(new, version).persist()
-            made = [new.select("key", F.lit(version).cast("long").alias("version"), self._lengths(False))]
-            counted.append(postings.select("bucket", "term", "key", F.lit(1).alias("sign"), count.alias("tf")))
+            # a text's words are found once; on disk, as of each task's rows a few MB are in memory
+            new = self._spaced(new).persist(StorageLevel.DISK_ONLY)
+            try:
+                texts = self.tables.stage("texts", new.select("key", F.lit(version).cast("long").alias("version"), self._lengths(self._counted)))
+                postings = self.tables.stage("postings", self._laid_out(self._postings(new, version, is_spaced=True), ["term", "key"]), ["bucket"])
+            finally:
+                new.unpersist()
+            appended |= {"texts": texts, "postings": postings}
+            signed.append(self.tables.rows("texts", texts).select(F.lit(1).alias("sign"), "lengths"))
+            counted.append(self.tables.rows("postings", postings).select("bucket", "term", "key", F.lit(1).alias("sign"), count.alias("tf")))
         # a text has a word once however many columns hold it; with one column a posting is a text's word already
         by_text = reduce(lambda a, b: a.union(b), counted) if counted else None
         if by_text is not None and len(self.columns) > 1:
             by_text = by_text.groupBy("bucket", "term", "key", "sign").agg(F.sum("tf").alias("tf"))
-        appended: dict[str, DataFrame] = {"gone": gone}
         if by_text is not None:
             terms = by_text.groupBy("bucket", "term").agg(F.sum("sign").alias("n_texts"), F.sum(F.col("sign") * F.col("tf")).alias("n"))
             terms = terms.select("term", F.lit(version).cast("long").alias("version"), "n_texts", "n", "bucket")
-            appended["terms"] = self._laid_out(terms, ["term"], 0)
-        if postings is not None:
-            appended["postings"] = self._laid_out(postings, ["term", "key"], postings.count())
-        changes = reduce(lambda a, b: a.unionByName(b), [ended.select(F.lit(-1).alias("sign"), self._negated()), *[m.select(F.lit(1).alias("sign"), "lengths") for m in made]])
-        appended["totals"] = changes.agg(F.sum("sign").alias("n"), self._lengths(True)).select(F.lit(version).cast("long").alias("version"), F.coalesce("n", F.lit(0)).alias("n"), "lengths").coalesce(1)
-        if made:
-            appended["texts"] = made[0]
+            appended["terms"] = self._laid_out(terms, ["term"])
+        changes = reduce(lambda a, b: a.unionByName(b), signed)
+        appended["totals"] = changes.agg(F.sum("sign").alias("n"), self._lengths(self._sums)).select(F.lit(version).cast("long").alias("version"), F.coalesce("n", F.lit(0)).alias("n"), "lengths").coalesce(1)
         try:
-            return self.tables.commit(None, appended, based_on=state, writer=None if number is None else ("batches", number), partition_by={"postings": ["bucket"], "terms": ["bucket"]})
+            return self.tables.commit(None, appended, based_on=state, writer=None if number is None else ("batches", number), partition_by={"terms": ["bucket"]})
         finally:
             ended.unpersist()
-            if postings is not None:
-                postings.unpersist()
 
     def _live(self, postings: DataFrame, state: State) -> DataFrame:
         """postings without those of versions that are gone; how many these are is bounded by compaction."""
@@ -164,10 +221,10 @@ class TextIndex:
         state = self.tables.state()
         live = self._live(self.tables.read("postings", state), state).select("term", "key", "version", "col", "positions", "lengths", "bucket")
         terms = self.tables.read("terms", state).groupBy("bucket", "term").agg(F.max("version").alias("version"), F.sum("n_texts").alias("n_texts"), F.sum("n").alias("n")).where("n > 0")
-        totals = self.tables.read("totals", state).agg(F.max("version").alias("version"), F.sum("n").alias("n"), self._lengths(True)).coalesce(1)
+        totals = self.tables.read("totals", state).agg(F.max("version").alias("version"), F.sum("n").alias("n"), self._lengths(self._sums)).coalesce(1)
         gone = self.tables.read("gone", state).limit(0)
         texts = self._live(self.tables.read("texts", state), state).select("key", "version", "lengths")
-        folded = {"texts": texts, "postings": self._laid_out(live, ["term", "key"], live.count()), "terms": self._laid_out(terms.select("term", "version", "n_texts", "n", "bucket"), ["term"], 0), "totals": totals, "gone": gone}
+        folded = {"texts": texts, "postings": self._laid_out(live, ["term", "key"]), "terms": self._laid_out(terms.select("term", "version", "n_texts", "n", "bucket"), ["term"]), "totals": totals, "gone": gone}
         return self.tables.commit(folded, based_on=state, partition_by={"postings": ["bucket"], "terms": ["bucket"]})
 
     def follow(self, batch: DataFrame, batch_id: int) -> None:

@@ -255,6 +255,56 @@ def test_postings_without_shuffle(spark):
     assert got == {(1, "a"): [1, 3], (1, "b"): [0, 2], **{(2, w): [i for i, x in enumerate(long) if x == w] for w in set(long)}}
 
 
+ODD = ["", None, " - ", "\u0130stanbul \u0391\u03a3 \u00df \ufb01", "x_y X\u0000Y", "\U0001f600a\U0001d7d8", "e\u0301 \u00bdx \u2167", "\u65e5\u672c\u8a9e  a\u3000a", "b a B  a!"]
+
+
+def test_postings_of_odd_texts_are_those_of_their_words(spark, monkeypatch):
+    """Words as words() has them, in every column, whether texts are sorted alone or together."""
+    import pyarrow as pa
+
+    from lumidex.functions.expressions import spaced, words
+    from lumidex.operators import text_index
+
+    rows = [(i, x, y) for i, x in enumerate(ODD) for y in (ODD[i - 1], " ".join(f"w{k * k % 37}" for k in range(300)))]
+    texts = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "key long, x string, y string")
+    want, lengths = {}, {}
+    for r in texts.select("key", *[F.coalesce(words(F.col(c)), F.array().cast("array<string>")).alias(c) for c in "xy"]).collect():
+        lengths[r["key"]] = (len(r["x"]), len(r["y"]))
+        for c in "xy":
+            for at, w in enumerate(r[c]):
+                want.setdefault((w, r["key"], c), []).append(at)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in texts.select("key", *[spaced(F.coalesce(c, F.lit(""))).alias(c) for c in "xy"]).collect()])
+    for size in (1, 1000, 1 << 22):
+        monkeypatch.setattr(text_index, "PART", size)
+        made = list(text_index.inverted(iter([batch]), ["x", "y"]))
+        got = [x for b in made for x in b.to_pylist()]
+        assert all(tuple(x["lengths"].values()) == lengths[x["key"]] for x in got) and len(got) == len(want) and len(made) >= min(len(rows), 30_000 // size)
+        assert {(x["term"], x["key"], x["col"]): [sum(x["positions"][: k + 1]) for k in range(len(x["positions"]))] for x in got} == want
+        assert all([x["term"] for x in b.to_pylist()] == sorted((x["term"] for x in b.to_pylist()), key=str.encode) for b in made)
+
+
+def test_index_makes_its_words_once(spark, tmp_path):
+    """A batch finds the words of its texts once, for their lengths and for their postings; counts are not one task's, and no two buckets."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        seen.add(1)
+        return text
+
+    texts = spark.createDataFrame([(i, f"w{i} of") for i in range(40)], "id long, text string")
+    index = TextIndex.create(texts.withColumn("text", F.udf(told)("text")), f"{tmp_path}/i", "id", ["text"], buckets=4)
+    assert seen.value == 40
+    assert {(r["term"], r["n_docs"]) for r in index.vocabulary().collect()} == {("of", 40), *[(f"w{i}", 1) for i in range(40)]}
+    plan = index._laid_out(index.tables.read("terms"), ["term"])._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE" in plan and "rangepartitioning" not in plan
+    dealt = spark.range(4).select(F.col("id").cast("int").alias("bucket"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(map(tuple, index._laid_out(dealt, []).select("bucket", F.spark_partition_id()).collect())) == [(i, i) for i in range(4)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_nearest_memory_does_not_grow_with_a_frame():
     """Many queries against a large frame of vectors: a part of it is measured at once; ties go to the smaller key."""
     import tracemalloc
