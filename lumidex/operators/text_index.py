@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lumidex.functions.expressions import spaced, words
 from lumidex.operators.commits import State, Tables
@@ -42,10 +44,13 @@ K1, B = 1.2, 0.75
 PART = 1 << 22
 
 
-def places(coded: Column) -> Column:
-    """The positions of steps."""
-    start = F.array().cast("array<int>")
-    return F.aggregate(coded, F.struct(F.lit(0).alias("at"), start.alias("all")), lambda s, d: F.struct((s["at"] + d).alias("at"), F.concat(s["all"], F.array(s["at"] + d)).alias("all")), lambda s: s["all"])
+@arrow_udf(ArrayType(IntegerType()))
+def places(coded: pa.Array) -> pa.Array:
+    """The positions of steps: running sums of all lists at once, less what stood before each."""
+    starts, flat = coded.offsets.to_numpy() - coded.offsets[0].as_py(), coded.flatten().to_numpy()
+    sums = np.append(0, np.cumsum(flat, dtype=np.int64))
+    at = sums[1:] - np.repeat(sums[starts[:-1]], np.diff(starts))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(at, pa.int32()))
 
 
 def inverted(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:

@@ -283,6 +283,15 @@ def test_postings_of_odd_texts_are_those_of_their_words(spark, monkeypatch):
         assert all([x["term"] for x in b.to_pylist()] == sorted((x["term"] for x in b.to_pylist()), key=str.encode) for b in made)
 
 
+def test_places_of_many_steps(spark):
+    """Positions come from steps by running sums, in time that grows with their number; an array that is copied for each of them would take minutes."""
+    from lumidex.operators.text_index import places
+
+    rows = [(0, [3, 1, 5]), (1, []), (2, [0]), (3, [0, *[2] * 300_000]), (4, [7, 7])]
+    got = dict(spark.createDataFrame(rows, "k int, s array<int>").where("k <> 0").select("k", places(F.col("s"))).collect())
+    assert got == {1: [], 2: [0], 3: list(range(0, 600_001, 2)), 4: [7, 14]}
+
+
 def test_index_makes_its_words_once(spark, tmp_path):
     """A batch finds the words of its texts once, for their lengths and for their postings; counts are not one task's, and no two buckets."""
     seen = spark.sparkContext.accumulator(0)
